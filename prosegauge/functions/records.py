@@ -22,10 +22,9 @@ def scored_text(attributes: Sequence[str] = ATTRS) -> T.StructType:
 
 def _as_json(literal: Column) -> Column:
     # bare Python words after : , [ and before , } ] ; \xHH escapes
-    text = F.regexp_replace(literal, r"(?<=[:,\[]\s?)None(?=\s?[,}\]])", "null")
-    text = F.regexp_replace(text, r"(?<=[:,\[]\s?)True(?=\s?[,}\]])", "true")
-    text = F.regexp_replace(text, r"(?<=[:,\[]\s?)False(?=\s?[,}\]])", "false")
-    text = F.regexp_replace(text, r"(?<=[:,\[]\s?)nan(?=\s?[,}\]])", "NaN")
+    text = literal
+    for word, value in (("None", "null"), ("True", "true"), ("False", "false"), ("nan", "NaN")):
+        text = F.regexp_replace(text, rf"([:,\[]\s?){word}(?=\s?[,}}\]])", f"$1{value}")
     return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
 
 
@@ -38,7 +37,8 @@ def lenient_struct(value: Column, schema: T.StructType) -> Column:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "true"}
     first = F.from_json(value, checked, options)
     second = F.from_json(_as_json(value), checked, {**options, "allowBackslashEscapingAnyCharacter": "true"})
-    parsed = F.when(first[_BAD].isNull(), first).otherwise(second)
+    # the lambda holds the first result, so that it is parsed once
+    parsed = F.transform(F.array(first), lambda record: F.when(record[_BAD].isNull(), record).otherwise(second))[0]
     return F.struct(*[F.when(parsed[_BAD].isNull(), parsed[name]).alias(name) for name in schema.fieldNames()])
 
 

@@ -22,6 +22,15 @@ BOILERPLATE = (
 )
 
 
+# The same class for scanning long texts: one look-up for Latin-1 characters, one
+# range test for all others.
+_WIDE = r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]"
+_SPACE = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0" + _WIDE + "]"
+_NOT_BLANK = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0" + _WIDE + "]"
+# runs of white space, except a single blank, which stays as it is
+_RUNS = f"{_NOT_BLANK}{_SPACE}*| {_SPACE}+"
+
+
 def _boilerplate_pattern() -> str:
     # every repeated blank stands for any white space; the single one in the
     # opening words is a plain space
@@ -30,16 +39,22 @@ def _boilerplate_pattern() -> str:
 
 def collapse(text: Column) -> Column:
     """Every run of white space becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
 
 
 def words(text: Column) -> Column:
     """White-space tokens; an empty array for a blank text."""
-    return F.array_remove(F.split(collapse(text), " "), "")
+    return F.array_remove(F.split(text, _SPACE + "+"), "")
+
+
+def _pick(test: Column, first: Column, second: Column) -> Column:
+    """``first`` where ``test`` holds. Both are always evaluated, so that what they and
+    the test have in common is computed once."""
+    return F.get(F.array(first, second), F.when(test, 0).otherwise(1))
 
 
 def to_text(value: Column) -> Column:
@@ -60,8 +75,12 @@ def fold_typography(text: Column) -> Column:
 
 
 def normalize_for_match(text: Column) -> Column:
-    """Typography folded, ASCII punctuation dropped, white space collapsed; case kept."""
-    return collapse(F.regexp_replace(fold_typography(text), r"\p{Punct}", ""))
+    """Typography folded, ASCII punctuation dropped, white space collapsed; case kept.
+
+    All curly marks turn into punctuation, so both go in one step.
+    """
+    marks = rf"[\p{{Punct}}{CURLY}]+"
+    return collapse(F.regexp_replace(F.replace(text, F.lit(ELLIPSIS), F.lit(" ")), marks, ""))
 
 
 def remove_overlap(prompt: Column, text: Column) -> Column:
@@ -77,7 +96,7 @@ def remove_overlap(prompt: Column, text: Column) -> Column:
     tokens = words(rest)
     total = F.size(tokens)
     end = found - 1 + F.length(needle)
-    keep = F.least(F.when((found > 0) & (end > 0), end).otherwise(total), total)
+    keep = F.least(_pick((found > 0) & (end > 0), end, total), total)
     return F.array_join(F.slice(tokens, total - keep + 1, keep), " ")
 
 
@@ -94,7 +113,7 @@ def truncate_new_tokens(prompt: Column, text: Column, limit: int = 20) -> Column
     seen = F.size(words(prompt))
     full = words(F.concat(prompt, text))
     cut = F.array_join(F.slice(full, seen + 1, limit), " ")
-    return F.when(F.size(full) - seen <= limit, text).otherwise(cut)
+    return _pick(F.size(full) - seen <= limit, text, cut)
 
 
 def clean_response(prompt: Column, text: Column, limit: int = 20) -> Column:

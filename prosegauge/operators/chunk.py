@@ -64,8 +64,8 @@ def chunk_corpus(
         start.alias("_start"),
         (start + F.col("_length")).alias("_end"),
         # chunks from _first up to, not including, _last lie wholly in the block
-        F.ceil(F.col("_base") / size).alias("_first"),
-        F.floor((F.col("_base") + F.col("_total")) / size).alias("_last"),
+        F.expr(f"(_base + {size - 1}) div {size}").alias("_first"),
+        F.expr(f"(_base + _total) div {size}").alias("_last"),
     )
     whole = F.expr("chunk_id >= _first and chunk_id < _last")
     touches_edge = (F.col("_start") < F.col("_first") * size) | (F.col("_end") > F.col("_last") * size)
@@ -109,7 +109,7 @@ def _exploded(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:
         "_block",
         "_first",
         "_last",
-        (F.floor(F.col("_start") / size) + F.col("_no")).alias("chunk_id"),
+        F.expr(f"_start div {size} + _no").alias("chunk_id"),
         F.when(F.col("_no") == 0, F.col("_inside")).otherwise(0).alias("_at"),
         "_piece",
     )

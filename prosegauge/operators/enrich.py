@@ -149,12 +149,13 @@ def enrich_text(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = generator()
         for batch in batches:
-            for start in range(0, len(batch), batch_size):
-                part = batch.iloc[start : start + batch_size]
-                texts = [t if isinstance(t, list) else [t] for t in generate(part[prompt].tolist())]
-                out = part.loc[part.index.repeat([len(t) for t in texts])].copy()
-                out[name] = [t for several in texts for t in several]
-                yield out
+            texts: list[list] = []
+            asked = batch[prompt].tolist()
+            for start in range(0, len(asked), batch_size):
+                replies = generate(asked[start : start + batch_size])
+                texts += [reply if isinstance(reply, list) else [reply] for reply in replies]
+            out = batch.loc[batch.index.repeat([len(several) for several in texts])]
+            yield out.assign(**{name: [text for several in texts for text in several]})
 
     rows = prompts.repartition(concurrency) if concurrency else prompts
     return rows.mapInPandas(run, schema)

@@ -58,25 +58,27 @@ def pair_turns(
     """Each user turn with the assistant turn right after it: (key, turn, prompt, continuation).
 
     The window runs per block of ``block`` turn numbers, so a conversation of any
-    length spreads over many tasks; the turn after a block's last one is the head of
-    the next block that has any, taken from the much smaller table of block heads.
-    Turn numbers must be unique within a conversation.
+    length spreads over many tasks. The turn after a block's last one is the head of
+    the next block that has any; heads are read from the later blocks alone, and which
+    block comes next from the turn numbers alone. Turn numbers must be unique within a
+    conversation.
     """
     rows = turns.select(
         key,
         turn,
-        F.greatest(F.floor(F.col(turn) / block), F.lit(0)).cast("bigint").alias("_block"),
+        F.greatest(F.expr(f"{turn} div {block}"), F.lit(0)).cast("bigint").alias("_block"),
         F.struct("role", "text").alias("_said"),
     )
     inside = Window.partitionBy(key, "_block").orderBy(turn)
     across = Window.partitionBy(key).orderBy("_block")
-    heads = (
-        rows.groupBy(key, "_block")
-        .agg(F.min_by("_said", turn).alias("_head"))
-        .withColumn("_after", F.lead("_head").over(across))
-        .where("_after is not null")
-        .drop("_head")
+    steps = (
+        rows.select(key, "_block")
+        .distinct()
+        .withColumn("_from", F.lag("_block").over(across))
+        .where("_from is not null")
     )
+    later = rows.where(F.col(turn) >= block).groupBy(key, "_block").agg(F.min_by("_said", turn).alias("_after"))
+    heads = steps.join(later, [key, "_block"]).select(key, F.col("_from").alias("_block"), "_after")
     following = rows.withColumn("_next", F.lead("_said").over(inside)).join(heads, [key, "_block"], "left")
     reply = F.coalesce("_next", "_after")
     return following.where((F.col("_said.role") == "user") & (reply["role"] == "assistant")).select(

@@ -38,10 +38,9 @@ def check_edges(edges: Sequence[float], labels: Sequence[str]) -> None:
 def bucketize(score: Column, edges: Sequence[float] = EDGES, labels: Sequence[str] = LABELS) -> Column:
     """Label of the right-closed range holding the score; the first range holds its lower edge too."""
     check_edges(edges, labels)
-    value = known(score)
-    chain = F.when(value < edges[0], F.lit(None))
+    chain = F.when(F.isnan(score) | (score < edges[0]), F.lit(None))
     for upper, label in zip(edges[1:], labels):
-        chain = chain.when(value <= upper, label)
+        chain = chain.when(score <= upper, label)
     return chain
 
 

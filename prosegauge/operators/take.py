@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from prosegauge.config import EDGES, LABELS
 from prosegauge.functions.ranks import digest_rank, seeded_digest
-from prosegauge.operators.split import bucketize, range_counts
+from prosegauge.operators.split import bucketize
 
 SLICES = 1024
 SETTLE_ROWS = 100_000
@@ -31,42 +32,62 @@ SALTS = 64
 Quota = int | Mapping[tuple, int]
 
 
+class Span(NamedTuple):
+    """Rows of a group, and bounds of their ranks."""
+
+    n: int
+    low: int
+    high: int
+
+
+def group_spans(df: DataFrame, keys: Sequence[str], rank: Column, limit: int = MAX_GROUPS) -> dict[tuple, Span] | None:
+    """The span of every group in one pass; None for more than ``limit`` groups."""
+    groups, names = _group_columns(keys)
+    rows = (
+        df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"))
+        .groupBy(*names)
+        .agg(F.count("*").alias("n"), F.min("_rank").alias("low"), F.max("_rank").alias("high"))
+        .limit(limit + 1)
+        .collect()
+    )
+    if len(rows) > limit:
+        return None
+    return {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows}
+
+
+def _group_columns(keys: Sequence[str]) -> tuple[list[Column], list[str]]:
+    return [F.col(key) for key in keys] or [F.lit(0)], [f"_k{i}" for i in range(max(1, len(keys)))]
+
+
 def take_first(
     df: DataFrame,
     keys: Sequence[str],
     rank: Column,
     tie: Column,
     quota: Quota,
+    spans: Mapping[tuple, Span] | None = None,
     slices: int = SLICES,
     settle_rows: int = SETTLE_ROWS,
-    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
     """The rows of each group that come first by (rank, tie), ``quota`` of them.
 
     ``rank`` is a long and with ``tie`` tells all rows of a group apart. ``quota`` is one
-    number or one per group; groups it does not name give no row. ``df`` must give the
-    same rows each time it is read.
+    number or one per group; groups it does not name give no row. ``spans`` saves the
+    first pass where sizes and bounds are known. ``df`` must give the same rows each
+    time it is read.
     """
-    names = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
-    groups = [F.col(key) for key in keys] or [F.lit(0)]
-    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"), tie.alias("_tie"))
-    spans = (
-        slim.groupBy(*names)
-        .agg(F.count("*").alias("n"), F.min("_rank").alias("lo"), F.max("_rank").alias("hi"))
-        .limit(max_groups + 1)
-        .collect()
-    )
-    if len(spans) > max_groups:
+    spans = spans or group_spans(df, keys, rank)
+    if spans is None:
         return _take_by_window(df, keys, rank, tie, quota)
-
+    groups, names = _group_columns(keys)
+    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"), tie.alias("_tie"))
     whole, cuts, open_groups = [], {}, {}
-    for row in spans:
-        group = tuple(row[n] for n in names)
+    for group, span in spans.items():
         wanted = quota if isinstance(quota, int) else quota.get(group, 0)
-        if wanted >= row.n:
+        if wanted >= span.n:
             whole.append(group)
         elif wanted > 0:
-            open_groups[group] = _Span(row.lo, row.hi, row.n, wanted)
+            open_groups[group] = _Span(span.low, span.high, span.n, wanted)
 
     while wide := {g: s for g, s in open_groups.items() if s.rows > settle_rows}:
         stuck = [g for g, s in wide.items() if s.low == s.high]
@@ -79,7 +100,7 @@ def take_first(
 
 
 class _Span:
-    """Rank range still in question: its rows, and which of them is the last one wanted."""
+    """Ranks still in question in a group: their rows, and which of them is the last one wanted."""
 
     def __init__(self, low: int, high: int, rows: int, nth: int) -> None:
         self.low, self.high, self.rows, self.nth = low, high, rows, nth
@@ -192,11 +213,17 @@ def sample_exact(
     return take_first(df, groups, digest_rank(digest), digest, n, **tuning)
 
 
+def _digest_spans(sizes: Mapping[tuple, int]) -> dict[tuple, Span]:
+    return {group: Span(n, 0, (1 << 60) - 1) for group, n in sizes.items()}
+
+
 def balance_classes(df: DataFrame, name: str, order: str, classes: Sequence = (0, 1), **tuning: int) -> DataFrame:
     """Cut every class to the size of the smallest, in source order."""
-    counts = dict(df.where(F.col(name).isin(list(classes))).groupBy(name).count().collect())
-    smallest = min(counts.get(c, 0) for c in classes)
-    return head_per_group(df, [name], order, {(c,): smallest for c in classes}, **tuning)
+    rows = df.where(F.col(name).isin(list(classes)))
+    rank = F.col(order).cast("bigint")
+    spans = group_spans(rows, [name], rank)
+    smallest = min(spans[(c,)].n if (c,) in spans else 0 for c in classes)
+    return take_first(rows, [name], rank, rank, smallest, spans, **tuning)
 
 
 def equalize_ranges(
@@ -218,15 +245,18 @@ def equalize_ranges(
     """
     binned = df.withColumn(label, bucketize(F.col(score), edges, labels))
     binned = binned.where(F.col(label).isNotNull())
-    sizes = [row.n_rows for row in range_counts(binned, label, labels).collect()]
-    largest = max(sizes)
+    rank = F.col(order).cast("bigint")
+    spans = group_spans(binned, [label], rank)
+    sizes = {(name,): spans[(name,)].n if (name,) in spans else 0 for name in labels}
     headed = binned
-    if size and largest > size:
-        headed = head_per_group(binned, [label], order, size, **tuning)
-    common = min(min(sizes), size) if size else min(sizes)
-    if common < min(largest, size or largest):
-        return sample_exact(headed, common, seed, order, [label], **tuning)
-    return headed
+    if size and max(sizes.values()) > size:
+        headed = take_first(binned, [label], rank, rank, size, spans, **tuning)
+        sizes = {group: min(n, size) for group, n in sizes.items()}
+    common = min(sizes.values())
+    if common == max(sizes.values()):
+        return headed
+    digest = seeded_digest(seed, F.col(order))
+    return take_first(headed, [label], digest_rank(digest), digest, common, _digest_spans(sizes), **tuning)
 
 
 def take_quota(

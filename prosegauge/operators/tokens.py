@@ -62,8 +62,9 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: Column, vocab: DataFram
     broadcast; tokens beyond are rare by the order of ids, so joining them by shuffle
     is not skewed.
     """
-    spread = df.select(*key, tokens.alias("_tokens")).repartition(*key)
-    each = spread.select(*key, F.posexplode_outer("_tokens").alias("_at", "token"))
+    spread = df.select(*key, F.array_join(tokens, " ").alias("_line")).repartition(*key)
+    line = F.array_remove(F.split("_line", " "), "")
+    each = spread.select(*key, F.posexplode_outer(line).alias("_at", "token"))
     terms = vocab.select("token", F.col("id").cast("int").alias("_id"))
     short = F.length("token") <= MAX_TERM_CHARS
     head = (F.col("_id") <= BROADCAST_TERMS) & short

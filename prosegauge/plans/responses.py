@@ -103,6 +103,8 @@ def collect_responses(
     for number in range(config.rounds):
         done = collected(spark, path, model)
         rest = pending(prompts, done, ["label", "prompt"])
+        if quota:
+            rest = stored(rest, "pending")  # read several times to find the quota
         wanted = take_quota(rest, "row_id", quota, done)
         replies = enrich_text(wanted, generator, name="_raw", batch_size=1, concurrency=config.concurrency)
         replies = stored(_cleaned(replies, config, tokenizer), "replies")

@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as prompts with a score: (row_id, score)."""
-    return table(spark, sf_dir, "events").selectExpr("event_id as row_id", "value / 500 as score")
+    return table(spark, sf_dir, "events").selectExpr("event_id as row_id", "value / 200 as score")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,10 +41,10 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), *answered.columns)
 
 
-SCORED_EVENTS_SQL = """scored as (select event_id as row_id, value / 500 as score,
-  case when value / 500 < 0 then null when value / 500 <= 0.25 then '0-0.25'
-       when value / 500 <= 0.5 then '0.25-0.5' when value / 500 <= 0.75 then '0.5-0.75'
-       when value / 500 <= 1 then '0.75-1.0' end as toxicity_bin from events)"""
+SCORED_EVENTS_SQL = """scored as (select event_id as row_id, value / 200 as score,
+  case when value / 200 < 0 then null when value / 200 <= 0.25 then '0-0.25'
+       when value / 200 <= 0.5 then '0.25-0.5' when value / 200 <= 0.75 then '0.5-0.75'
+       when value / 200 <= 1 then '0.75-1.0' end as toxicity_bin from events)"""
 
 PAIRS_SQL = """pairs as (select conv_id * 100000 + turn as row_id, conv_id, turn, text as prompt, after_text as continuation
   from (select *, lead(role) over turns as after_role, lead(text) over turns as after_text

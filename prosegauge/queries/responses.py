@@ -52,10 +52,10 @@ def stub_generator(banned=()):
 
 
 def chat_generator():
-    """A chat reply that echoes the prompt; no reply for every prompt of a length divisible by 5."""
+    """A chat reply that echoes the prompt; no reply for every prompt of a length divisible by 3."""
 
     def reply(texts):
-        return [None if len(t) % 5 == 0 else f"{t} {md5(t.encode()).hexdigest()} ends here." for t in texts]
+        return [None if len(t) % 3 == 0 else f"{t} {md5(t.encode()).hexdigest()} ends here." for t in texts]
 
     return reply
 
@@ -237,7 +237,7 @@ def generate_responses(spark, sf_dir):
 
 
 @query(f"""with {RANGED_SQL}, echoes as (select label, prompt, prompt || ' ' || md5(prompt) || ' ends here.' as reply
-  from ranged where length(prompt) % 5 <> 0),
+  from ranged where length(prompt) % 3 <> 0),
 {overlap_steps_sql('echoes', 'label')}, plain as (select label, prompt, {boilerplate_sql('text')} as text from removed)
 select 'chat' as model, label, prompt, {truncate_sql('prompt', 'text', 20)} as continuation from plain""")
 def collect_responses(spark, sf_dir):
@@ -261,7 +261,7 @@ def score_responses_job(spark, sf_dir):
 
 
 @query("""select text as prompt, min(md5(text)) as continuation from conversations where role = 'user'
-and length(text) % 5 <> 0 group by text""")
+and length(text) % 3 <> 0 group by text""")
 def incremental_enrich(spark, sf_dir):
     """Prompts arrive in two files, the second repeating the first."""
     source, out, marks = (fresh_path(spark, name) for name in ("arrivals", "collected", "progress"))
