@@ -31,15 +31,19 @@ def _as_json(literal: Column) -> Column:
 def lenient_struct(value: Column, schema: T.StructType) -> Column:
     """Parse a dict-like string; JSON first, a Python literal where that fails.
 
-    What is neither gives a struct of nulls, so the row stays.
+    What is neither gives a null, so the row stays.
     """
     checked = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "true"}
     first = F.from_json(value, checked, options)
     second = F.from_json(_as_json(value), checked, {**options, "allowBackslashEscapingAnyCharacter": "true"})
-    # the lambda holds the first result, so that it is parsed once
-    parsed = F.transform(F.array(first), lambda record: F.when(record[_BAD].isNull(), record).otherwise(second))[0]
-    return F.struct(*[F.when(parsed[_BAD].isNull(), parsed[name]).alias(name) for name in schema.fieldNames()])
+
+    def sound(record: Column) -> Column:
+        return F.when(record[_BAD].isNull(), F.struct(*[record[name].alias(name) for name in schema.fieldNames()]))
+
+    # a lambda holds each result, so that nothing is parsed twice
+    again = F.transform(F.array(second), sound)[0]
+    return F.transform(F.array(first), lambda record: F.coalesce(sound(record), again))[0]
 
 
 def prompt_message(prompt: Column) -> Column:

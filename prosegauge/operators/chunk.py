@@ -41,10 +41,9 @@ def chunk_corpus(
     chunks inside a block are put together where they are. The chunk across a block's
     edge, two per block, is the only thing shuffled again.
     """
-    rows = df.where(F.col(text).isNotNull()).select(
-        *by, F.col(order).alias("_order"), F.concat(F.col(text), F.lit("\n")).alias("_line")
-    )
-    rows = _blocks(rows, block_rows).withColumn("_length", F.length("_line").cast("bigint"))
+    place, line = F.col(order).alias("_order"), F.concat(F.col(text), F.lit("\n")).alias("_line")
+    rows = df.where(F.col(text).isNotNull()).select(*by, place, line, F.length(line).cast("bigint").alias("_length"))
+    rows = _with_blocks(rows, _block_bounds(df.select(order), block_rows))
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*by, "_block")
@@ -74,25 +73,30 @@ def chunk_corpus(
     return inner.drop("_block").unionByName(edges)
 
 
-def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Add ``_block``: consecutive ranges of the order with about ``block_rows`` rows each.
+def _block_bounds(orders: DataFrame, block_rows: int) -> list[float]:
+    """Order values that cut the rows into blocks of about ``block_rows``.
 
-    The bounds come from a sample, as for a range partitioning; they settle the sizes
-    of the blocks and nothing else.
+    They come from a sample of the order column, as for a range partitioning, and settle
+    the sizes of the blocks and nothing else.
     """
-    total = rows.count()
+    total = orders.count()
     blocks = min(MAX_BLOCKS, math.ceil(total / block_rows))
     if blocks <= 1:
-        return rows.withColumn("_block", F.lit(0))
+        return []
     share = min(1.0, 32 * blocks / total)
-    sampled = rows.select(F.col("_order").cast("double")).sample(share, seed=1).toArrow().column(0).to_numpy()
-    bounds = np.unique(np.quantile(sampled, np.arange(1, blocks) / blocks, method="nearest")) if len(sampled) else []
-    splits = [-math.inf, *map(float, bounds), math.inf]
-    if len(splits) < 3:
+    sample = orders.select(F.col(orders.columns[0]).cast("double")).dropna().sample(share, seed=1)
+    values = sample.toArrow().column(0).to_numpy()
+    if not len(values):
+        return []
+    return np.unique(np.quantile(values, np.arange(1, blocks) / blocks, method="nearest")).tolist()
+
+
+def _with_blocks(rows: DataFrame, bounds: list[float]) -> DataFrame:
+    if not bounds:
         return rows.withColumn("_block", F.lit(0))
-    wide = rows.withColumn("_at", F.col("_order").cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_block").transform(wide)
-    return cut.withColumn("_block", F.col("_block").cast("int")).drop("_at")
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_at", outputCol="_block")
+    placed = cut.transform(rows.withColumn("_at", F.col("_order").cast("double")))
+    return placed.withColumn("_block", F.col("_block").cast("int")).drop("_at")
 
 
 def _exploded(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:

@@ -115,7 +115,7 @@ def score_attributes(
     scored = _scoring(scorer, list(attrs), retry, pace, batch_size, dead_letters, sleep)
     scores = stored(distinct.mapInPandas(scored, schema), "scores", path)
     hot = scores.where(F.col("_rows") > hot_rows).orderBy(F.desc("_rows"), "_key").limit(MAX_HOT)
-    hot = [row[0] for row in hot.select("_key").collect()]
+    hot = [row[0] for row in hot.select(F.xxhash64("_key")).collect()]
     return join_skewed(rows, scores.drop("_rows"), "_key", "left", hot).drop("_key")
 
 

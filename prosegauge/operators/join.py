@@ -13,26 +13,28 @@ HOT_ROWS = 1_000_000
 MAX_HOT = 1_000
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """The keys with more than ``hot_rows`` rows, the heaviest ``MAX_HOT`` of them.
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys with more than ``hot_rows`` rows, the heaviest ``MAX_HOT`` of them.
 
-    Counting combines before the shuffle. A key left out has less than 1/MAX_HOT of the rows.
+    Counting moves hashes only and combines before the shuffle. A key left out has less
+    than 1/MAX_HOT of the rows.
     """
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > hot_rows) & F.col(key).isNotNull())
-    return [row[0] for row in counts.orderBy(F.desc("n"), key).limit(MAX_HOT).collect()]
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.xxhash64(key).alias("hash")).agg(F.count("*").alias("n"))
+    heaviest = counts.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "hash").limit(MAX_HOT)
+    return [row["hash"] for row in heaviest.collect()]
 
 
-def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str, hot: Sequence) -> DataFrame:
+def join_skewed(left: DataFrame, right: DataFrame, key: str, how: str, hot: Sequence[int]) -> DataFrame:
     """Equi-join of any ``left`` with a ``right`` that is unique on ``key``.
 
-    Rows with a hot key stay where they are and meet a broadcast of the right rows
-    for those keys - no more than there are hot keys. The rest is shuffled.
+    Left rows with a hot key stay where they are and meet a broadcast of the right rows
+    for those keys, one for each. The rest is shuffled. ``hot`` are the hashes of hot keys.
     """
     if not hot:
         return left.join(right, key, how)
     if len(hot) > MAX_HOT:
         raise ValueError("too many hot keys")
-    is_hot = F.coalesce(F.col(key).isin(list(hot)), F.lit(False))
+    is_hot = F.col(key).isNotNull() & F.xxhash64(key).isin(list(hot))
     narrow = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how)
     return narrow.unionByName(left.where(~is_hot).join(right.where(~is_hot), key, how))
 

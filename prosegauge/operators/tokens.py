@@ -1,14 +1,11 @@
 """Token ids of fixed length, training labels and banned sequences.
 
-A subword tokenizer is a plug-in: a picklable factory, called once per Python worker,
+A subword tokenizer is a plug-in: a picklable factory, called once per task,
 that gives an object with ``encode(text) -> list[int]`` and ``decode(ids) -> str``.
 Without one, tokens are separated by white space and ids come from a vocabulary table.
 """
 
-from __future__ import annotations
-
-from collections.abc import Callable, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,18 +130,14 @@ def banned_token_ids(
     return looked_up.select("term", F.when(F.col("n_unknown") == 0, F.col("ids")).alias("ids"))
 
 
-@lru_cache(maxsize=4)
-def _built(factory: Callable):
-    return factory()
-
-
 def encoder(factory: Callable) -> Callable[[Column], Column]:
     """Vectorised ``encode`` of a tokenizer plug-in."""
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        model = _built(factory)
-        return texts.map(lambda t: None if t is None else model.encode(t))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = factory()
+        for texts in batches:
+            yield pd.Series([None if t is None else model.encode(t) for t in texts], dtype=object)
 
     return encode
 
@@ -153,16 +146,16 @@ def subword_truncator(factory: Callable, limit: int = 20) -> Callable[[Column, C
     """As ``truncate_new_tokens``, counting the tokens of a tokenizer plug-in."""
 
     @F.pandas_udf("string")
-    def truncate(prompts: pd.Series, texts: pd.Series) -> pd.Series:
-        model = _built(factory)
+    def truncate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = factory()
 
         def cut(prompt, text):
             if prompt is None or text is None:
                 return None
-            seen = len(model.encode(prompt))
-            new = model.encode(prompt + text)[seen:]
+            new = model.encode(prompt + text)[len(model.encode(prompt)) :]
             return text if len(new) <= limit else model.decode(new[:limit])
 
-        return pd.Series([cut(p, t) for p, t in zip(prompts, texts)], dtype=object)
+        for prompts, texts in batches:
+            yield pd.Series([cut(p, t) for p, t in zip(prompts, texts)], dtype=object)
 
     return truncate

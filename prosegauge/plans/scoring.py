@@ -12,6 +12,7 @@ from prosegauge.config import Config
 from prosegauge.operators.enrich import score_models
 from prosegauge.operators.shape import ensure_columns
 from prosegauge.sources.readers import scan_model_dirs
+from prosegauge.sources.writers import packed
 
 
 def score_responses(
@@ -35,7 +36,7 @@ def score_responses(
     rows = score_models(
         responses, scorer, done, attrs=config.attributes, retry=config.retry, pace=config.pace, **options
     )
-    writer = rows.write.partitionBy("model", "label")
+    writer = packed(rows, ["model", "label"]).write.partitionBy("model", "label")
     if resume:
         writer.mode("append").parquet(out)
     else:

@@ -61,7 +61,8 @@ def read_responses_lenient(spark: SparkSession, path: str | list[str]) -> DataFr
     """
     names = _header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_surplus"]])
-    rows = spark.read.schema(schema).options(**_CSV, escape="\\").csv(path)
+    quoting = {"escape": "\\", "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"}
+    rows = spark.read.schema(schema).options(**_CSV, **quoting).csv(path)
     rows = rows.where(F.col("_surplus").isNull()).drop("_surplus")
     return _named(rows.select(*[F.replace(F.col(f"`{n}`"), F.lit('""'), F.lit('"')).alias(n) for n in names]))
 

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def packed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of one output partition together: few files for a small one, and a large one
+    still spread over many tasks."""
+    return df.hint("rebalance", *by) if by else df
+
+
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*by).parquet(path)
+    packed(df, by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
@@ -29,9 +35,11 @@ def write_ranges(df: DataFrame, path: str, name: str = "toxicity_bin") -> None:
 
 def write_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "label")) -> None:
     """Replace the results of the models and ranges in ``df``, and of no others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    writer = packed(df, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*by).parquet(path)
 
 
 def append_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "label")) -> None:
     """Add results with the time they were collected."""
-    df.withColumn("collected_at", F.current_timestamp()).write.mode("append").partitionBy(*by).parquet(path)
+    timed = df.withColumn("collected_at", F.current_timestamp())
+    packed(timed, by).write.mode("append").partitionBy(*by).parquet(path)
