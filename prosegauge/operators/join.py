@@ -68,13 +68,17 @@ def key_alignment(left: DataFrame, right: DataFrame, key: str = "row_id") -> Dat
 
 
 def pending(
-    prompts: DataFrame, done: DataFrame, on: Sequence[str] = ("prompt",), hot_rows: int = HOT_ROWS
+    prompts: DataFrame, done: DataFrame, on: Sequence[str] = ("prompt",), hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """The rows whose ``on`` columns are not among those done; repeats are kept, null equals null."""
+    """The rows whose ``on`` columns are not among those done; repeats are kept, null equals null.
+
+    ``hot_rows`` None skips the search for hot keys, for rows known to be distinct.
+    """
     identity = text_key(*[F.col(c) for c in on])
     rows = prompts.withColumn("_key", identity)
     known = done.select(identity.alias("_key")).distinct()
-    return join_skewed(rows, known, "_key", "left_anti", hot_keys(rows, "_key", hot_rows)).drop("_key")
+    hot = [] if hot_rows is None else hot_keys(rows, "_key", hot_rows)
+    return join_skewed(rows, known, "_key", "left_anti", hot).drop("_key")
 
 
 def accepted(responses: DataFrame, column: str = "continuation") -> DataFrame:

@@ -8,7 +8,7 @@ from prosegauge.queries.common import joined, query, table, words_sql
 from prosegauge.session import stored
 from prosegauge.sources.readers import load_lexicon
 
-CHUNK_EACH_SQL = """chunks as (select doc_id, n as chunk_no, substring(text, n * 512 + 1, 512) as chunk
+CHUNK_EACH_SQL = """chunks as (select doc_id, n::int as chunk_no, substring(text, n * 512 + 1, 512) as chunk
   from documents, lateral (select unnest(range((length(text) + 511) // 512)) as n))"""
 
 

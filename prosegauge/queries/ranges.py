@@ -37,10 +37,10 @@ def _binned(spark, sf_dir):
 
 
 @query(f"""with {SCORED_EVENTS_SQL} select row_id, toxicity_bin,
-list_position(['0-0.25', '0.25-0.5', '0.5-0.75', '0.75-1.0'], toxicity_bin) - 1 as bin_idx from scored""")
+coalesce(list_position(['0-0.25', '0.25-0.5', '0.5-0.75', '0.75-1.0'], toxicity_bin) - 1, -1) as bin_idx from scored""")
 def bucketize_scores(spark, sf_dir):
     binned = _binned(spark, sf_dir)
-    return binned.select("row_id", "toxicity_bin", split.range_index(F.col("toxicity_bin")).alias("bin_idx"))
+    return binned.select("row_id", "toxicity_bin", F.coalesce(split.range_index(F.col("toxicity_bin")), F.lit(-1)).alias("bin_idx"))
 
 
 @query(f"""with {SCORED_EVENTS_SQL}, frame as (select unnest(['0-0.25', '0.25-0.5', '0.5-0.75', '0.75-1.0']) as toxicity_bin,

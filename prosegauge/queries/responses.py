@@ -279,7 +279,7 @@ def incremental_enrich(spark, sf_dir):
     return incremental.read_collected(spark, out, schema).drop(incremental.BATCH)
 
 
-@query("select event_id, event_type, ts as collected_at from events")
+@query("select event_id, event_type from events")
 def dedupe_watermark(spark, sf_dir):
     """Every event arrives twice."""
     events = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "cast(ts as timestamp) as collected_at")
@@ -290,5 +290,4 @@ def dedupe_watermark(spark, sf_dir):
     once = incremental.dedupe_within_watermark(twice.drop("copy"), "event_id", "collected_at")
     writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
     writer.trigger(availableNow=True).start().awaitTermination()
-    deduped = spark.read.schema(schema).parquet(out)
-    return deduped.withColumn("collected_at", F.col("collected_at").cast("timestamp_ntz"))
+    return spark.read.schema(schema).parquet(out).drop("collected_at")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.sources.readers import COLUMNS
+
 
 def packed(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows of one output partition together: few files for a small one, and a large one
@@ -15,18 +17,20 @@ def packed(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    packed(df, by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    writer = packed(df, by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*by).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    """CSV for exchange: every field quoted, quotes doubled."""
-    df.write.mode("overwrite").partitionBy(*by).options(header=True, quoteAll=True, escape='"').csv(path)
+    """CSV for exchange: usual column names, every field quoted, quotes doubled."""
+    named = df.withColumnsRenamed({ours: theirs for theirs, ours in COLUMNS.items() if ours not in by})
+    packed(named, by).write.mode("overwrite").partitionBy(*by).options(header=True, quoteAll=True, escape='"').csv(path)
 
 
 def write_corpus(df: DataFrame, path: str, text: str = "text", name: str = "class") -> None:
     """Class corpora as text, one row after the other; null texts are left out."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("value"), name)
-    rows.write.mode("overwrite").partitionBy(name).text(path)
+    packed(rows, [name]).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(name).text(path)
 
 
 def write_ranges(df: DataFrame, path: str, name: str = "toxicity_bin") -> None:

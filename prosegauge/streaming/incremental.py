@@ -45,7 +45,7 @@ def incremental_enrich(
     def collect(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         earlier = read_collected(spark, path, schema).where(F.col(BATCH) < number)
-        fresh = pending(batch.dropDuplicates([key]), earlier, [key])
+        fresh = pending(batch.dropDuplicates([key]), earlier, [key], hot_rows=None)
         done = accepted(enrich(fresh)).select(*schema.fieldNames())
         done.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
 

@@ -55,8 +55,9 @@ def test_model_folders(spark, tmp_path):
 
 def test_prompts_csv_roundtrip(spark, tmp_path):
     texts = ['say "hi", twice', "line\nbreak", "null", "None", "back\\slash"]
-    rows = spark.createDataFrame([(t, 0.5) for t in texts], "Prompts string, toxicity double")
+    rows = spark.createDataFrame([(t, 0.5) for t in texts], "prompt string, toxicity double")
     writers.write_csv(rows, str(tmp_path / "p"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "p")).columns == ["Prompts", "toxicity"]
     back = readers.read_prompts(spark, str(tmp_path / "p"))
     assert sorted(map(tuple, back.collect())) == sorted((t, 0.5) for t in texts)
 
@@ -84,6 +85,8 @@ def test_ranges_prune_partitions(spark, tmp_path):
     one = readers.select_range(back, "0-0.25")
     assert [r.row_id for r in one.collect()] == [1]
     assert readers.load_ranges(back, ["0.25-0.5"]).count() == 0
+    writers.write_ranges(rows.where("row_id = 1"), str(tmp_path / "r"))  # leaves nothing of an earlier run
+    assert spark.read.schema(rows.schema).parquet(str(tmp_path / "r")).count() == 1
     assert re.search(r"PartitionFilters: \[[^\]]*toxicity_bin#\d+ = 0-0.25", plan_of(one))
 
 
