@@ -43,6 +43,7 @@ def arguments() -> argparse.ArgumentParser:
     local.add_argument("ranges")
     local.add_argument("out")
     local.add_argument("--model", type=named_plugin, action="append", required=True, metavar="NAME=MODULE:FACTORY")
+    local.add_argument("--partitions", type=int, help="tasks a model runs in")
     local.add_argument("--variant", help="tag added to the model names")
     local.add_argument("--banned", help="file of terms not to be written")
     local.add_argument("--tokenizer", type=plugin, help="needed with --banned")
@@ -95,7 +96,8 @@ def main(argv: list[str] | None = None) -> None:
             banned = None
             if args.banned:
                 banned = banned_sequences(load_lexicon(spark, args.banned), tokenizer=args.tokenizer)
-            generate_responses(ranges, args.out, dict(args.model), config, args.variant, banned)
+            models = dict(args.model)
+            generate_responses(ranges, args.out, models, config, args.variant, banned, partitions=args.partitions)
         else:
             name, factory = args.model
             collect_responses(ranges, args.out, name, factory, config, args.quota, args.tokenizer, rejects=args.rejects)

@@ -47,16 +47,18 @@ def generate_responses(
     variant: str | None = None,
     banned: list | None = None,
     label: str = "toxicity_bin",
+    partitions: int | None = None,
 ) -> None:
     """Continue every prompt with every local model and replace that model's results.
 
     Plug-ins give the full text, prompt included. With ``banned`` sequences they are built
-    as ``factory(banned)``, and results go under the model's ``variant``.
+    as ``factory(banned)``, and results go under the model's ``variant``. ``partitions``
+    is the number of tasks a model runs in, those of ``ranges`` by default.
     """
     prompts = ranges.select("prompt", F.col(label).alias("label")).where("prompt is not null")
     for name, factory in models.items():
         plugin = factory if banned is None else partial(factory, banned)
-        full = enrich_text(prompts, plugin, name="_full", batch_size=config.batch_size)
+        full = enrich_text(prompts, plugin, "prompt", "_full", config.batch_size, partitions)
         text = clean_continuation(strip_prompt_prefix(F.col("_full"), F.col("prompt")))
         results = full.select(
             "prompt",
@@ -65,7 +67,7 @@ def generate_responses(
             model_variant(F.lit(name), F.lit(variant)).alias("model"),
             "label",
         )
-        write_responses(results, path)
+        write_responses(results, path, pack=False)
 
 
 def collected(spark: SparkSession, path: str, model: str) -> DataFrame:

@@ -25,15 +25,15 @@ def session(app: str = "prosegauge", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a fresh one in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own in local mode."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="prosegauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="prosegauge-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -51,8 +51,7 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; keeps partition order and contents."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(spark))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -37,9 +37,13 @@ def write_ranges(df: DataFrame, path: str, name: str = "toxicity_bin") -> None:
     write_table(df, path, [name])
 
 
-def write_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "label")) -> None:
-    """Replace the results of the models and ranges in ``df``, and of no others."""
-    writer = packed(df, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "label"), pack: bool = True) -> None:
+    """Replace the results of the models and ranges in ``df``, and of no others.
+
+    Without ``pack`` every task writes what it has. Results that were costly to make then
+    go straight to the table, and a lost executor takes none of them with it.
+    """
+    writer = (packed(df, by) if pack else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*by).parquet(path)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.operators import split, take
 
-TUNINGS = [{}, {"settle_rows": 10, "slices": 4}, {"settle_rows": 1, "slices": 256}]
+TUNINGS = [{}, {"settle_rows": 1, "slices": 64}]
 SCORES = [0.0, -1e-9, 0.25, 0.2500001, 0.5, 0.75, 1.0, 1.0000001, float("nan"), None]
 
 
@@ -50,7 +50,7 @@ def heads(rows, n):
 
 
 @pytest.mark.parametrize("tuning", TUNINGS)
-@pytest.mark.parametrize("n", [0, 1, 3, 77, 5000, {("a",): 250, ("b",): 2}])
+@pytest.mark.parametrize("n", [0, 77, 5000, {("a",): 250, ("b",): 2}])
 def test_heads(skewed, n, tuning):
     frame, rows = skewed
     got = take.head_per_group(frame, ["g"], "row_id", n, **tuning)
@@ -101,7 +101,7 @@ def test_balance(spark):
 
 
 @pytest.mark.parametrize("tuning", TUNINGS)
-@pytest.mark.parametrize("size", [0, 5, 30, 1000])
+@pytest.mark.parametrize("size", [0, 5, 30])
 def test_equalize(spark, size, tuning):
     scores = [0.1] * 200 + [0.3] * 80 + [0.6] * 20 + [0.9] * 50 + [1.5, float("nan")]
     rows = spark.createDataFrame(list(enumerate(scores)), "row_id long, score double")
