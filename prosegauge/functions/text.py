@@ -46,9 +46,12 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
 
 
-def words(text: Column) -> Column:
-    """White-space tokens; an empty array for a blank text."""
-    return F.array_remove(F.split(text, _SPACE + "+"), "")
+def words(text: Column, limit: int | None = None) -> Column:
+    """White-space tokens, the first ``limit`` if given; an empty array for a blank text."""
+    if limit is None:
+        return F.array_remove(F.split(text, _SPACE + "+"), "")
+    # one part may be empty, and the last one holds all that is left
+    return F.slice(F.array_remove(F.split(text, _SPACE + "+", limit + 2), ""), 1, limit)
 
 
 def _pick(test: Column, first: Column, second: Column) -> Column:

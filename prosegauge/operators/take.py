@@ -10,9 +10,9 @@ itself is then a filter, with neither shuffle nor sort, and reaches the scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,6 @@ SLICES = 1024
 SETTLE_ROWS = 100_000
 MAX_GROUPS = 1_000
 FILTER_GROUPS = 32
-SALTS = 64
 
 Quota = int | Mapping[tuple, int]
 
@@ -40,19 +39,17 @@ class Span(NamedTuple):
     high: int
 
 
-def group_spans(df: DataFrame, keys: Sequence[str], rank: Column, limit: int = MAX_GROUPS) -> dict[tuple, Span] | None:
-    """The span of every group in one pass; None for more than ``limit`` groups."""
+def group_spans(df: DataFrame, keys: Sequence[str], rank: Column) -> tuple[dict[tuple, Span], bool]:
+    """The spans of the ``MAX_GROUPS`` largest groups in one pass, and whether these are all."""
     groups, names = _group_columns(keys)
-    rows = (
+    spans = (
         df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"))
         .groupBy(*names)
         .agg(F.count("*").alias("n"), F.min("_rank").alias("low"), F.max("_rank").alias("high"))
-        .limit(limit + 1)
-        .collect()
     )
-    if len(rows) > limit:
-        return None
-    return {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows}
+    rows = spans.orderBy(F.desc("n")).limit(MAX_GROUPS + 1).collect()
+    largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows[:MAX_GROUPS]}
+    return largest, len(rows) <= MAX_GROUPS
 
 
 def _group_columns(keys: Sequence[str]) -> tuple[list[Column], list[str]]:
@@ -74,59 +71,87 @@ def take_first(
     ``rank`` is a long and with ``tie`` tells all rows of a group apart. ``quota`` is one
     number or one per group; groups it does not name give no row. ``spans`` saves the
     first pass where sizes and bounds are known. ``df`` must give the same rows each
-    time it is read.
+    time it is read. Groups beyond the largest ``MAX_GROUPS`` are so small a part of
+    the rows that sorting each in a task will do.
     """
-    spans = spans or group_spans(df, keys, rank)
+    complete = True
     if spans is None:
-        return _take_by_window(df, keys, rank, tie, quota)
+        spans, complete = group_spans(df, keys, rank)
     groups, names = _group_columns(keys)
     slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"), tie.alias("_tie"))
-    whole, cuts, open_groups = [], {}, {}
+    whole, cuts, searches = [], {}, {}
     for group, span in spans.items():
         wanted = quota if isinstance(quota, int) else quota.get(group, 0)
         if wanted >= span.n:
             whole.append(group)
         elif wanted > 0:
-            open_groups[group] = _Span(span.low, span.high, span.n, wanted)
+            searches[group] = _Search(span.low, span.high, span.n, wanted)
 
-    while wide := {g: s for g, s in open_groups.items() if s.rows > settle_rows}:
+    while wide := {g: s for g, s in searches.items() if s.rows > settle_rows}:
         stuck = [g for g, s in wide.items() if s.low == s.high]
         if stuck:
             raise ValueError(f"rank does not tell the rows of {stuck[0]} apart")
-        open_groups.update(_narrow(slim, names, wide, slices))
-    if open_groups:
-        cuts = _settle(slim, names, open_groups)
-    return _filtered(df, groups, names, whole, cuts, rank, tie)
+        searches.update(_narrow(slim, names, wide, slices))
+    if searches:
+        cuts = _settle(slim, names, searches)
+    taken = _filtered(df, groups, names, whole, cuts, rank, tie)
+    if complete:
+        return taken
+    large = _group_frame(slim, names, [(*group,) for group in spans], "")
+    small = df.join(F.broadcast(large), _same(groups, names), "left_anti")
+    return taken.unionByName(_take_by_window(small, keys, rank, tie, quota))
+
+
+class _Search(NamedTuple):
+    """Ranks still in question in a group: their rows, and which of them is the last one wanted."""
+
+    low: int
+    high: int
+    rows: int
+    nth: int
 
 
-class _Span:
-    """Ranks still in question in a group: their rows, and which of them is the last one wanted."""
+def _same(groups: list[Column], names: list[str]) -> Column:
+    return reduce(and_, [g.eqNullSafe(F.col(n)) for g, n in zip(groups, names)])
 
-    def __init__(self, low: int, high: int, rows: int, nth: int) -> None:
-        self.low, self.high, self.rows, self.nth = low, high, rows, nth
 
+def _is_group(names: Sequence, group: tuple) -> Column:
+    return reduce(and_, [(F.col(n) if isinstance(n, str) else n).eqNullSafe(F.lit(v)) for n, v in zip(names, group)])
 
-def _spans_frame(slim: DataFrame, names: list[str], spans: Mapping[tuple, _Span], width: Callable) -> DataFrame:
-    fields = slim.schema
-    shape = ", ".join(f"{n} {fields[n].dataType.simpleString()}" for n in names)
-    rows = [(*g, s.low, s.high, s.nth, width(s)) for g, s in spans.items()]
-    return slim.sparkSession.createDataFrame(rows, f"{shape}, low bigint, high bigint, nth bigint, width bigint")
 
+def _group_frame(slim: DataFrame, names: list[str], rows: list[tuple], more: str) -> DataFrame:
+    """Driver-side facts as a frame, one row for each of ``MAX_GROUPS`` groups at most."""
+    shape = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names)
+    return slim.sparkSession.createDataFrame(rows, shape + more)
 
-def _within(slim: DataFrame, names: list[str], frame: DataFrame) -> DataFrame:
-    frame = frame.select(*[F.col(n).alias(f"s{n}") for n in names], "low", "high", "nth", "width")
-    same = [slim[n].eqNullSafe(frame[f"s{n}"]) for n in names]
-    near = (F.col("_rank") >= F.col("low")) & (F.col("_rank") <= F.col("high"))
-    # one row per group, MAX_GROUPS of them at most
-    return slim.join(F.broadcast(frame), [*same, near])
 
+def _within(slim: DataFrame, names: list[str], searches: Mapping[tuple, _Search], slices: int) -> DataFrame:
+    """The rows whose rank is in question, with what is sought in their group."""
+    facts = {g: (s.low, s.high, s.nth, max(1, -(-(s.high - s.low + 1) // slices))) for g, s in searches.items()}
+    near = F.col("_rank").between(F.col("low"), F.col("high"))
+    if len(facts) > FILTER_GROUPS:
+        rows = [(*group, *known) for group, known in facts.items()]
+        frame = _group_frame(slim, names, rows, ", low bigint, high bigint, nth bigint, width bigint")
+        frame = frame.withColumnsRenamed({n: f"s{n}" for n in names})
+        return slim.join(F.broadcast(frame), _same([F.col(n) for n in names], [f"s{n}" for n in names]) & near)
+    # few groups: plain tests, which reach the scan
+    tests = [_is_group(names, g) & F.col("_rank").between(low, high) for g, (low, high, *_) in facts.items()]
+    sought = {}
+    for place, name in ((2, "nth"), (3, "width")):
+        sought[name] = F.coalesce(
+            *[F.when(_is_group(names, g), F.lit(known[place]).cast("bigint")) for g, known in facts.items()]
+        )
+    return slim.where(reduce(or_, tests)).withColumns(sought)
 
-def _narrow(slim: DataFrame, names: list[str], spans: dict[tuple, _Span], slices: int) -> dict[tuple, _Span]:
-    frame = _spans_frame(slim, names, spans, lambda s: max(1, -(-(s.high - s.low + 1) // slices)))
+
+def _narrow(
+    slim: DataFrame, names: list[str], searches: dict[tuple, _Search], slices: int
+) -> dict[tuple, _Search]:
+    """Count the rows per slice of the ranks in question and keep the slice with the n-th row."""
     slice_no = F.expr("(_rank - pmod(_rank, width)) div width")
     counts = (
-        _within(slim, names, frame)
-        .groupBy(*names, slice_no.alias("slice"), "low", "high", "nth", "width")
+        _within(slim, names, searches, slices)
+        .groupBy(*names, slice_no.alias("slice"), "nth", "width")
         .agg(F.count("*").alias("n"))
     )
     upto = Window.partitionBy(*names).orderBy("slice")
@@ -137,63 +162,56 @@ def _narrow(slim: DataFrame, names: list[str], spans: dict[tuple, _Span], slices
     )
     result = {}
     for row in found:
-        start = row.slice * row.width
-        low, high = max(row.low, start), min(row.high, start + row.width - 1)
-        result[tuple(row[n] for n in names)] = _Span(low, high, row.n, row.nth - (row.upto - row.n))
+        group, start = tuple(row[n] for n in names), row.slice * row.width
+        low, high = max(searches[group].low, start), min(searches[group].high, start + row.width - 1)
+        result[group] = _Search(low, high, row.n, row.nth - (row.upto - row.n))
     return result
 
 
-def _settle(slim: DataFrame, names: list[str], spans: dict[tuple, _Span]) -> dict[tuple, tuple]:
-    near = _within(slim, names, _spans_frame(slim, names, spans, lambda s: 1))
+def _settle(slim: DataFrame, names: list[str], searches: dict[tuple, _Search]) -> dict[tuple, tuple]:
+    """The (rank, tie) of the last row wanted, out of the few rows left in question."""
     order = Window.partitionBy(*names).orderBy("_rank", "_tie")
-    ordered = near.withColumns(
+    ordered = _within(slim, names, searches, 1).withColumns(
         {"place": F.row_number().over(order), "after": F.lead(F.struct("_rank", "_tie")).over(order)}
     )
     cuts = {}
     for row in ordered.where("place = nth").collect():
-        if row.after is not None and (row.after["_rank"], row.after["_tie"]) == (row["_rank"], row["_tie"]):
+        if row.after is not None and tuple(row.after) == (row["_rank"], row["_tie"]):
             raise ValueError("rank and tie do not tell all rows apart")
         cuts[tuple(row[n] for n in names)] = (row["_rank"], row["_tie"])
     return cuts
 
 
-def _filtered(df, groups, names, whole, cuts, rank, tie) -> DataFrame:
+def _filtered(
+    df: DataFrame, groups: list[Column], names: list[str], whole: list[tuple], cuts: dict, rank: Column, tie: Column
+) -> DataFrame:
+    """The rows of whole groups, and of cut ones those up to the cut."""
     if not whole and not cuts:
         return df.where(F.lit(False))
     if len(whole) + len(cuts) <= FILTER_GROUPS:
-        same = lambda group: reduce(lambda a, b: a & b, [g.eqNullSafe(F.lit(v)) for g, v in zip(groups, group)])
-        tests = [same(group) for group in whole]
-        tests += [
-            same(group) & ((rank < last) | ((rank == last) & (tie <= F.lit(last_tie))))
-            for group, (last, last_tie) in cuts.items()
-        ]
+        tests = [_is_group(groups, group) for group in whole]
+        for group, (last, last_tie) in cuts.items():
+            tests.append(_is_group(groups, group) & ((rank < last) | ((rank == last) & (tie <= F.lit(last_tie)))))
         return df.where(reduce(or_, tests))
-    tie_type = df.select(tie.alias("t")).schema["t"].dataType.simpleString()
-    types = df.select(*[g.alias(n) for g, n in zip(groups, names)]).schema
-    shape = ", ".join(f"{n} {types[n].dataType.simpleString()}" for n in names)
+    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], tie.alias("_tie"))
     rows = [(*g, None, None) for g in whole] + [(*g, *cut) for g, cut in cuts.items()]
-    frame = df.sparkSession.createDataFrame(rows, f"{shape}, _last bigint, _last_tie {tie_type}")
+    tie_type = slim.schema["_tie"].dataType.simpleString()
+    frame = _group_frame(slim, names, rows, f", _last bigint, _last_tie {tie_type}")
     test = F.col("_last").isNull() | (rank < F.col("_last")) | ((rank == F.col("_last")) & (tie <= F.col("_last_tie")))
-    same = [g.eqNullSafe(F.col(n)) for g, n in zip(groups, names)]
-    return df.join(F.broadcast(frame), [*same, test]).select(*df.columns)
+    return df.join(F.broadcast(frame), _same(groups, names) & test).select(*df.columns)
 
 
 def _take_by_window(df: DataFrame, keys: Sequence[str], rank: Column, tie: Column, quota: Quota) -> DataFrame:
-    """For many groups: rank within salted parts of each group, then among what they leave."""
     rows = df.withColumns({"_rank": rank, "_tie": tie})
     if isinstance(quota, int):
         rows = rows.withColumn("_quota", F.lit(quota))
     else:
-        types = df.select(*keys).schema
-        shape = ", ".join(f"_q{i} {types[k].dataType.simpleString()}" for i, k in enumerate(keys))
-        frame = df.sparkSession.createDataFrame([(*g, n) for g, n in quota.items()], f"{shape}, _quota bigint")
-        same = [F.col(k).eqNullSafe(F.col(f"_q{i}")) for i, k in enumerate(keys)]
-        rows = rows.join(frame, same).drop(*[f"_q{i}" for i in range(len(keys))])
-    salt = F.pmod(F.xxhash64("_rank", "_tie"), F.lit(SALTS))
-    part = Window.partitionBy(*keys, "_salt").orderBy("_rank", "_tie")
-    group = Window.partitionBy(*keys).orderBy("_rank", "_tie")
-    rows = rows.withColumn("_salt", salt).withColumn("_place", F.row_number().over(part)).where("_place <= _quota")
-    return rows.withColumn("_place", F.row_number().over(group)).where("_place <= _quota").select(*df.columns)
+        names = [f"_q{i}" for i in range(len(keys))]
+        slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        frame = _group_frame(slim, names, [(*g, n) for g, n in quota.items()], ", _quota bigint")
+        rows = rows.join(frame, _same([F.col(k) for k in keys], names))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "_tie"))
+    return rows.withColumn("_place", place).where("_place <= _quota").select(*df.columns)
 
 
 def head_per_group(df: DataFrame, keys: Sequence[str], order: str, n: Quota, **tuning: int) -> DataFrame:
@@ -221,7 +239,7 @@ def balance_classes(df: DataFrame, name: str, order: str, classes: Sequence = (0
     """Cut every class to the size of the smallest, in source order."""
     rows = df.where(F.col(name).isin(list(classes)))
     rank = F.col(order).cast("bigint")
-    spans = group_spans(rows, [name], rank)
+    spans, _ = group_spans(rows, [name], rank)
     smallest = min(spans[(c,)].n if (c,) in spans else 0 for c in classes)
     return take_first(rows, [name], rank, rank, smallest, spans, **tuning)
 
@@ -246,7 +264,7 @@ def equalize_ranges(
     binned = df.withColumn(label, bucketize(F.col(score), edges, labels))
     binned = binned.where(F.col(label).isNotNull())
     rank = F.col(order).cast("bigint")
-    spans = group_spans(binned, [label], rank)
+    spans, _ = group_spans(binned, [label], rank)
     sizes = {(name,): spans[(name,)].n if (name,) in spans else 0 for name in labels}
     headed = binned
     if size and max(sizes.values()) > size:
@@ -274,6 +292,7 @@ def take_quota(
     """
     if quota == 0:
         return pending
+    # groups are models by ranges
     counts = done.groupBy(*keys).agg(F.countDistinct(prompt).alias("n")).limit(MAX_GROUPS + 1).collect()
     if len(counts) > MAX_GROUPS:
         raise ValueError("too many groups with a quota")

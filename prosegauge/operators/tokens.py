@@ -103,7 +103,7 @@ def tokenize_pad(
     if tokenizer is not None:
         ids = df.select(*key, encoder(tokenizer)(F.col(text)).alias("ids"))
     else:
-        ids = token_ids(df, key, F.slice(words(F.col(text)), 1, length), vocab)
+        ids = token_ids(df, key, words(F.col(text), length), vocab)
         if unknown == "raise":
             message = F.lit("token missing from the vocabulary")
             checked = F.when(F.col("n_unknown") == 0, F.col("ids")).otherwise(F.raise_error(message).cast("array<int>"))

@@ -57,16 +57,17 @@ def test_heads(skewed, n, tuning):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(heads(rows, n), key=repr)
 
 
-def test_heads_of_many_groups(spark, skewed, monkeypatch):
+@pytest.mark.parametrize("tuning", TUNINGS)
+@pytest.mark.parametrize("n", [3, 250, {("a",): 250, ("b",): 2}])
+def test_heads_of_many_groups(skewed, monkeypatch, n, tuning):
     frame, rows = skewed
-    rank = F.col("row_id")
-    for n in (3, {("a",): 250, ("b",): 2}):
-        got = take._take_by_window(frame, ["g"], rank, rank, n)
-        assert sorted(map(tuple, got.collect()), key=repr) == sorted(heads(rows, n), key=repr)
-    monkeypatch.setattr(take, "FILTER_GROUPS", 0)
-    got = take.head_per_group(frame, ["g"], "row_id", 3)
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(heads(rows, 3), key=repr)
-    assert take.group_spans(frame, ["g"], rank, 2) is None
+    want = sorted(heads(rows, n), key=repr)
+    monkeypatch.setattr(take, "FILTER_GROUPS", 0)  # facts of groups are joined
+    assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
+    monkeypatch.setattr(take, "MAX_GROUPS", 1)  # all but the largest group go through a window
+    spans, complete = take.group_spans(frame, ["g"], F.col("row_id"))
+    assert list(spans) == [("a",)] and not complete
+    assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
 
 
 def test_taking_is_a_filter(skewed):

@@ -71,6 +71,8 @@ def test_response_order(column):
 def test_white_space_as_in_python(column, texts):
     assert column(t.clean_continuation, texts, ["x"]) == [" ".join(x.split()).replace('"', "'") for x in texts]
     assert column(t.words, texts, ["x"]) == [x.split() for x in texts]
+    for limit in (1, 2, 5):
+        assert column(lambda x: t.words(x, limit), texts, ["x"]) == [x.split()[:limit] for x in texts]
     assert column(t.strip, texts, ["x"]) == [x.strip() for x in texts]
 
 
