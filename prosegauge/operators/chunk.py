@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -52,13 +54,12 @@ def chunk_corpus(
     )
     earlier = Window.partitionBy(*by, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     # one row of three numbers per corpus and block, MAX_BLOCKS blocks at most
-    placed = rows.withColumn("_before", F.coalesce(F.sum("_length").over(earlier), F.lit(0))).join(
-        F.broadcast(offsets), [*by, "_block"]
-    )
+    placed = rows.withColumn("_before", F.coalesce(F.sum("_length").over(earlier), F.lit(0))).alias("rows")
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"offsets.{c}")) for c in [*by, "_block"]]
+    placed = placed.join(F.broadcast(offsets.alias("offsets")), reduce(and_, same))
     start = F.col("_base") + F.col("_before")
     placed = placed.select(
-        *by,
-        "_block",
+        *[F.col(f"rows.{c}") for c in [*by, "_block"]],
         "_line",
         start.alias("_start"),
         (start + F.col("_length")).alias("_end"),

@@ -103,9 +103,12 @@ def score_attributes(
     neither a score, unsupported nor busy fails the job, unless ``dead_letters`` keeps it
     with its status.
     """
-    rows = df.drop(*attrs, "status").withColumn("_key", text_key(F.col(text)))
-    texts = rows.where(F.col(text).isNotNull()).groupBy("_key", F.col(text).alias("_text"))
-    distinct = texts.agg(F.count("*").alias("_rows"))
+    # rows without a text match nothing; a key per task keeps them spread
+    no_text = F.concat(F.lit("null "), F.spark_partition_id().cast("string"))
+    rows = df.drop(*attrs, "status")
+    rows = rows.withColumn("_key", F.when(F.col(text).isNull(), no_text).otherwise(text_key(F.col(text))))
+    texts = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("_text")).agg(F.count("*").alias("_rows"))
+    distinct = texts.select(text_key(F.col("_text")).alias("_key"), "_text", "_rows")
     if pace or partitions:
         distinct = distinct.repartition(pace.lanes if pace else partitions)
     schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("status", T.IntegerType())])

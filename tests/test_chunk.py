@@ -31,11 +31,11 @@ def test_corpus(spark, block_rows):
 
 def test_corpora_and_outlying_order(spark):
     rows = [("x", i, text) for i, text in corpus(4, 40)] + [("y", i + 7, text) for i, text in corpus(5, 20)]
-    rows += [("y", 1 << 62, "far away")]
+    rows += [("y", 1 << 62, "far away")] + [(None, i, text) for i, text in corpus(9, 15)]
     frame = spark.createDataFrame(rows, "name string, row_id long, text string")
     got = chunk.chunk_corpus(frame, size=SIZE, by=["name"], block_rows=6)
-    for name in ("x", "y"):
-        chunks = [r.chunk for r in got.where(F.col("name") == name).orderBy("chunk_id").collect()]
+    for name in ("x", "y", None):
+        chunks = [r.chunk for r in got.where(F.col("name").eqNullSafe(name)).orderBy("chunk_id").collect()]
         assert chunks == sliced([text for n, _, text in sorted(rows, key=lambda r: r[1]) if n == name])
 
 
