@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +39,41 @@ class Span(NamedTuple):
     high: int
 
 
-def group_spans(df: DataFrame, keys: Sequence[str], rank: Column) -> tuple[dict[tuple, Span], bool]:
+class SourceOrder:
+    """Order of a unique long column."""
+
+    def __init__(self, name: str) -> None:
+        self.rank = self.place = F.col(name).cast("bigint")
+        self.span = [F.min(self.rank).alias("low"), F.max(self.rank).alias("high")]
+
+    def first(self, rank: int) -> int:
+        return rank
+
+    last = first
+
+
+class SeededOrder:
+    """Order of the md5 of a seed and a unique key; its first 60 bits rank it."""
+
+    def __init__(self, seed: int, key: str) -> None:
+        self.place = seeded_digest(seed, F.col(key))
+        self.rank = digest_rank(self.place)
+        self.span = [F.lit(0).alias("low"), F.lit((1 << 60) - 1).alias("high")]
+
+    def first(self, rank: int) -> str:
+        return f"{rank:015x}"
+
+    def last(self, rank: int) -> str:
+        return f"{rank:015x}g"  # g comes after all hex digits
+
+
+Order = SourceOrder | SeededOrder
+
+
+def group_spans(df: DataFrame, keys: Sequence[str], order: Order) -> tuple[dict[tuple, Span], bool]:
     """The spans of the ``MAX_GROUPS`` largest groups in one pass, and whether these are all."""
     groups, names = _group_columns(keys)
-    spans = (
-        df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"))
-        .groupBy(*names)
-        .agg(F.count("*").alias("n"), F.min("_rank").alias("low"), F.max("_rank").alias("high"))
-    )
+    spans = df.groupBy(*[g.alias(n) for g, n in zip(groups, names)]).agg(F.count("*").alias("n"), *order.span)
     rows = spans.orderBy(F.desc("n")).limit(MAX_GROUPS + 1).collect()
     largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows[:MAX_GROUPS]}
     return largest, len(rows) <= MAX_GROUPS
@@ -59,56 +86,62 @@ def _group_columns(keys: Sequence[str]) -> tuple[list[Column], list[str]]:
 def take_first(
     df: DataFrame,
     keys: Sequence[str],
-    rank: Column,
-    tie: Column,
+    order: Order,
     quota: Quota,
     spans: Mapping[tuple, Span] | None = None,
     slices: int = SLICES,
     settle_rows: int = SETTLE_ROWS,
 ) -> DataFrame:
-    """The rows of each group that come first by (rank, tie), ``quota`` of them.
+    """The rows of each group that come first in ``order``, ``quota`` of them.
 
-    ``rank`` is a long and with ``tie`` tells all rows of a group apart. ``quota`` is one
-    number or one per group; groups it does not name give no row. ``spans`` saves the
-    first pass where sizes and bounds are known. ``df`` must give the same rows each
-    time it is read. Groups beyond the largest ``MAX_GROUPS`` are so small a part of
-    the rows that sorting each in a task will do.
+    ``quota`` is one number or one per group; groups it does not name give no row.
+    ``spans`` saves the first pass where sizes and bounds are known. ``df`` must give the
+    same rows each time it is read. Groups beyond the largest ``MAX_GROUPS`` are so small
+    a part of the rows that sorting each in a task will do.
     """
     complete = True
     if spans is None:
-        spans, complete = group_spans(df, keys, rank)
+        spans, complete = group_spans(df, keys, order)
     groups, names = _group_columns(keys)
-    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], rank.alias("_rank"), tie.alias("_tie"))
+    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], order.rank.alias("_rank"), order.place.alias("_place"))
     whole, cuts, searches = [], {}, {}
     for group, span in spans.items():
         wanted = quota if isinstance(quota, int) else quota.get(group, 0)
         if wanted >= span.n:
             whole.append(group)
         elif wanted > 0:
-            searches[group] = _Search(span.low, span.high, span.n, wanted)
+            searches[group] = _Search(span.low, span.high, span.n, wanted, True)
 
     while wide := {g: s for g, s in searches.items() if s.rows > settle_rows}:
         stuck = [g for g, s in wide.items() if s.low == s.high]
         if stuck:
-            raise ValueError(f"rank does not tell the rows of {stuck[0]} apart")
-        searches.update(_narrow(slim, names, wide, slices))
+            raise ValueError(f"the order does not tell the rows of {stuck[0]} apart")
+        searches.update(_all_found(_narrow(slim, names, order, wide, slices), wide))
     if searches:
-        cuts = _settle(slim, names, searches)
-    taken = _filtered(df, groups, names, whole, cuts, rank, tie)
+        cuts = _all_found(_settle(slim, names, order, searches), searches)
+    taken = _filtered(df, groups, names, slim, order, whole, cuts)
     if complete:
         return taken
-    large = _group_frame(slim, names, [(*group,) for group in spans], "")
+    large = _group_frame(slim, names, list(spans), "")
     small = df.join(F.broadcast(large), _same(groups, names), "left_anti")
-    return taken.unionByName(_take_by_window(small, keys, rank, tie, quota))
+    return taken.unionByName(_take_by_window(small, keys, order, quota))
+
+
+def _all_found(found: dict, sought: dict) -> dict:
+    if len(found) < len(sought):
+        raise ValueError("the order holds nulls, or the rows changed between two readings")
+    return found
 
 
 class _Search(NamedTuple):
-    """Ranks still in question in a group: their rows, and which of them is the last one wanted."""
+    """Ranks still in question in a group: their rows, which of them is the last one
+    wanted, and whether they are all the group has."""
 
     low: int
     high: int
     rows: int
     nth: int
+    all: bool
 
 
 def _same(groups: list[Column], names: list[str]) -> Column:
@@ -119,38 +152,40 @@ def _is_group(names: Sequence, group: tuple) -> Column:
     return reduce(and_, [(F.col(n) if isinstance(n, str) else n).eqNullSafe(F.lit(v)) for n, v in zip(names, group)])
 
 
-def _group_frame(slim: DataFrame, names: list[str], rows: list[tuple], more: str) -> DataFrame:
+def _group_frame(slim: DataFrame, names: list[str], rows: list, more: str) -> DataFrame:
     """Driver-side facts as a frame, one row for each of ``MAX_GROUPS`` groups at most."""
     shape = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in names)
     return slim.sparkSession.createDataFrame(rows, shape + more)
 
 
-def _within(slim: DataFrame, names: list[str], searches: Mapping[tuple, _Search], slices: int) -> DataFrame:
-    """The rows whose rank is in question, with what is sought in their group."""
-    facts = {g: (s.low, s.high, s.nth, max(1, -(-(s.high - s.low + 1) // slices))) for g, s in searches.items()}
-    near = F.col("_rank").between(F.col("low"), F.col("high"))
-    if len(facts) > FILTER_GROUPS:
-        rows = [(*group, *known) for group, known in facts.items()]
-        frame = _group_frame(slim, names, rows, ", low bigint, high bigint, nth bigint, width bigint")
+def _within(slim: DataFrame, names: list[str], order: Order, searches: Mapping[tuple, _Search], slices: int) -> DataFrame:
+    """The rows in question, with what is sought in their group."""
+    place = F.col("_place")
+    width = {g: max(1, -(-(s.high - s.low + 1) // slices)) for g, s in searches.items()}
+    if len(searches) > FILTER_GROUPS:
+        rows = [(*g, order.first(s.low), order.last(s.high), s.nth, width[g]) for g, s in searches.items()]
+        kind = slim.schema["_place"].dataType.simpleString()
+        frame = _group_frame(slim, names, rows, f", low {kind}, high {kind}, nth bigint, width bigint")
         frame = frame.withColumnsRenamed({n: f"s{n}" for n in names})
-        return slim.join(F.broadcast(frame), _same([F.col(n) for n in names], [f"s{n}" for n in names]) & near)
+        same = _same([F.col(n) for n in names], [f"s{n}" for n in names])
+        return slim.join(F.broadcast(frame), same & place.between(F.col("low"), F.col("high")))
     # few groups: plain tests, which reach the scan
-    tests = [_is_group(names, g) & F.col("_rank").between(low, high) for g, (low, high, *_) in facts.items()]
-    sought = {}
-    for place, name in ((2, "nth"), (3, "width")):
-        sought[name] = F.coalesce(
-            *[F.when(_is_group(names, g), F.lit(known[place]).cast("bigint")) for g, known in facts.items()]
-        )
+    tests = []
+    for group, s in searches.items():
+        near = F.lit(True) if s.all else place.between(order.first(s.low), order.last(s.high))
+        tests.append(_is_group(names, group) & near)
+    chosen = lambda facts: F.coalesce(*[F.when(_is_group(names, g), F.lit(v).cast("bigint")) for g, v in facts.items()])
+    sought = {"nth": chosen({g: s.nth for g, s in searches.items()}), "width": chosen(width)}
     return slim.where(reduce(or_, tests)).withColumns(sought)
 
 
 def _narrow(
-    slim: DataFrame, names: list[str], searches: dict[tuple, _Search], slices: int
+    slim: DataFrame, names: list[str], order: Order, searches: dict[tuple, _Search], slices: int
 ) -> dict[tuple, _Search]:
     """Count the rows per slice of the ranks in question and keep the slice with the n-th row."""
     slice_no = F.expr("(_rank - pmod(_rank, width)) div width")
     counts = (
-        _within(slim, names, searches, slices)
+        _within(slim, names, order, searches, slices)
         .groupBy(*names, slice_no.alias("slice"), "nth", "width")
         .agg(F.count("*").alias("n"))
     )
@@ -164,60 +199,55 @@ def _narrow(
     for row in found:
         group, start = tuple(row[n] for n in names), row.slice * row.width
         low, high = max(searches[group].low, start), min(searches[group].high, start + row.width - 1)
-        result[group] = _Search(low, high, row.n, row.nth - (row.upto - row.n))
+        result[group] = _Search(low, high, row.n, row.nth - (row.upto - row.n), False)
     return result
 
 
-def _settle(slim: DataFrame, names: list[str], searches: dict[tuple, _Search]) -> dict[tuple, tuple]:
-    """The (rank, tie) of the last row wanted, out of the few rows left in question."""
-    order = Window.partitionBy(*names).orderBy("_rank", "_tie")
-    ordered = _within(slim, names, searches, 1).withColumns(
-        {"place": F.row_number().over(order), "after": F.lead(F.struct("_rank", "_tie")).over(order)}
+def _settle(slim: DataFrame, names: list[str], order: Order, searches: dict[tuple, _Search]) -> dict[tuple, Any]:
+    """The place of the last row wanted, out of the few rows left in question."""
+    sorted_rows = Window.partitionBy(*names).orderBy("_place")
+    numbered = _within(slim, names, order, searches, 1).withColumns(
+        {"number": F.row_number().over(sorted_rows), "after": F.lead("_place").over(sorted_rows)}
     )
     cuts = {}
-    for row in ordered.where("place = nth").collect():
-        if row.after is not None and tuple(row.after) == (row["_rank"], row["_tie"]):
-            raise ValueError("rank and tie do not tell all rows apart")
-        cuts[tuple(row[n] for n in names)] = (row["_rank"], row["_tie"])
+    for row in numbered.where("number = nth").collect():
+        if row.after == row["_place"]:
+            raise ValueError("the order does not tell all rows apart")
+        cuts[tuple(row[n] for n in names)] = row["_place"]
     return cuts
 
 
 def _filtered(
-    df: DataFrame, groups: list[Column], names: list[str], whole: list[tuple], cuts: dict, rank: Column, tie: Column
+    df: DataFrame, groups: list[Column], names: list[str], slim: DataFrame, order: Order, whole: list, cuts: dict
 ) -> DataFrame:
     """The rows of whole groups, and of cut ones those up to the cut."""
     if not whole and not cuts:
         return df.where(F.lit(False))
     if len(whole) + len(cuts) <= FILTER_GROUPS:
         tests = [_is_group(groups, group) for group in whole]
-        for group, (last, last_tie) in cuts.items():
-            tests.append(_is_group(groups, group) & ((rank < last) | ((rank == last) & (tie <= F.lit(last_tie)))))
+        tests += [_is_group(groups, group) & (order.place <= F.lit(cut)) for group, cut in cuts.items()]
         return df.where(reduce(or_, tests))
-    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], tie.alias("_tie"))
-    rows = [(*g, None, None) for g in whole] + [(*g, *cut) for g, cut in cuts.items()]
-    tie_type = slim.schema["_tie"].dataType.simpleString()
-    frame = _group_frame(slim, names, rows, f", _last bigint, _last_tie {tie_type}")
-    test = F.col("_last").isNull() | (rank < F.col("_last")) | ((rank == F.col("_last")) & (tie <= F.col("_last_tie")))
+    rows = [(*g, None) for g in whole] + [(*g, cut) for g, cut in cuts.items()]
+    frame = _group_frame(slim, names, rows, f", _cut {slim.schema['_place'].dataType.simpleString()}")
+    test = F.col("_cut").isNull() | (order.place <= F.col("_cut"))
     return df.join(F.broadcast(frame), _same(groups, names) & test).select(*df.columns)
 
 
-def _take_by_window(df: DataFrame, keys: Sequence[str], rank: Column, tie: Column, quota: Quota) -> DataFrame:
-    rows = df.withColumns({"_rank": rank, "_tie": tie})
+def _take_by_window(df: DataFrame, keys: Sequence[str], order: Order, quota: Quota) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order.place))
     if isinstance(quota, int):
-        rows = rows.withColumn("_quota", F.lit(quota))
+        rows = df.withColumn("_quota", F.lit(quota))
     else:
         names = [f"_q{i}" for i in range(len(keys))]
         slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
         frame = _group_frame(slim, names, [(*g, n) for g, n in quota.items()], ", _quota bigint")
-        rows = rows.join(frame, _same([F.col(k) for k in keys], names))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_rank", "_tie"))
-    return rows.withColumn("_place", place).where("_place <= _quota").select(*df.columns)
+        rows = df.join(frame, _same([F.col(k) for k in keys], names))
+    return rows.withColumn("_number", number).where("_number <= _quota").select(*df.columns)
 
 
 def head_per_group(df: DataFrame, keys: Sequence[str], order: str, n: Quota, **tuning: int) -> DataFrame:
     """The first ``n`` rows of each group in source order; ``order`` is a unique long."""
-    rank = F.col(order).cast("bigint")
-    return take_first(df, keys, rank, rank, n, **tuning)
+    return take_first(df, keys, SourceOrder(order), n, **tuning)
 
 
 def sample_exact(
@@ -227,21 +257,15 @@ def sample_exact(
 
     Rows are taken in the order of the md5 of seed and ``key``, which must be unique.
     """
-    digest = seeded_digest(seed, F.col(key))
-    return take_first(df, groups, digest_rank(digest), digest, n, **tuning)
-
-
-def _digest_spans(sizes: Mapping[tuple, int]) -> dict[tuple, Span]:
-    return {group: Span(n, 0, (1 << 60) - 1) for group, n in sizes.items()}
+    return take_first(df, groups, SeededOrder(seed, key), n, **tuning)
 
 
 def balance_classes(df: DataFrame, name: str, order: str, classes: Sequence = (0, 1), **tuning: int) -> DataFrame:
     """Cut every class to the size of the smallest, in source order."""
-    rows = df.where(F.col(name).isin(list(classes)))
-    rank = F.col(order).cast("bigint")
-    spans, _ = group_spans(rows, [name], rank)
+    rows, source = df.where(F.col(name).isin(list(classes))), SourceOrder(order)
+    spans, _ = group_spans(rows, [name], source)
     smallest = min(spans[(c,)].n if (c,) in spans else 0 for c in classes)
-    return take_first(rows, [name], rank, rank, smallest, spans, **tuning)
+    return take_first(rows, [name], source, smallest, spans, **tuning)
 
 
 def equalize_ranges(
@@ -263,18 +287,18 @@ def equalize_ranges(
     """
     binned = df.withColumn(label, bucketize(F.col(score), edges, labels))
     binned = binned.where(F.col(label).isNotNull())
-    rank = F.col(order).cast("bigint")
-    spans, _ = group_spans(binned, [label], rank)
+    source, drawn = SourceOrder(order), SeededOrder(seed, order)
+    spans, _ = group_spans(binned, [label], source)
     sizes = {(name,): spans[(name,)].n if (name,) in spans else 0 for name in labels}
     headed = binned
     if size and max(sizes.values()) > size:
-        headed = take_first(binned, [label], rank, rank, size, spans, **tuning)
+        headed = take_first(binned, [label], source, size, spans, **tuning)
         sizes = {group: min(n, size) for group, n in sizes.items()}
     common = min(sizes.values())
     if common == max(sizes.values()):
         return headed
-    digest = seeded_digest(seed, F.col(order))
-    return take_first(headed, [label], digest_rank(digest), digest, common, _digest_spans(sizes), **tuning)
+    known = {group: Span(n, 0, (1 << 60) - 1) for group, n in sizes.items()}
+    return take_first(headed, [label], drawn, common, known, **tuning)
 
 
 def take_quota(

@@ -65,7 +65,7 @@ def test_heads_of_many_groups(skewed, monkeypatch, n, tuning):
     monkeypatch.setattr(take, "FILTER_GROUPS", 0)  # facts of groups are joined
     assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
     monkeypatch.setattr(take, "MAX_GROUPS", 1)  # all but the largest group go through a window
-    spans, complete = take.group_spans(frame, ["g"], F.col("row_id"))
+    spans, complete = take.group_spans(frame, ["g"], take.SourceOrder("row_id"))
     assert list(spans) == [("a",)] and not complete
     assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
 
@@ -82,6 +82,13 @@ def test_order_must_be_unique(spark):
             take.head_per_group(same, ["g"], "row_id", 10, **tuning).count()
 
 
+@pytest.mark.parametrize("tuning", TUNINGS)
+def test_order_must_not_be_null(spark, tuning):
+    rows = spark.createDataFrame([(i if i < 5 else None,) for i in range(50)], "row_id long")
+    with pytest.raises(ValueError):
+        take.head_per_group(rows, [], "row_id", 20, **tuning)
+
+
 @pytest.mark.parametrize("tuning", TUNINGS)
 def test_sample(spark, tuning):
     frame = spark.range(1000).withColumnRenamed("id", "row_id")
