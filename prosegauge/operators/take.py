@@ -172,7 +172,7 @@ def _within(slim: DataFrame, names: list[str], order: Order, searches: Mapping[t
     # few groups: plain tests, which reach the scan
     tests = []
     for group, s in searches.items():
-        near = F.lit(True) if s.all else place.between(order.first(s.low), order.last(s.high))
+        near = place.isNotNull() if s.all else place.between(order.first(s.low), order.last(s.high))
         tests.append(_is_group(names, group) & near)
     chosen = lambda facts: F.coalesce(*[F.when(_is_group(names, g), F.lit(v).cast("bigint")) for g, v in facts.items()])
     sought = {"nth": chosen({g: s.nth for g, s in searches.items()}), "width": chosen(width)}
