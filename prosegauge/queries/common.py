@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.functions.text import SPACE, words
+from prosegauge.functions.text import SPACE
 from prosegauge.operators.shape import pair_turns
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,9 +84,6 @@ def md5_share_sql(text: str) -> str:
     return f"cast('0x' || substr(md5({text}), 1, 8) as bigint) / 4294967295.0::double"
 
 
-def joined(array) -> object:
+def joined(array: Column) -> Column:
     """Arrays as text, so that both engines hash them alike."""
     return F.array_join(array.cast("array<string>"), " ")
-
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["words"]
