@@ -6,7 +6,8 @@ import pytest
 
 HERE = Path(__file__).resolve().parent
 sys.path.insert(0, str(HERE.parent))
-os.environ["PYTHONPATH"] = str(HERE)  # plug-ins of the tests are looked up by Python workers
+# plug-ins of the tests are looked up by Python workers
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(HERE), os.environ.get("PYTHONPATH")]))
 
 from prosegauge.session import session  # noqa: E402
 

@@ -57,6 +57,13 @@ def test_variants(column):
     assert column(records.model_variant, rows, ["b", "v"]) == ["M", "M_BW", "Chat_API"]
 
 
+def test_service_fields_may_be_missing(column):
+    replies = ['{"choices": []}', '{"choices": [{"message": {}}]}', None]
+    assert column(records.chat_content, replies, ["x"]) == [None, None, None]
+    scores = column(lambda x: records.summary_scores(x, ("toxicity",)), ['{"attributeScores": {}}', None], ["x"])
+    assert [tuple(s) for s in scores] == [(None,), (None,)]
+
+
 def test_ensure_columns(spark):
     frame = shape.ensure_columns(spark.createDataFrame([(1, 0.5)], "i int, threat double"), ["threat", "insult"])
     assert frame.columns == ["i", "threat", "insult"] and frame.first().insult is None
