@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from prosegauge.queries import QUERIES
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -35,7 +36,7 @@ def rows(frame):
     return sorted((tuple(map(plain, row)) for row in frame.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     result = entry_points.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)
