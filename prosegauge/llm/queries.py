@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat
+from prosegauge.llm import chat, warc
+from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -53,3 +54,20 @@ def op1_chat_format(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     events = chat.turn_events(turns).unionByName(chat.turn_events(own))
     return chat.conversation_digests(chat.render(chat.fold(events)))
+
+
+@query("""with payloads as (select page_id, coalesce(html, '') as payload from pages),
+digests as (select page_id, strlen(payload) as payload_bytes, sha256(payload) as payload_digest from payloads),
+firsts as (select payload_digest, min(page_id) as first_id from digests where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when page_id is distinct from first_id and first_id is not null
+    then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from digests left join firsts using (payload_digest)""")
+def op2_warc_revisits(spark, sf_dir):
+    """Every page written to archives, equal payloads once, and read back from them."""
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    found = stored(warc.read_archives(spark, path), "warc-records")
+    return warc.resolve_revisits(found).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
