@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, packing, warc
+from prosegauge.llm import chat, packing, simhash, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -85,3 +85,9 @@ def op4_sequence_packing(spark, sf_dir):
     """All documents as token pieces in sequences of 2048."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+@query()
+def op7_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate class of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
