@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, packing, simhash, warc
+from prosegauge.llm import chat, langid, packing, simhash, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -91,3 +91,9 @@ def op4_sequence_packing(spark, sf_dir):
 def op7_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op3_language_id(spark, sf_dir):
+    """The language of every document, learned from those that are not held out."""
+    return langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
