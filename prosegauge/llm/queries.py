@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, langid, packing, simhash, warc
+from prosegauge.llm import chat, langid, packing, simhash, toxicity, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -97,3 +97,10 @@ def op7_simhash_near_dedup(spark, sf_dir):
 def op3_language_id(spark, sf_dir):
     """The language of every document, learned from those that are not held out."""
     return langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    """The toxicity of every document, learned from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.predict(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
