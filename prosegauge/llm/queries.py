@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, langid, packing, simhash, toxicity, warc
+from prosegauge.llm import chat, editprint, langid, packing, simhash, toxicity, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -104,3 +104,9 @@ def op9_toxicity(spark, sf_dir):
     """The toxicity of every document, learned from labels that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.predict(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query()
+def op8_edit_fingerprints(spark, sf_dir):
+    """The fingerprint of every document beside those of its edited text and of the next document."""
+    return editprint.next_and_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
