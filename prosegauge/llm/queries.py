@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, editprint, langid, packing, simhash, toxicity, warc
+from prosegauge.llm import chat, editprint, langid, packing, paragraphs, simhash, toxicity, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -110,3 +110,12 @@ def op9_toxicity(spark, sf_dir):
 def op8_edit_fingerprints(spark, sf_dir):
     """The fingerprint of every document beside those of its edited text and of the next document."""
     return editprint.next_and_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op5_repeated_passages(spark, sf_dir):
+    """Every span of a document that repeats an earlier passage, with the document that keeps it."""
+    docs = paragraphs.numbered(table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(docs).select(
+        "doc_id", "kind", "start", "length", "words", "class_id", "kept_doc_id"
+    )
