@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "parent")), F.sum(F.col("node") % 65_521)).first()
         if tuple(row) == before or not row[0]:
-            return edges.select("node", F.col("parent").alias("component"))
+            roots = edges.select(F.col("parent").alias("node"), F.col("parent").alias("component")).distinct()
+            return edges.select("node", F.col("parent").alias("component")).unionByName(roots)
         before = tuple(row)
         edges = stored(_small_star(_large_star(edges)), "edges")
