@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, editprint, langid, packing, paragraphs, simhash, toxicity, warc
+from prosegauge.llm import chat, editprint, langid, packing, paragraphs, simhash, toxicity, unigram, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -119,3 +119,13 @@ def op5_repeated_passages(spark, sf_dir):
     return paragraphs.repeats(docs).select(
         "doc_id", "kind", "start", "length", "words", "class_id", "kept_doc_id"
     )
+
+
+@query()
+def op10_unigram_pieces(spark, sf_dir):
+    """Every document encoded into pieces and decoded again."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    encoded = unigram.encode(table(spark, sf_dir, "documents"), path).withColumn("n_pieces", F.size("ids"))
+    return unigram.decode(encoded, path).select(
+        "doc_id", "n_pieces", "n_bytes", "score", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
+    )
