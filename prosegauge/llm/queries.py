@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, editprint, langid, packing, paragraphs, simhash, toxicity, unigram, warc
+from prosegauge.llm import chat, editprint, langid, neighbours, packing, paragraphs, simhash, toxicity, unigram, warc
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -129,3 +129,9 @@ def op10_unigram_pieces(spark, sf_dir):
     return unigram.decode(encoded, path).select(
         "doc_id", "n_pieces", "n_bytes", "score", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
     )
+
+
+@query()
+def op6_embedding_neighbours(spark, sf_dir):
+    """Links and near-duplicate class of every embedding."""
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
