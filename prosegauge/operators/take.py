@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from prosegauge.config import EDGES, LABELS
 from prosegauge.functions.ranks import digest_rank, seeded_digest
 from prosegauge.operators.split import bucketize
+from prosegauge.session import stored
 
 SLICES = 1024
 SETTLE_ROWS = 100_000
@@ -70,13 +71,16 @@ class SeededOrder:
 Order = SourceOrder | SeededOrder
 
 
-def group_spans(df: DataFrame, keys: Sequence[str], order: Order) -> tuple[dict[tuple, Span], bool]:
-    """The spans of the ``MAX_GROUPS`` largest groups in one pass, and whether these are all."""
+def group_spans(
+    df: DataFrame, keys: Sequence[str], order: Order, most: int | None = None
+) -> tuple[dict[tuple, Span], bool]:
+    """The spans of the groups in one pass, and whether these are all: no more than ``most`` are collected."""
+    most = MAX_GROUPS if most is None else most
     groups, names = _group_columns(keys)
     spans = df.groupBy(*[g.alias(n) for g, n in zip(groups, names)]).agg(F.count("*").alias("n"), *order.span)
-    rows = spans.orderBy(F.desc("n")).limit(MAX_GROUPS + 1).collect()
-    largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows[:MAX_GROUPS]}
-    return largest, len(rows) <= MAX_GROUPS
+    rows = spans.orderBy(F.desc("n")).limit(most + 1).collect()
+    largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows[:most]}
+    return largest, len(rows) <= most
 
 
 def _group_columns(keys: Sequence[str]) -> tuple[list[Column], list[str]]:
@@ -96,12 +100,14 @@ def take_first(
 
     ``quota`` is one number or one per group; groups it does not name give no row.
     ``spans`` saves the first pass where sizes and bounds are known. ``df`` must give the
-    same rows each time it is read. Groups beyond the largest ``MAX_GROUPS`` are so small
-    a part of the rows that sorting each in a task will do.
+    same rows each time it is read. With more than ``MAX_GROUPS`` groups the searches are a
+    table of their own instead of filters; the rows taken are the same. Where a group is
+    cut, an order value that is null or repeated at the cut is an error.
     """
-    complete = True
     if spans is None:
         spans, complete = group_spans(df, keys, order)
+        if not complete:
+            return _take_from_many(df, keys, order, quota, slices, settle_rows)
     groups, names = _group_columns(keys)
     slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], order.rank.alias("_rank"), order.place.alias("_place"))
     whole, cuts, searches = [], {}, {}
@@ -119,12 +125,7 @@ def take_first(
         searches.update(_all_found(_narrow(slim, names, order, wide, slices), wide))
     if searches:
         cuts = _all_found(_settle(slim, names, order, searches), searches)
-    taken = _filtered(df, groups, names, slim, order, whole, cuts)
-    if complete:
-        return taken
-    large = _group_frame(slim, names, list(spans), "")
-    small = df.join(F.broadcast(large), _same(groups, names), "left_anti")
-    return taken.unionByName(_take_by_window(small, keys, order, quota))
+    return _filtered(df, groups, names, slim, order, whole, cuts)
 
 
 def _all_found(found: dict, sought: dict) -> dict:
@@ -233,16 +234,85 @@ def _filtered(
     return df.join(F.broadcast(frame), _same(groups, names) & test).select(*df.columns)
 
 
-def _take_by_window(df: DataFrame, keys: Sequence[str], order: Order, quota: Quota) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(order.place))
+def _with_quota(groups: DataFrame, names: list[str], quota: Quota | DataFrame) -> DataFrame:
+    """``groups`` with the rows wanted of each, as ``_wanted``."""
     if isinstance(quota, int):
-        rows = df.withColumn("_quota", F.lit(quota))
-    else:
-        names = [f"_q{i}" for i in range(len(keys))]
-        slim = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-        frame = _group_frame(slim, names, [(*g, n) for g, n in quota.items()], ", _quota bigint")
-        rows = df.join(frame, _same([F.col(k) for k in keys], names))
-    return rows.withColumn("_number", number).where("_number <= _quota").select(*df.columns)
+        return groups.withColumn("_wanted", F.lit(quota).cast("bigint"))
+    if not isinstance(quota, DataFrame):
+        quota = _group_frame(groups, names, [(*g, n) for g, n in quota.items()], ", _wanted bigint")
+    quota = quota.withColumnsRenamed({n: f"q{n}" for n in names})
+    return groups.join(quota, _same([F.col(n) for n in names], [f"q{n}" for n in names])).drop(*[f"q{n}" for n in names])
+
+
+def _take_from_many(
+    df: DataFrame, keys: Sequence[str], order: Order, quota: Quota | DataFrame, slices: int, settle_rows: int
+) -> DataFrame:
+    """As ``take_first``, for any number of groups: sizes, searches and cuts are tables joined on the group.
+
+    ``quota`` may be a frame of the group columns and ``_wanted``. A counting pass holds at
+    most ``slices`` + 1 rows of a group, and only the last ``settle_rows`` of a group are sorted.
+    """
+    groups, names = _group_columns(keys)
+    slim = df.select(*[g.alias(n) for g, n in zip(groups, names)], order.rank.alias("_rank"), order.place.alias("_place"))
+    sizes = df.groupBy(*[g.alias(n) for g, n in zip(groups, names)]).agg(F.count("*").alias("n"), *order.span)
+    wanted = stored(_with_quota(sizes, names, quota).where("_wanted > 0"), "wanted")
+    sought = wanted.where("_wanted < n").selectExpr(
+        *names, "cast(low as bigint) as low", "cast(high as bigint) as high", "n as rows", "_wanted as nth"
+    )
+    searches, pass_no = stored(sought, "searches"), 0
+    total = searches.count()
+
+    def near(some: DataFrame) -> DataFrame:
+        """Rows in question beside what is sought in their group; nulls are looked for in the first pass."""
+        other = some.withColumnsRenamed({n: f"s{n}" for n in names})
+        same = _same([F.col(n) for n in names], [f"s{n}" for n in names])
+        within = F.col("_rank").between(F.col("low"), F.col("high"))
+        return slim.join(other, same & within)
+
+    def all_found(found: DataFrame, expected: int) -> DataFrame:
+        if found.count() < expected:
+            raise ValueError("the order holds nulls, or the rows changed between two readings")
+        return found
+
+    if total and slim.where("_rank is null").join(
+        searches.withColumnsRenamed({n: f"s{n}" for n in names}),
+        _same([F.col(n) for n in names], [f"s{n}" for n in names]),
+        "left_semi",
+    ).limit(1).count():
+        raise ValueError("the order holds nulls")
+    while not (wide := searches.where(F.col("rows") > settle_rows)).isEmpty():
+        if not wide.where("low = high").isEmpty():
+            raise ValueError("the order does not tell all rows apart")
+        # in halves, so that no difference of two longs overflows
+        wide = wide.withColumn("width", F.expr(f"high div {slices} - low div {slices} + 1"))
+        slice_no = F.expr("_rank div width - cast(_rank < 0 and _rank % width <> 0 as int)")
+        counts = near(wide).groupBy(*names, slice_no.alias("slice"), "nth", "width", "low", "high").agg(F.count("*").alias("rows"))
+        upto = F.sum("rows").over(Window.partitionBy(*names).orderBy("slice"))
+        found = counts.withColumn("upto", upto).where("upto >= nth and upto - rows < nth")
+        start = F.expr("coalesce(try_multiply(slice, width), low)")
+        end = F.expr("coalesce(try_add(try_multiply(slice, width), width - 1), high)")
+        narrowed = found.select(
+            *names,
+            F.greatest("low", start).alias("low"),
+            F.least("high", end).alias("high"),
+            "rows",
+            F.expr("nth - (upto - rows)").alias("nth"),
+        )
+        narrow = searches.where(F.col("rows") <= settle_rows)
+        searches = all_found(stored(narrow.unionByName(narrowed), "searches"), total)
+    sorted_rows = Window.partitionBy(*names).orderBy("_place")
+    numbered = near(searches).withColumns(
+        {"number": F.row_number().over(sorted_rows), "after": F.lead("_place").over(sorted_rows)}
+    )
+    cuts = all_found(stored(numbered.where("number = nth").select(*names, "_place", "after"), "cuts"), total)
+    if not cuts.where("after = _place").isEmpty():
+        raise ValueError("the order does not tell all rows apart")
+    kind = slim.schema["_place"].dataType
+    whole = wanted.where("_wanted >= n").select(*names, F.lit(None).cast(kind).alias("_cut"))
+    limits = cuts.select(*names, F.col("_place").alias("_cut")).unionByName(whole)
+    limits = limits.withColumnsRenamed({n: f"c{n}" for n in names})
+    test = F.col("_cut").isNull() | (order.place <= F.col("_cut"))
+    return df.join(limits, _same(groups, [f"c{n}" for n in names]) & test).select(*df.columns)
 
 
 def head_per_group(df: DataFrame, keys: Sequence[str], order: str, n: Quota, **tuning: int) -> DataFrame:
@@ -263,7 +333,7 @@ def sample_exact(
 def balance_classes(df: DataFrame, name: str, order: str, classes: Sequence = (0, 1), **tuning: int) -> DataFrame:
     """Cut every class to the size of the smallest, in source order."""
     rows, source = df.where(F.col(name).isin(list(classes))), SourceOrder(order)
-    spans, _ = group_spans(rows, [name], source)
+    spans, _ = group_spans(rows, [name], source, len(classes))
     smallest = min(spans[(c,)].n if (c,) in spans else 0 for c in classes)
     return take_first(rows, [name], source, smallest, spans, **tuning)
 
@@ -288,7 +358,7 @@ def equalize_ranges(
     binned = df.withColumn(label, bucketize(F.col(score), edges, labels))
     binned = binned.where(F.col(label).isNotNull())
     source, drawn = SourceOrder(order), SeededOrder(seed, order)
-    spans, _ = group_spans(binned, [label], source)
+    spans, _ = group_spans(binned, [label], source, len(labels))
     sizes = {(name,): spans[(name,)].n if (name,) in spans else 0 for name in labels}
     headed = binned
     if size and max(sizes.values()) > size:
@@ -316,13 +386,18 @@ def take_quota(
     """
     if quota == 0:
         return pending
-    # groups are models by ranges
-    counts = done.groupBy(*keys).agg(F.countDistinct(prompt).alias("n")).limit(MAX_GROUPS + 1).collect()
-    if len(counts) > MAX_GROUPS:
-        raise ValueError("too many groups with a quota")
-    used = {tuple(row[k] for k in keys): row.n for row in counts}
-    named = pending.select(*keys).distinct().limit(MAX_GROUPS + 1).collect()
-    if len(named) > MAX_GROUPS:
-        raise ValueError("too many groups with a quota")
-    left = {tuple(row): max(0, quota - used.get(tuple(row), 0)) for row in named}
-    return head_per_group(pending, keys, order, left, **tuning)
+    groups, names = _group_columns(keys)
+    named = [g.alias(n) for g, n in zip(groups, names)]
+    used = done.groupBy(*named).agg(F.countDistinct(prompt).alias("used"))
+    left = F.greatest(F.lit(0), F.lit(quota) - F.coalesce("used", F.lit(0))).cast("bigint")
+    present = pending.select(*named).distinct()
+    same = _same([F.col(n) for n in names], [f"u{n}" for n in names])
+    quotas = present.join(used.withColumnsRenamed({n: f"u{n}" for n in names}), same, "left").select(
+        *names, left.alias("_wanted")
+    )
+    few = quotas.limit(MAX_GROUPS + 1).collect()
+    if len(few) > MAX_GROUPS:
+        tuned = {"slices": SLICES, "settle_rows": SETTLE_ROWS} | tuning
+        return _take_from_many(pending, keys, SourceOrder(order), quotas, **tuned)
+    known = {tuple(row[n] for n in names): row["_wanted"] for row in few}
+    return head_per_group(pending, keys, order, known, **tuning)

@@ -66,6 +66,14 @@ def head_per_range(spark, sf_dir):
     return take.head_per_group(binned, ["toxicity_bin"], "row_id", 200).select("row_id", "toxicity_bin")
 
 
+@query("""select o_custkey, o_orderkey from (
+  select *, row_number() over (partition by o_custkey order by o_orderkey) as place from orders) where place <= 2""")
+def head_per_customer(spark, sf_dir):
+    """More groups than are collected, at any but the smallest size."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return take.head_per_group(orders, ["o_custkey"], "o_orderkey", 2)
+
+
 @query("select event_id from events order by md5('42|' || event_id) limit 500")
 def sample_exact(spark, sf_dir):
     return take.sample_exact(table(spark, sf_dir, "events").select("event_id"), 500, 42, "event_id")

@@ -64,7 +64,7 @@ def test_heads_of_many_groups(skewed, monkeypatch, n, tuning):
     want = sorted(heads(rows, n), key=repr)
     monkeypatch.setattr(take, "FILTER_GROUPS", 0)  # facts of groups are joined
     assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
-    monkeypatch.setattr(take, "MAX_GROUPS", 1)  # all but the largest group go through a window
+    monkeypatch.setattr(take, "MAX_GROUPS", 1)  # searches become tables
     spans, complete = take.group_spans(frame, ["g"], take.SourceOrder("row_id"))
     assert list(spans) == [("a",)] and not complete
     assert sorted(map(tuple, take.head_per_group(frame, ["g"], "row_id", n, **tuning).collect()), key=repr) == want
@@ -138,3 +138,21 @@ def test_quota(spark):
     assert sorted(r.row_id for r in got.collect()) == [0, 1, 2, 10, 11, 12, 13, 14]
     assert take.take_quota(prompts, "row_id", 0, done).count() == 20
     assert take.take_quota(prompts, "row_id", 1, done).where("label = 'x'").count() == 0
+
+
+def test_more_groups_than_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(take, "MAX_GROUPS", 10)
+    classes = spark.range(60).selectExpr("id as row_id", "int(id % 12) as class")
+    assert take.balance_classes(classes, "class", "row_id", range(12)).count() == 60
+    scores = spark.range(60).selectExpr("id as row_id", "(id % 20 + 0.5) / 20 as score")
+    edges, labels = [i / 20 for i in range(21)], [str(i) for i in range(20)]
+    assert take.equalize_ranges(scores, "score", "row_id", edges, labels).count() == 60
+    done = classes.selectExpr("class", "row_id as prompt").where("row_id < 12")
+    got = take.take_quota(classes, "row_id", 3, done, ["class"])
+    assert sorted(r.row_id for r in got.collect()) == list(range(24))
+    nulls = classes.selectExpr("if(row_id = 30, null, row_id) as row_id", "class")
+    with pytest.raises(ValueError):
+        take.head_per_group(nulls, ["class"], "row_id", 2)
+    repeated = classes.selectExpr("row_id div 24 as row_id", "class")
+    with pytest.raises(ValueError):
+        take.head_per_group(repeated, ["class"], "row_id", 1)
