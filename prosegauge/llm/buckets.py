@@ -3,8 +3,9 @@
 Rounds of pivots: in each round some items of every bucket are compared with all its other items
 that are not yet in their component, and then leave the bucket. A bucket whose items are all in one
 component has nothing left to find. So every pair of a bucket is either compared or known to be
-connected, and the components are those of all pairs; a bucket of n copies of one item with few
-differences costs about n comparisons. The number of pivots grows fourfold each round.
+connected, and the components are those of all pairs. A bucket of up to ``PIVOTS`` items is settled in
+one round, one of n copies of an item with few differences by about ``PIVOTS`` n comparisons. The number of
+pivots grows by that factor each round.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from prosegauge.llm.components import components
 from prosegauge.session import stored
 
+PIVOTS = 16
+
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Distinct rows (bucket, item) of buckets with two items or more, with the number ``n`` of items."""
@@ -38,7 +41,7 @@ def linked_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame
     links, known, round_no = None, spark.createDataFrame([], "node long, component long"), 0
     while not active.isEmpty():
         placed = active.join(known.withColumnRenamed("node", "item"), "item", "left")
-        salted = placed.withColumn("salt", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(4**round_no)))
+        salted = placed.withColumn("salt", F.pmod(F.xxhash64("item", F.lit(round_no)), F.lit(PIVOTS ** (round_no + 1))))
         order = F.struct(F.col("component").isNull(), "rank", F.col("item"))
         chosen = salted.groupBy("bucket", "salt").agg(
             F.max_by(F.struct("item", "component"), order).alias("pivot")

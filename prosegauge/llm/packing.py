@@ -2,7 +2,7 @@
 
 ``token_pieces`` tokenizes whole texts and cuts only documents longer than a sequence.
 ``pack`` puts each piece where the sum, over the gaps of open sequences, of the squared number of
-sequences with that gap becomes smallest, in an order that mixes lengths. Pieces are dealt evenly to tasks
+sequences with that gap becomes smallest, in the better of two orders. Pieces are dealt evenly to tasks
 of ``per_task`` pieces; the pieces of sequences that a task leaves open are packed again, together
 with those of other tasks, in rounds of fewer tasks until one round closes all.
 
@@ -185,8 +185,13 @@ def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, number: in
     if not parts:
         return
     pieces = pd.concat(parts, ignore_index=True)
-    pieces = pieces.sort_values(["ids_crc32", "doc_id", "piece"], ignore_index=True)
-    bins, offsets, gaps = sum_of_squares(pieces["length"].to_numpy(), capacity)
+    # neither order is better for all lengths: longest first, or mixed by digest
+    tried = []
+    for order, up in ((["length", "doc_id", "piece"], [False, True, True]), (["ids_crc32", "doc_id", "piece"], True)):
+        ordered = pieces.sort_values(order, ascending=up, ignore_index=True)
+        bins, offsets, gaps = sum_of_squares(ordered["length"].to_numpy(), capacity)
+        tried.append((len(gaps), int((gaps[bins] > slack).sum()), len(tried), ordered, bins, offsets, gaps))
+    *_, pieces, bins, offsets, gaps = min(tried, key=lambda x: x[:3])
     base = number << 54 | TaskContext.get().partitionId() << 24
     yield pieces.assign(sequence_id=base + bins, offset=offsets, closed=gaps[bins] <= slack)
 
