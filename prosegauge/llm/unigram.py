@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words beyond so many bytes are encoded one by one; characters and words that are worked on at a time.
-LONG, CHUNK, WORDS = 96, 4 << 20, 1 << 16
+LONG, CHUNK, WORDS = 96, 2 << 20, 1 << 15
 ENCODED = "doc_id long, ids array<int>, score double, n_bytes int, ids_crc32 long"
 RUNS = re.compile(rb" +[^ ]*|[^ ]+")
 
@@ -316,7 +316,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = _model(path)
     for batch in batches:
-        texts = [model.decode(x or []) for x in batch["ids"].to_pylist()]
+        lists = pc.fill_null(batch["ids"], [])
+        flat, limits = lists.values.to_numpy(), lists.offsets.to_numpy()
+        # a row at a time: as Python numbers, ids are many times as large
+        texts = [model.decode(flat[a:b].tolist()) for a, b in zip(limits[:-1], limits[1:], strict=True)]
         kept = [c for c in batch.schema.names if c != "ids"]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
