@@ -2,7 +2,7 @@
 
 Paragraphs are the lines of a text. Those of ``MIN_WORDS`` words or more get MinHash signatures of
 their five-word shingles, in ``BANDS`` bands of ``ROWS``: two paragraphs of Jaccard similarity 0.8
-collide in some band with probability 0.997. Colliding paragraphs are compared by exact Jaccard
+collide in some band with probability 0.99, two of 0.5 with 0.3. Colliding paragraphs are compared by exact Jaccard
 similarity, and each component of linked paragraphs is kept once, where it comes first by doc_id and place.
 
 A passage put into the middle of other paragraphs makes none of them alike. So sentences are
@@ -36,7 +36,7 @@ from prosegauge.llm.buckets import linked_components, shared_buckets
 from prosegauge.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 12, 5
 MIN_WORDS, SENTENCE = 20, 5
 SEED = 7
 SENTENCES = re.compile(r"\S(?:[^.!?]|[.!?](?!\s))*[.!?]*")
@@ -138,14 +138,10 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(_units, UNITS)
 
 
-def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        linked = []
-        for one, other in zip(batch["a_text"], batch["b_text"], strict=True):
-            left, right = (set(shingles(t.lower().split())) for t in (one, other))
-            both = len(left & right)
-            linked.append(both >= SIMILARITY * (len(left) + len(right) - both))
-        yield batch.loc[linked, ["a", "b"]]
+        found = [np.unique(np.array(shingles(t.lower().split()), np.uint64)).view(_signed) for t in batch["paragraph"]]
+        yield pd.DataFrame({"item": batch["digest"], "elements": found})
 
 
 def _first() -> Column:
@@ -162,19 +158,13 @@ def repeated_paragraphs(paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     shared = stored(shared_buckets(banded), "shared")
     colliding = firsts.join(shared.select(F.col("item").alias("digest")).distinct(), "digest")
     where = colliding.select("digest", "first.row", "first.start", "first.length")
-    texts = stored(
-        where.join(docs.select("row", "text"), "row").select(
-            "digest", F.substring("text", F.col("start") + 1, F.col("length")).alias("paragraph")
-        ),
-        "paragraphs",
+    texts = where.join(docs.select("row", "text"), "row").select(
+        "digest", F.substring("text", F.col("start") + 1, F.col("length")).alias("paragraph")
     )
+    sets = stored(texts.mapInPandas(_sets, "item long, elements array<long>"), "shingles")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("digest").alias("a"), F.col("paragraph").alias("a_text"))
-        b = texts.select(F.col("digest").alias("b"), F.col("paragraph").alias("b_text"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInPandas(_similar, "a long, b long")
-
-    classes = linked_components(shared, verify).select(F.col("node").alias("digest"), F.col("component").alias("class_id"))
+    linked = linked_components(shared, sets, SIMILARITY)
+    classes = linked.select(F.col("node").alias("digest"), F.col("component").alias("class_id"))
     # only paragraphs that have a copy or a link can be repeats
     alike = (
         firsts.join(classes, "digest", "left")

@@ -79,19 +79,23 @@ def test_links_equal_those_of_all_pairs(spark, tmp_path):
     assert {(r.doc_id, r.kept_doc_id) for r in found} == {(i, r) for i, r in enumerate(roots) if i != r}
 
 
-def test_a_bucket_of_many_items_is_not_paired_with_itself(spark):
-    n, compared = 300, []
-    # an original shares a bucket with each of its variants, and all share one
-    rows = spark.range(n).selectExpr("7L as bucket", "id as item").unionByName(
-        spark.range(1, n).selectExpr("1000L + id as bucket", "explode(array(0L, id)) as item")
-    )
-
-    def verify(pairs):
-        compared.append(pairs.count())
-        return pairs.where("a = 0")
-
-    found = buckets.linked_components(buckets.shared_buckets(rows), verify)
-    assert found.where("component = 0").count() == n and sum(compared) < (buckets.PIVOTS + 1) * n
+def test_common_counts_and_spanning_links(monkeypatch):
+    sets = [np.unique(RNG.integers(0, 200, RNG.integers(0, 60))) for _ in range(30)]
+    monkeypatch.setattr(buckets, "COLUMNS", 16)
+    counts = buckets.common_counts(sets[:11], sets[11:])
+    assert (counts == [[len(np.intersect1d(a, b)) for b in sets[11:]] for a in sets[:11]]).all()
+    assert buckets._spanning([(1, 2), (2, 1), (2, 3), (1, 3), (5, 5), (4, 5)]) == [(1, 2), (2, 3), (4, 5)]
+
+
+def test_buckets_beyond_pivots_and_blocks(spark, monkeypatch):
+    """Two chains of sets, of which no few items are like all others, in one bucket."""
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    n = 150
+    elements = [(i, [k + 10_000 * (i % 2) for k in range(i // 2, i // 2 + 40)]) for i in range(n)]
+    sets = spark.createDataFrame(elements, "item long, elements array<long>")
+    rows = sets.selectExpr("7L as bucket", "item")
+    found = buckets.linked_components(buckets.shared_buckets(rows), sets, 0.8)
+    assert {r.node: r.component for r in found.collect()} == {i: i % 2 for i in range(n)}
 
 
 def test_offsets_are_code_points():
