@@ -68,5 +68,5 @@ def summary_scores(reply: Column, attributes: Sequence[str] = ATTRS) -> Column:
 
 
 def model_variant(base: Column, variant: Column) -> Column:
-    """``base_variant``, or ``base`` where there is no variant; one spelling per model."""
-    return F.replace(F.concat_ws("_", base, variant), F.lit("-API"), F.lit("_API"))
+    """``base_variant``, or ``base`` where there is no variant; ``-API`` at the end of a base is spelled ``_API``."""
+    return F.concat_ws("_", F.regexp_replace(base, "-API$", "_API"), variant)

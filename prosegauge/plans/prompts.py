@@ -11,7 +11,7 @@ from prosegauge.operators.shape import flatten_struct
 from prosegauge.operators.split import split_by_threshold
 from prosegauge.operators.take import balance_classes, equalize_ranges
 from prosegauge.session import stored
-from prosegauge.sources.readers import read_pairs_jsonl, with_row_id
+from prosegauge.sources.readers import read_pairs_jsonl, with_file_row_id
 from prosegauge.sources.writers import write_ranges, write_table
 
 
@@ -30,7 +30,7 @@ def generate_prompts(
     Classes follow the score of the continuation, ranges that of the prompt. All later
     passes read the stored columns they need and none of the JSON.
     """
-    raw = with_row_id(read_pairs_jsonl(spark, source, nested, config.attributes))
+    raw = with_file_row_id(read_pairs_jsonl(spark, source, nested, config.attributes))
     prompt = flatten_struct(raw, "prompt", "prompt", ["row_id", "continuation"])
     both = flatten_struct(
         prompt.withColumnsRenamed({a: f"prompt_{a}" for a in config.attributes}),

@@ -164,17 +164,25 @@ def lenient_csv(spark, sf_dir):
 
 
 @query(f"""with {PAIRS_SQL} select model, case when turn < 2 then '0-0.25' else '0.75-1.0' end as label, prompt,
-continuation || model as continuation from pairs, (select unnest(['base', 'base_BW']) as model)""")
+continuation || model as continuation,
+case when (model = 'base') <> (turn < 2) then '2025-01-02 03:04:05' end as collected_at from pairs, (select unnest(['base', 'base_BW']) as model)""")
 def scan_models(spark, sf_dir):
+    """Files of one model lack the timestamp, those of the other have it first and the texts the other way round."""
     root = fresh_path(spark, "responses")
     rows = _variants(spark, sf_dir).withColumn("range", F.expr("if(cast(label as int) < 2, '0-0.25', '0.75-1.0')"))
-    for model in ("base", "base_BW"):
-        for label in (LABELS[0], LABELS[-1]):
-            part = rows.where((F.col("model") == model) & (F.col("range") == label))
-            part = part.selectExpr("prompt as Prompts", "continuation as Continuation")
-            writers.write_csv(part, f"{root}/{model}/responses_{label}.csv")
+    columns = {
+        ("base", LABELS[0]): ["Prompts", "Continuation"],
+        ("base", LABELS[-1]): ["Continuation", "Prompts", "Timestamp"],
+        ("base_BW", LABELS[0]): ["Timestamp", "Continuation", "Prompts"],
+        ("base_BW", LABELS[-1]): ["Prompts", "Continuation"],
+    }
+    for (model, label), names in columns.items():
+        part = rows.where((F.col("model") == model) & (F.col("range") == label))
+        part = part.selectExpr("prompt as Prompts", "continuation as Continuation", "'2025-01-02 03:04:05' as Timestamp")
+        writers.write_csv(part.select(*names), f"{root}/{model}/responses_{label}.csv")
     dirs = {model: f"{root}/{model}" for model in ("base", "base_BW")}
-    return readers.scan_model_dirs(spark, dirs, lenient=False).drop("collected_at")
+    found = readers.scan_model_dirs(spark, dirs)
+    return found.withColumn("collected_at", F.date_format("collected_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 RECORDS_SQL = f"""{PAIRS_SQL}, scored as (select row_id, prompt, continuation,

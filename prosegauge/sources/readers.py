@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegauge.config import ATTRS
-from prosegauge.functions.records import scored_text
+from prosegauge.functions.records import lenient_struct, scored_text
 
 # Column names of exchanged CSV files and ours.
 COLUMNS = {"Prompts": "prompt", "Continuation": "continuation", "Timestamp": "collected_at"}
@@ -18,24 +20,75 @@ LABEL_FILE = r"responses_([^/]+)\.csv"
 _CSV = {"header": True, "multiLine": True, "quote": '"', "nullValue": ""}
 
 
-def read_pairs_jsonl(spark: SparkSession, path: str, nested: bool = True, attrs: Sequence[str] = ATTRS) -> DataFrame:
+def read_pairs_jsonl(
+    spark: SparkSession, path: str | list[str], nested: bool = True, attrs: Sequence[str] = ATTRS
+) -> DataFrame:
     """Pair corpus, one JSON record per line: (prompt, continuation).
 
-    Records are structs, or with ``nested=False`` plain strings, which also takes sources
-    whose records are dict-like strings (parse those with ``flatten_struct``).
+    Each value is a struct, or a string that holds a dict-like record; both are read, value by
+    value. With ``nested=False`` strings are left as they are (parse those with
+    ``flatten_struct``). A string that is no record has its fields null.
     """
-    kind = scored_text(attrs) if nested else T.StringType()
-    schema = T.StructType([T.StructField("prompt", kind), T.StructField("continuation", kind)])
-    return spark.read.schema(schema).json(path)
+    names = ("prompt", "continuation")
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    rows = spark.read.schema(schema).json(path)
+    if not nested:
+        return rows
+    return rows.select(*[lenient_struct(F.col(name), scored_text(attrs)).alias(name) for name in names])
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number rows at ingest. Write the result to a table before any use of the numbers."""
+    """Number rows at ingest, in the order of the partitions of ``df``. Write the result to a table
+    before any use of the numbers. For rows of files use ``with_file_row_id``."""
     return df.select(F.monotonically_increasing_id().alias(name), *df.columns)
 
 
-def _header(spark: SparkSession, path: str | list[str]) -> list[str]:
-    return spark.read.options(header=True).csv(path).columns
+def with_file_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Number the rows of a scan by file name, and by place in the file, as (name, all columns of ``df``).
+
+    However the scan is split, a file's rows get rising numbers and come before those of
+    the next file. Blocks of files are numbered on the driver, which needs their names and starts
+    only. Write the result to a table before any use of the numbers.
+    """
+    place = F.monotonically_increasing_id()
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    rows = rows.withColumn("_place", place)
+    blocks = rows.groupBy("_file", "_start").agg(F.min("_place").alias("_first"), F.max("_place").alias("_last")).collect()
+    blocks.sort(key=lambda b: (b["_file"], b["_start"]))
+    starts, total = [], 0
+    for b in blocks:
+        starts.append((b["_file"], b["_start"], total - b["_first"]))
+        total += b["_last"] - b["_first"] + 1
+    shifts = df.sparkSession.createDataFrame(starts, "_file string, _start long, _shift long")
+    numbered = rows.join(F.broadcast(shifts), ["_file", "_start"])  # a row per block of a file
+    return numbered.select((F.col("_place") + F.col("_shift")).alias(name), *df.columns)
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> list[tuple[list[str], list[str]]]:
+    """Column names and the files that have them, one entry for each header in use.
+
+    The first line of every file is read by its own task; no more than headers and paths
+    come back. An empty file has no rows and is left out.
+    """
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place")
+    )
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    headers = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header")
+    return [(_fields(row.header), [unquote(f) for f in row.files]) for row in headers.collect() if row.header.strip()]
+
+
+def _fields(header: str) -> list[str]:
+    """Names in a header line; a name that is repeated or empty gets its place as a suffix."""
+    names = next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]))
+    return [n if n and names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    union = frames[0]
+    for frame in frames[1:]:
+        union = union.unionByName(frame, allowMissingColumns=True)
+    return union
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -45,26 +98,41 @@ def _named(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_prompts(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Range files. All columns are read as text, so the prompt ``null`` stays a text;
-    scores are then cast."""
-    rows = _named(spark.read.options(**_CSV, escape='"').csv(path))
+def _read_csv(spark: SparkSession, path: str | list[str], lenient: bool, kept: list[Column]) -> DataFrame:
+    """Rows of files that may each have columns of their own, in any order; ``kept`` comes first."""
+    frames = []
+    for names, files in _by_header(spark, path):
+        fields = [*names, "_surplus"] if lenient else names
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
+        quoting = {"escape": "\\", "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"} if lenient else {"escape": '"'}
+        rows = spark.read.schema(schema).options(**_CSV, enforceSchema=True, **quoting).csv(files)
+        if lenient:
+            rows = rows.where(F.col("_surplus").isNull())
+        texts = [F.col(f"`{n}`") for n in names]
+        if lenient:
+            texts = [F.replace(text, F.lit('""'), F.lit('"')) for text in texts]
+        frames.append(_named(rows.select(*kept, *[text.alias(n) for text, n in zip(texts, names, strict=True)])))
+    if not frames:
+        raise ValueError(f"no CSV file with a header in {path}")
+    return _union(frames)
+
+
+def read_prompts(spark: SparkSession, path: str | list[str], kept: Sequence[Column] = ()) -> DataFrame:
+    """Range files, each read by its own header. All columns are read as text, so the prompt
+    ``null`` stays a text; scores are then cast."""
+    rows = _read_csv(spark, path, False, list(kept))
     scores = {c: F.col(c).try_cast("double") for c in rows.columns if c in ATTRS}
     return rows.withColumns(scores) if scores else rows
 
 
-def read_responses_lenient(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_responses_lenient(spark: SparkSession, path: str | list[str], kept: Sequence[Column] = ()) -> DataFrame:
     r"""Response files of any origin: short rows are padded with nulls, over-long ones left out.
 
-    Quotes inside a quoted field may be doubled or escaped by ``\``. One column more than
-    the header names takes in the first surplus field of a row.
+    Each file is read by its own header. Quotes inside a quoted field may be doubled or
+    escaped by ``\``. One column more than the header names takes in the first surplus
+    field of a row.
     """
-    names = _header(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_surplus"]])
-    quoting = {"escape": "\\", "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"}
-    rows = spark.read.schema(schema).options(**_CSV, **quoting).csv(path)
-    rows = rows.where(F.col("_surplus").isNull()).drop("_surplus")
-    return _named(rows.select(*[F.replace(F.col(f"`{n}`"), F.lit('""'), F.lit('"')).alias(n) for n in names]))
+    return _read_csv(spark, path, True, list(kept))
 
 
 def load_lexicon(spark: SparkSession, source: str | DataFrame) -> DataFrame:
@@ -117,12 +185,10 @@ def scan_model_dirs(spark: SparkSession, model_dirs: Mapping[str, str], lenient:
     frames = []
     for model, folder in model_dirs.items():
         path = f"{folder.rstrip('/')}/*.csv"
-        rows = read_responses_lenient(spark, path) if lenient else read_prompts(spark, path)
         label = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), LABEL_FILE, 1)
-        frames.append(rows.select(F.lit(model).alias("model"), label.alias("label"), *rows.columns))
-    union = frames[0]
-    for frame in frames[1:]:
-        union = union.unionByName(frame, allowMissingColumns=True)
+        read = read_responses_lenient if lenient else read_prompts
+        frames.append(read(spark, path, [F.lit(model).alias("model"), label.alias("label")]))
+    union = _union(frames)
     if "collected_at" not in union.columns:
         union = union.withColumn("collected_at", F.lit(None).cast("timestamp"))
     return union

@@ -112,3 +112,39 @@ def test_pairs_as_structs_or_strings(spark, tmp_path):
     path.write_text('{"prompt": {"text": "a", "toxicity": 0.1}, "continuation": {"text": "b"}}\n')
     assert readers.read_pairs_jsonl(spark, str(path)).first().prompt.toxicity == 0.1
     assert "toxicity" in readers.read_pairs_jsonl(spark, str(path), nested=False).first().prompt
+
+
+def test_files_with_unlike_headers(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "responses_0-0.25.csv").write_text("Prompts,Continuation\n" + "p,c\n" * 1000)
+    (folder / "responses_0.25-0.5.csv").write_text("Continuation,Prompts\nc,p\n")
+    (folder / "responses_0.5-0.75.csv").write_text("")
+    (folder / "responses_0.75-1.0.csv").write_text("Prompts,Continuation,Timestamp\n" + "p,c,2025-01-02 03:04:05\n" * 30)
+    for lenient in (True, False):
+        rows = readers.scan_model_dirs(spark, {"m": str(folder)}, lenient)
+        counts = {r.label: r.n for r in rows.where("prompt = 'p' and continuation = 'c'").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        assert counts == {"0-0.25": 1000, "0.25-0.5": 1, "0.75-1.0": 30} and rows.count() == 1031
+        assert rows.where("collected_at is not null").count() == 30
+
+
+def test_records_of_both_kinds_in_one_file(spark, tmp_path):
+    path = tmp_path / "pairs.jsonl"
+    path.write_text('{"prompt": {"text": "a", "toxicity": 0.1}}\n{"prompt": "{\'text\': \'b\', \'toxicity\': None}"}\n{"prompt": 3}\n')
+    rows = readers.read_pairs_jsonl(spark, str(path)).select("prompt.text", "prompt.toxicity").collect()
+    assert [tuple(r) for r in rows] == [("a", 0.1), ("b", None), (None, None)]
+
+
+def test_row_ids_follow_files_and_lines(spark, tmp_path):
+    want = []
+    for name, n in (("a", 5), ("b", 50_000), ("c", 500)):
+        lines = [f"{name}{i}" for i in range(n)]
+        (tmp_path / f"{name}.txt").write_text("\n".join(lines) + "\n")
+        want += lines
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.with_file_row_id(spark.read.text(str(tmp_path))).orderBy("row_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [r.value for r in got] == want and [r.row_id for r in got] == list(range(len(want)))
