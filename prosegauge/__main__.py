@@ -12,7 +12,7 @@ from importlib import import_module
 
 from prosegauge.config import Config, Pace
 from prosegauge.plans.prompts import generate_prompts
-from prosegauge.plans.responses import banned_sequences, collect_responses, generate_responses
+from prosegauge.plans.responses import banned_sequences, collect_responses, generate_responses, shortfall
 from prosegauge.plans.scoring import score_responses
 from prosegauge.plans.training import prepare_training
 from prosegauge.session import session
@@ -100,7 +100,10 @@ def main(argv: list[str] | None = None) -> None:
             generate_responses(ranges, args.out, models, config, args.variant, banned, partitions=args.partitions)
         else:
             name, factory = args.model
-            collect_responses(ranges, args.out, name, factory, config, args.quota, args.tokenizer, rejects=args.rejects)
+            got = collect_responses(ranges, args.out, name, factory, config, args.quota, args.tokenizer, rejects=args.rejects)
+            quota = config.range_size if args.quota is None else args.quota
+            for row in shortfall(ranges, got, quota).collect():
+                print(f"{row.label}: {row.n_done} of {row.n_wanted} prompts have a reply")
 
 
 if __name__ == "__main__":

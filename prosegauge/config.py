@@ -52,6 +52,7 @@ class Config:
     new_tokens: int = 20
     batch_size: int = 16
     concurrency: int = 5  # collector calls running at a time
-    rounds: int = 3  # collector rounds over prompts that failed
+    rounds: int = 3  # tries of the collector for a prompt that fails
+    slice_rows: int = 1000  # replies and scores committed at a time
     retry: Retry = field(default_factory=Retry)
     pace: Pace | None = field(default_factory=Pace)

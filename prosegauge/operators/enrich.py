@@ -141,24 +141,40 @@ def enrich_text(
     name: str = "continuation",
     batch_size: int = 16,
     concurrency: int | None = None,
+    reason: str | None = None,
 ) -> DataFrame:
     """``prompts`` with a generated text in ``name``; several rows where a prompt gets several.
 
+    With ``reason`` a call that raises gives no text for its prompts, and this column says why; without it
+    the job fails.
+
     ``concurrency`` bounds the calls running at a time by the number of partitions. Write
     the result to a table before using it twice: each action calls the generator.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField(name, T.StringType())])
+    if reason:
+        schema.add(reason, T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = generator()
         for batch in batches:
             texts: list[list] = []
+            reasons: list[str | None] = []
             asked = batch[prompt].tolist()
             for start in range(0, len(asked), batch_size):
-                replies = generate(asked[start : start + batch_size])
-                texts += [reply if isinstance(reply, list) else [reply] for reply in replies]
+                part, why = asked[start : start + batch_size], None
+                try:
+                    replies = generate(part)
+                except Exception as error:
+                    if not reason:
+                        raise
+                    replies, why = [None] * len(part), f"{type(error).__name__}: {error}"
+                several = [reply if isinstance(reply, list) else [reply] for reply in replies]
+                texts += several
+                reasons += [why] * sum(map(len, several))
             out = batch.loc[batch.index.repeat([len(several) for several in texts])]
-            yield out.assign(**{name: [text for several in texts for text in several]})
+            out = out.assign(**{name: [text for several in texts for text in several]})
+            yield out.assign(**{reason: reasons}) if reason else out
 
     rows = prompts.repartition(concurrency) if concurrency else prompts
     return rows.mapInPandas(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -95,31 +95,75 @@ def collect_responses(
     """Collect chat replies until each range has its quota of distinct prompts.
 
     Prompts already collected are left out, so a job that ended early goes on where it
-    stopped. Failed prompts get another try in the next of ``config.rounds`` rounds. A
-    round without a single success ends the job.
+    stopped; replies are committed ``config.slice_rows`` prompts at a time. A range whose
+    prompts fail goes on with prompts not yet tried. Only when none are left are failed ones
+    tried again, ``config.rounds`` times in all, until a round of such tries has no
+    success. A call that raises fails its prompts only. Failures go to the table
+    ``rejects`` with a status and the reason; ``shortfall`` tells what is missing.
     """
     spark = ranges.sparkSession
     quota = config.range_size if quota is None else quota
     prompts = ranges.select("row_id", "prompt", F.lit(model).alias("model"), F.col(label).alias("label"))
-    prompts = prompts.where("prompt is not null")
-    for number in range(config.rounds):
-        done = collected(spark, path, model)
-        rest = pending(prompts, done, ["label", "prompt"])
-        if quota:
-            rest = stored(rest, "pending")  # read several times to find the quota
-        wanted = take_quota(rest, "row_id", quota, done)
-        replies = enrich_text(wanted, generator, name="_raw", batch_size=1, concurrency=config.concurrency)
+    prompts = prompts.where("prompt is not null").groupBy("model", "label", "prompt").agg(F.min("row_id").alias("row_id"))
+    keys, failed = ["label", "prompt"], spark.createDataFrame([], "label string, prompt string")
+    for tries in range(config.rounds):
+        paused = not tries
+        while True:
+            done = collected(spark, path, model)
+            tried = failed.groupBy(*keys).agg(F.count("*").alias("_tries"))
+            rest = pending(prompts, done, keys).join(tried, keys, "left")
+            rest = rest.where(F.coalesce("_tries", F.lit(0)) == tries).select("row_id", "prompt", "model", "label")
+            if quota:
+                rest = stored(rest, "pending")  # read several times to find the quota
+            wanted = stored(take_quota(rest, "row_id", quota, done), "wanted")
+            if wanted.isEmpty():
+                break
+            if not paused:
+                sleep(pause)
+                paused = True
+            good, bad = _collect(wanted, path, generator, config, tokenizer, rejects)
+            failed = failed.unionByName(bad.select(*keys))
+            if tries and not good:
+                return collected(spark, path, model)
+    return collected(spark, path, model)
+
+
+def _collect(
+    wanted: DataFrame, path: str, generator: Callable, config: Config, tokenizer: Callable | None, rejects: str | None
+) -> tuple[int, DataFrame]:
+    """Ask for replies slice by slice and commit each slice: how many are good, and the failures."""
+    slices = max(1, -(-wanted.count() // config.slice_rows))
+    good, failures = 0, []
+    for number in range(slices):
+        part = wanted.where(F.pmod(F.xxhash64("label", "prompt"), F.lit(slices)) == number)
+        replies = enrich_text(
+            part, generator, name="_raw", batch_size=1, concurrency=config.concurrency, reason="reason"
+        )
         replies = stored(_cleaned(replies, config, tokenizer), "replies")
-        good = accepted(replies).count()
-        bad = rejected(replies)
-        if good:
+        got = accepted(replies).count()
+        if got:
             append_responses(accepted(replies).select("prompt", "continuation", "model", "label"), path)
+        good += got
+        status = F.when(F.col("reason").isNotNull(), "error").otherwise("empty").alias("status")
+        bad = rejected(replies)
         if rejects:
-            bad.write.mode("append").partitionBy("model", "label").parquet(rejects)
-        if not good or bad.isEmpty() or number + 1 == config.rounds:
-            break
-        sleep(pause)
-    return collected(spark, path, model)
+            bad.select("*", status).write.mode("append").partitionBy("model", "label").parquet(rejects)
+        failures.append(bad)
+    return good, reduce(DataFrame.unionByName, failures)
+
+
+def shortfall(ranges: DataFrame, done: DataFrame, quota: int, label: str = "toxicity_bin") -> DataFrame:
+    """Ranges with fewer distinct prompts collected than wanted: label, n_wanted, n_done.
+
+    Wanted are ``quota`` prompts, or all that the range has if it has fewer or ``quota`` is 0.
+    """
+    there = ranges.where("prompt is not null").groupBy(F.col(label).alias("label"))
+    there = there.agg(F.countDistinct("prompt").alias("n_wanted"))
+    if quota:
+        there = there.withColumn("n_wanted", F.least("n_wanted", F.lit(quota).cast("bigint")))
+    got = done.groupBy("label").agg(F.countDistinct("prompt").alias("n_done"))
+    both = there.join(got, "label", "left").select("label", "n_wanted", F.coalesce("n_done", F.lit(0)).alias("n_done"))
+    return both.where("n_done < n_wanted")
 
 
 def _cleaned(replies: DataFrame, config: Config, tokenizer: Callable | None) -> DataFrame:

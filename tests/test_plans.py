@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from prosegauge.config import Config
 from prosegauge.operators import enrich
 from prosegauge.plans.prompts import generate_prompts
-from prosegauge.plans.responses import collect_responses, generate_responses
+from prosegauge.plans.responses import collect_responses, generate_responses, shortfall
 from prosegauge.plans.scoring import score_responses
 from prosegauge.plans.training import prepare_training
 from prosegauge.sources.readers import read_responses
@@ -96,6 +96,38 @@ def test_collector_quota(spark, tmp_path):
     assert sorted(r.prompt for r in got.collect()) == ["p0", "p1", "p2", "p3", "p4", "p5"]
 
 
+def stubborn():
+    def reply(prompts):
+        if prompts[0].startswith("raise"):
+            raise RuntimeError("no service")
+        return [None if prompts[0].startswith("bad") else "then more of it"]
+
+    return reply
+
+
+@pytest.mark.parametrize(
+    "prompts, quota, want",
+    [
+        (["bad1", "bad2", "bad3", "ok1", "ok2", "ok3"], 3, ["ok1", "ok2", "ok3"]),
+        (["bad1", "raise", "ok0", "ok1", "ok2", "ok3"], 3, ["ok0", "ok1", "ok2"]),
+        (["a", "a", "b", "c"], 2, ["a", "b"]),
+    ],
+)
+def test_collector_fills_its_quota(spark, tmp_path, prompts, quota, want):
+    ranges, rejects = ranges_of(spark, [(p, "x") for p in prompts]), str(tmp_path / "rejects")
+    config = Config(rounds=2, slice_rows=2)
+    got = collect_responses(
+        ranges, str(tmp_path / "out"), "chat", stubborn, config, quota=quota, rejects=rejects, sleep=lambda seconds: None
+    )
+    assert sorted(r.prompt for r in got.collect()) == want
+    assert shortfall(ranges, got, quota).count() == 0
+    short = shortfall(ranges, got, 6).first()
+    assert (short.n_wanted, short.n_done) == (len(set(prompts)), quota)
+    if "raise" in prompts:
+        told = {(r.prompt, r.status, r.reason) for r in spark.read.parquet(rejects).collect()}
+        assert told == {("bad1", "empty", None), ("raise", "error", "RuntimeError: no service")}
+
+
 def echo(banned=None):
     return lambda prompts: [f'{p}\n said "{banned}"' for p in prompts]
 
