@@ -36,7 +36,7 @@ class Pace:
     """
 
     interval: float = 1.05
-    lanes: int = 1
+    lanes: int = 4
 
 
 @dataclass(frozen=True)

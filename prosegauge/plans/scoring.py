@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from prosegauge.config import Config
 from prosegauge.operators.enrich import score_models
+from prosegauge.operators.join import pending
 from prosegauge.operators.shape import ensure_columns
+from prosegauge.session import stored
 from prosegauge.sources.readers import scan_model_dirs
 from prosegauge.sources.writers import packed
 
+KEYS = ("model", "label", "prompt", "continuation")
+
 
 def score_responses(
     spark: SparkSession,
@@ -27,21 +31,28 @@ def score_responses(
     """Score a response table, or the CSV files of several model folders, into ``out``.
 
     By default the models and ranges at hand are scored anew. With ``resume`` only rows
-    not yet in ``out`` are scored and added.
+    not yet in ``out`` are scored and added, ``config.slice_rows`` at a time: a run that fails
+    or is stopped has lost no more than its last slice, and run again it goes on from there.
     """
     if isinstance(responses, Mapping):
         responses = scan_model_dirs(spark, responses)
     responses = ensure_columns(responses, config.attributes)
-    done = _scored(spark, out) if resume else None
-    rows = score_models(
-        responses, scorer, done, attrs=config.attributes, retry=config.retry, pace=config.pace, **options
-    )
-    writer = packed(rows, ["model", "label"]).write.partitionBy("model", "label")
-    if resume:
-        writer.mode("append").parquet(out)
-    else:
+    options = dict(attrs=config.attributes, retry=config.retry, pace=config.pace) | options
+    if not resume:
+        rows = score_models(responses, scorer, **options)
+        writer = packed(rows, ["model", "label"]).write.partitionBy("model", "label")
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
-    return spark.read.schema(rows.schema).parquet(out)
+        return spark.read.schema(rows.schema).parquet(out)
+    done, schema = _scored(spark, out), None
+    rest = stored(responses if done is None else pending(responses, done, KEYS), "pending")
+    slices = max(1, -(-rest.count() // config.slice_rows))
+    for number in range(slices):
+        # equal texts are in one slice and are scored once
+        part = rest.where(F.pmod(F.xxhash64("continuation"), F.lit(slices)) == number)
+        rows = score_models(part, scorer, **options)
+        schema = rows.schema
+        packed(rows, ["model", "label"]).write.partitionBy("model", "label").mode("append").parquet(out)
+    return spark.read.schema(schema).parquet(out)
 
 
 def _scored(spark: SparkSession, path: str) -> DataFrame | None:

@@ -11,8 +11,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from prosegauge.operators.join import accepted, pending
+from prosegauge.session import stored
 
-BATCH = "batch_id"
+BATCH, TRIES, REJECTS = "batch_id", "tries", "-rejects"
+
+
+def read_rejects(spark, path: str, schema: T.StructType) -> DataFrame:
+    """Prompts that failed, as they came, with their tries so far and the batch of the last."""
+    return read_collected(spark, path + REJECTS, T.StructType([*schema.fields, T.StructField(TRIES, T.IntegerType())]))
 
 
 def read_collected(spark, path: str, schema: T.StructType) -> DataFrame:
@@ -33,6 +39,7 @@ def incremental_enrich(
     path: str,
     checkpoint: str,
     key: str = "prompt",
+    tries: int = 3,
 ) -> StreamingQuery:
     """Start a query that enriches every distinct prompt of a stream once.
 
@@ -40,14 +47,24 @@ def incremental_enrich(
     by earlier batches, and writes accepted results to a folder of its own batch number.
     A batch run again replaces that folder, so a restart leaves neither gaps nor repeats.
     ``enrich`` must give columns of ``schema``, among them ``key`` and ``continuation``.
+
+    Prompts without an accepted result go to the table of ``read_rejects`` and into the next batch,
+    until they have had ``tries`` tries; those with that many are dead letters.
     """
+    kept = prompts.schema
 
     def collect(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         earlier = read_collected(spark, path, schema).where(F.col(BATCH) < number)
-        fresh = pending(batch.dropDuplicates([key]), earlier, [key], hot_rows=None)
-        done = accepted(enrich(fresh)).select(*schema.fieldNames())
+        again = read_rejects(spark, path, kept)
+        again = again.where((F.col(BATCH) == number - 1) & (F.col(TRIES) < tries)).drop(BATCH)
+        new = batch.dropDuplicates([key]).join(again.select(key), key, "left_anti").withColumn(TRIES, F.lit(0))
+        fresh = stored(pending(new.unionByName(again), earlier, [key], hot_rows=None), "fresh")
+        done = accepted(enrich(fresh.drop(TRIES))).select(*schema.fieldNames())
         done.write.mode("overwrite").parquet(f"{path}/{BATCH}={number}")
+        told = spark.read.schema(schema).parquet(f"{path}/{BATCH}={number}")
+        failed = fresh.join(told.select(key), key, "left_anti").withColumn(TRIES, (F.col(TRIES) + 1).cast("int"))
+        failed.select(*kept.fieldNames(), TRIES).write.mode("overwrite").parquet(f"{path}{REJECTS}/{BATCH}={number}")
 
     return (
         prompts.writeStream.foreachBatch(collect)

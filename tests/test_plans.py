@@ -194,3 +194,56 @@ def test_stream_equals_batch(spark, tmp_path):
         seen += batch
         got = incremental.read_collected(spark, out, kind)
         assert sorted((r.prompt, r.continuation) for r in got.collect()) == sorted({(p, p.upper()) for p in seen if p != "none"})
+
+
+class Failing:
+    """Scores texts and notes them, until it is told to fail."""
+
+    def __init__(self, folder, fails):
+        self.folder, self.fails = folder, fails
+
+    def __call__(self):
+        def score(texts):
+            from pathlib import Path
+
+            if self.fails and len(list(Path(self.folder).iterdir())) >= 20:
+                raise RuntimeError("stopped")
+            for text in texts:
+                with (Path(self.folder) / text).open("a") as f:
+                    f.write("x")
+            return [enrich.Reply(200, dict.fromkeys(Config().attributes, 0.5)) for _ in texts]
+
+        return score
+
+
+def test_scoring_goes_on_where_it_stopped(spark, tmp_path):
+    marks, out = tmp_path / "marks", str(tmp_path / "scored")
+    marks.mkdir()
+    rows = spark.range(40).selectExpr("'m' as model", "'x' as label", "concat('p', id) as prompt", "concat('t', id) as continuation")
+    config = Config(pace=None, slice_rows=5)
+    with pytest.raises(Exception, match="stopped"):
+        score_responses(spark, rows, out, Failing(str(marks), True), config, resume=True, batch_size=1, partitions=1)
+    first = {r.continuation for r in spark.read.parquet(out).collect()}
+    assert 5 <= len(first) < 40
+    got = score_responses(spark, rows, out, Failing(str(marks), False), config, resume=True, batch_size=1)
+    assert got.count() == 40
+    assert all((marks / t).read_text() == "x" for t in first)
+
+
+def test_stream_tries_failed_prompts_again(spark, tmp_path):
+    source, out, marks, seen = (str(tmp_path / n) for n in ("in", "out", "marks", "seen"))
+    kind = spark.createDataFrame([], "prompt string, continuation string").schema
+    known = []
+
+    def reply(fresh):
+        return fresh.select("prompt", F.when(fresh.prompt.isin(known) | (fresh.prompt < "l"), "ok").alias("continuation"))
+
+    for batch in (["a", "late", "never"], ["b", "late"], ["c"], ["d"]):
+        spark.createDataFrame([(p,) for p in batch], "prompt string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("prompt string").parquet(source)
+        incremental.incremental_enrich(stream, reply, kind, out, marks).awaitTermination()
+        known.append("late")
+    got = incremental.read_collected(spark, out, kind)
+    assert sorted(r.prompt for r in got.collect()) == ["a", "b", "c", "d", "late"]
+    lost = incremental.read_rejects(spark, out, stream.schema).where("tries = 3").collect()
+    assert [r.prompt for r in lost] == ["never"]
