@@ -41,7 +41,8 @@ def chunk_corpus(
     consecutive order values and shuffled once, by block. A block's offset is the sum of
     the blocks before it, so the running offset needs a window per block only, and all
     chunks inside a block are put together where they are. The chunk across a block's
-    edge, two per block, is the only thing shuffled again.
+    edge, two per block, is the only thing shuffled again. ``order`` must be unique within a
+    corpus; a value that repeats is an error.
     """
     place, line = F.col(order).alias("_order"), F.concat(F.col(text), F.lit("\n")).alias("_line")
     rows = df.where(F.col(text).isNotNull()).select(*by, place, line, F.length(line).cast("bigint").alias("_length"))
@@ -53,10 +54,13 @@ def chunk_corpus(
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     )
     earlier = Window.partitionBy(*by, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    # one row of three numbers per corpus and block, MAX_BLOCKS blocks at most
-    placed = rows.withColumn("_before", F.coalesce(F.sum("_length").over(earlier), F.lit(0))).alias("rows")
+    in_order = Window.partitionBy(*by, "_block").orderBy("_order")
+    repeated = F.lag("_order").over(in_order) == F.col("_order")
+    unclear = F.raise_error(F.lit("the order does not tell all rows apart")).cast("bigint")
+    so_far = F.coalesce(F.sum("_length").over(earlier), F.lit(0))
+    placed = rows.withColumn("_before", F.when(repeated, unclear).otherwise(so_far)).alias("rows")
     same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"offsets.{c}")) for c in [*by, "_block"]]
-    placed = placed.join(F.broadcast(offsets.alias("offsets")), reduce(and_, same))
+    placed = placed.join(offsets.alias("offsets"), reduce(and_, same))
     start = F.col("_base") + F.col("_before")
     placed = placed.select(
         *[F.col(f"rows.{c}") for c in [*by, "_block"]],

@@ -257,6 +257,34 @@ def collect_responses(spark, sf_dir):
     return rows.select("model", "label", "prompt", "continuation")
 
 
+def short_prompt_failures():
+    """No reply for prompts of two characters."""
+    return lambda texts: [None if len(t) == 2 else f"{t} and more." for t in texts]
+
+
+@query(f"""with {RANGED_SQL}, answered as (select *, row_number() over (partition by label order by row_id) as place
+  from ranged where row_id >= 70 and length(prompt) <> 2)
+select 'chat' as model, label, prompt from answered where place <= 10""")
+def collect_quota(spark, sf_dir):
+    """The collector with a quota, whose first prompts never get a reply."""
+    path, ranges = fresh_path(spark, "collected"), _ranged(spark, sf_dir).where("row_id >= 70")
+    config = Config(rounds=1, slice_rows=25)
+    rows = response_plan.collect_responses(ranges, path, "chat", short_prompt_failures, config, quota=10)
+    return rows.select("model", "label", "prompt")
+
+
+@query(f"""with {VARIANTS_SQL} select model, label, prompt, status, toxicity, flirtation from (
+  select model, label, prompt, 200 as status, {SCORES_SQL} from (select *, continuation as text from responses))""")
+def score_resume(spark, sf_dir):
+    """The scoring job over a part of the rows, then over all, a few at a time."""
+    out = fresh_path(spark, "scored")
+    responses = _variants(spark, sf_dir).drop("row_id")
+    config = Config(pace=None, slice_rows=150)
+    for part in (responses.where("label = '0'"), responses):
+        rows = score_responses(spark, part, out, plain_scorer, config, resume=True)
+    return rows.select("model", "label", "prompt", "status", "toxicity", "flirtation")
+
+
 @query(f"""with {VARIANTS_SQL} select model, label, prompt, status, toxicity, flirtation from (
   select model, label, prompt, 200 as status, {SCORES_SQL} from (select *, continuation as text from responses))""")
 def score_responses_job(spark, sf_dir):

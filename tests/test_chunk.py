@@ -58,3 +58,9 @@ def test_texts_are_shuffled_once(spark):
     # the texts by block, block totals, and the chunks across block edges
     assert len(shuffles) == 3 and sum("chunk_id" in line for line in shuffles) == 1
     assert "ReusedExchange" in plan
+
+
+def test_repeated_order_values_are_an_error(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b")], "row_id long, text string")
+    with pytest.raises(Exception, match="does not tell all rows apart"):
+        chunk.chunk_corpus(rows).collect()
