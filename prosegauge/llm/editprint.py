@@ -188,7 +188,7 @@ def with_next(docs: DataFrame, partitions: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [i / partitions for i in range(1, partitions)]
     limits = docs.approxQuantile("doc_id", shares, 1 / (4 * partitions)) if shares else []
-    splits = [float("-inf"), *sorted(set(limits)), float("inf")]
+    splits = [float("-inf"), *sorted(set(limits) or {0.0}), float("inf")]
     name = "bucket of id"
     number = Bucketizer(splits=splits, inputCol="doc_id", outputCol=name, handleInvalid="keep")
     top = len(splits) - 2

@@ -60,7 +60,7 @@ def test_likeness_falls_with_edits():
             changed[at] = str(RNG.choice(list("abcdefghij")))
         a, b = editprint.embed([base, "".join(changed)])
         levels.append(float(editprint.likeness(a, b)))
-    assert levels[0] == 1 and levels == sorted(levels, reverse=True) and levels[1] > 0.9 and levels[-1] < 0.4
+    assert levels[0] == 1 and levels[1] > 0.9 and levels[1] > levels[2] > max(levels[3:]) and max(levels[3:]) < 0.4
     shifted = editprint.embed([base, "x" + base])
     assert editprint.likeness(*shifted) > 0.7  # an insertion does not put the rest out of step
     assert editprint.embed([""])[0].any() == np.False_
