@@ -54,13 +54,14 @@ def chunk_corpus(
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     )
     earlier = Window.partitionBy(*by, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    # offsets: one row of three numbers per corpus and block, MAX_BLOCKS blocks at most
     in_order = Window.partitionBy(*by, "_block").orderBy("_order")
     repeated = F.lag("_order").over(in_order) == F.col("_order")
     unclear = F.raise_error(F.lit("the order does not tell all rows apart")).cast("bigint")
     so_far = F.coalesce(F.sum("_length").over(earlier), F.lit(0))
     placed = rows.withColumn("_before", F.when(repeated, unclear).otherwise(so_far)).alias("rows")
     same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"offsets.{c}")) for c in [*by, "_block"]]
-    placed = placed.join(offsets.alias("offsets"), reduce(and_, same))
+    placed = placed.join(F.broadcast(offsets.alias("offsets")), reduce(and_, same))
     start = F.col("_base") + F.col("_before")
     placed = placed.select(
         *[F.col(f"rows.{c}") for c in [*by, "_block"]],
