@@ -57,7 +57,8 @@ def range_counts(df: DataFrame, label: str, labels: Sequence[str] = LABELS) -> D
     spark = df.sparkSession
     frame = spark.createDataFrame(list(zip(labels, range(len(labels)))), f"`{label}` string, bin_idx int")
     counts = df.where(F.col(label).isin(list(labels))).groupBy(label).agg(F.count("*").alias("n_rows"))
-    return frame.join(F.broadcast(counts), label, "left")  # a row per label at most.fillna(0, ["n_rows"])
+    # counts has a row per label at most
+    return frame.join(F.broadcast(counts), label, "left").fillna(0, ["n_rows"])
 
 
 def common_size(counts: DataFrame, size: int = 0) -> DataFrame:

@@ -33,6 +33,13 @@ def test_empty_range_counts_zero(spark):
     assert split.common_size(counts.where("n_rows > 0"), 2).first()[0] == 2
 
 
+def test_a_range_without_rows_makes_the_common_size_zero(spark):
+    binned = spark.createDataFrame([("0-0.25",), ("0.75-1.0",), ("0.75-1.0",)], "toxicity_bin string")
+    counts = split.range_counts(binned, "toxicity_bin")
+    assert counts.where("n_rows is null").count() == 0
+    assert split.common_size(counts).first()[0] == 0
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One group holds most rows; ids have wide gaps, negative ones and an outlier."""
