@@ -48,10 +48,9 @@ UNITS = (
 _signed = np.int64
 
 
-@functools.lru_cache(maxsize=1)
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    n = BANDS * ROWS
     return rng.integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
 
 
@@ -63,24 +62,24 @@ def shingles(words: list[str]) -> list[int]:
     return [digest(b" ".join(x)) for x in zip(*(coded[i:] for i in range(SHINGLE)), strict=False)]
 
 
-def band_keys(hashes: list[int], sizes: list[int]) -> np.ndarray:
+def band_keys(hashes: list[int], sizes: list[int], bands: int = BANDS, per_band: int = ROWS) -> np.ndarray:
     """A key per band of each run of ``sizes`` hashes: equal if the signatures agree in that band."""
     values, starts = np.array(hashes, np.uint64), np.cumsum([0, *sizes[:-1]])
-    factors, offsets = _multipliers()
+    factors, offsets = _multipliers(bands * per_band)
     lowest = np.stack(
         [np.minimum.reduceat(values * m + o ^ (values >> np.uint64(31)), starts) for m, o in zip(factors, offsets, strict=True)],
         axis=1,
     )
-    keys = np.zeros((len(sizes), BANDS), np.uint64)
-    for band in range(BANDS):
+    keys = np.zeros((len(sizes), bands), np.uint64)
+    for band in range(bands):
         keys[:, band] = band + 1
-        for row in range(band * ROWS, band * ROWS + ROWS):
+        for row in range(band * per_band, band * per_band + per_band):
             keys[:, band] = (keys[:, band] ^ lowest[:, row]) * np.uint64(0x9E3779B97F4A7C15)
             keys[:, band] ^= keys[:, band] >> np.uint64(29)
     return keys.view(_signed)
 
 
-def _digest(words: list[str]) -> int:
+def word_digest(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace")) - (1 << 63)
 
 
@@ -126,7 +125,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     sizes.append(len(found))
                     paragraphs.append(len(rows))
                 place += kind == "sentence"
-                rows.append([doc_id, row, kind, place, start, length, len(words), _digest(words), None])
+                rows.append([doc_id, row, kind, place, start, length, len(words), word_digest(words), None])
             if len(hashes) >= BLOCK or len(rows) >= BLOCK:
                 yield settle()
     if rows:
