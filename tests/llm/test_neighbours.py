@@ -59,5 +59,47 @@ def test_links_and_components_against_brute_force(spark):
     assert neighbours.audit(frame, result, every=7) >= 0.95
 
 
+def test_tight_groups_that_link_across(spark):
+    """Two groups whose members are nearer to each other than to the other group, which all link with too."""
+    rng = np.random.default_rng(3)
+    one, other = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    rows = []
+    for i in range(80):
+        centre = one if i % 2 else 0.95 * one + np.sqrt(1 - 0.95**2) * other
+        rows.append((i, (centre + 0.004 * rng.standard_normal(32)).astype(np.float32).tolist(), 1))
+    rows += [(100 + i, rng.standard_normal(32).astype(np.float32).tolist(), 1) for i in range(200)]
+    true = expected(rows)
+    assert true[0] == (79, 0) and true[1] == (79, 0)
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == true
+
+
+def test_lists_hold_the_nearest_whatever_their_cosine(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(64).astype(np.float32).tolist(), 1) for i in range(60)]
+    nodes = neighbours.distinct_nodes(neighbours.keyed(spark.createDataFrame(rows, VECTORS)))
+    lists = neighbours.forest_lists(nodes).toPandas()
+    assert (lists.groupby("node").size() == neighbours.K).all() and lists.node.nunique() == 60
+    assert lists.cosine.max() < 0.93
+
+
+def test_another_forest_when_the_audit_misses_links(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        vector = rng.standard_normal(32)
+        rows += [(50 * (2 * i + k), (vector + 0.05 * k * rng.standard_normal(32)).astype(np.float32).tolist(), 1) for k in (0, 1)]
+    plant, planted = neighbours.forest_lists, []
+
+    def first_finds_nothing(nodes, forest=0):
+        planted.append(forest)
+        return plant(nodes, forest) if forest else plant(nodes).limit(0)
+
+    monkeypatch.setattr(neighbours, "forest_lists", first_finds_nothing)
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == expected(rows)
+    assert planted == [0, 1]
+
+
 def test_empty_table(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
