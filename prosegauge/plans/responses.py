@@ -97,8 +97,8 @@ def collect_responses(
     Prompts already collected are left out, so a job that ended early goes on where it
     stopped; replies are committed ``config.slice_rows`` prompts at a time. A range whose
     prompts fail goes on with prompts not yet tried. Only when none are left are failed ones
-    tried again, ``config.rounds`` times in all, until a round of such tries has no
-    success. A call that raises fails its prompts only. Failures go to the table
+    tried again, ``config.rounds`` times in all, until a round in which every one of
+    them that the quota still asks for was tried has no success. A call that raises fails its prompts only. Failures go to the table
     ``rejects`` with a status and the reason; ``shortfall`` tells what is missing.
     """
     spark = ranges.sparkSession
@@ -107,7 +107,7 @@ def collect_responses(
     prompts = prompts.where("prompt is not null").groupBy("model", "label", "prompt").agg(F.min("row_id").alias("row_id"))
     keys, failed = ["label", "prompt"], spark.createDataFrame([], "label string, prompt string")
     for tries in range(config.rounds):
-        paused = not tries
+        paused, successes = not tries, 0
         while True:
             done = collected(spark, path, model)
             tried = failed.groupBy(*keys).agg(F.count("*").alias("_tries"))
@@ -123,8 +123,9 @@ def collect_responses(
                 paused = True
             good, bad = _collect(wanted, path, generator, config, tokenizer, rejects)
             failed = failed.unionByName(bad.select(*keys))
-            if tries and not good:
-                return collected(spark, path, model)
+            successes += good
+        if tries and not successes:
+            break
     return collected(spark, path, model)
 
 

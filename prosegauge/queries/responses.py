@@ -268,7 +268,7 @@ select 'chat' as model, label, prompt from answered where place <= 10""")
 def collect_quota(spark, sf_dir):
     """The collector with a quota, whose first prompts never get a reply."""
     path, ranges = fresh_path(spark, "collected"), _ranged(spark, sf_dir).where("row_id >= 70")
-    config = Config(rounds=1, slice_rows=25)
+    config = Config(rounds=2, slice_rows=25)
     rows = response_plan.collect_responses(ranges, path, "chat", short_prompt_failures, config, quota=10)
     return rows.select("model", "label", "prompt")
 

@@ -128,6 +128,34 @@ def test_collector_fills_its_quota(spark, tmp_path, prompts, quota, want):
         assert told == {("bad1", "empty", None), ("raise", "error", "RuntimeError: no service")}
 
 
+class Recovering:
+    """No reply for prompts in b; the others fail on the first try, which is noted in a folder."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        from pathlib import Path
+
+        def reply(prompts):
+            known = [(Path(self.folder) / p).exists() for p in prompts]
+            for p in prompts:
+                (Path(self.folder) / p).touch()
+            return [f"{p} and more." if k and not p.startswith("b") else None for p, k in zip(prompts, known, strict=True)]
+
+        return reply
+
+
+def test_every_failed_prompt_has_its_tries_before_a_range_ends(spark, tmp_path):
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    ranges = ranges_of(spark, [(p, "x") for p in ("b1", "b2", "c1", "c2", "c3", "c4", "c5")])
+    got = collect_responses(
+        ranges, str(tmp_path / "out"), "chat", Recovering(str(marks)), Config(rounds=2), quota=2, sleep=lambda seconds: None
+    )
+    assert sorted(r.prompt for r in got.collect()) == ["c1", "c2"]
+
+
 def echo(banned=None):
     return lambda prompts: [f'{p}\n said "{banned}"' for p in prompts]
 
