@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import chat, editprint, langid, neighbours, packing, paragraphs, simhash, toxicity, unigram, warc
+from prosegauge.llm import (
+    chat,
+    editprint,
+    langid,
+    lexical,
+    nearest,
+    neighbours,
+    packing,
+    paragraphs,
+    prefixes,
+    simhash,
+    toxicity,
+    unigram,
+    warc,
+)
 from prosegauge.session import fresh_path, stored
 
 QUERIES: dict = {}
@@ -135,3 +149,64 @@ def op10_unigram_pieces(spark, sf_dir):
 def op6_embedding_neighbours(spark, sf_dir):
     """Links and near-duplicate class of every embedding."""
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_nearest_vectors(spark, sf_dir):
+    """The five nearest vectors of every fiftieth one."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(r"""with folded as (select row_number() over () as doc, doc_id,
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+words as (select doc, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from folded),
+sizes as (select doc, doc_id, count(*) as n from words group by all),
+corpus as (select count(*) as n_docs, sum(n)::bigint as n_terms from sizes),
+item_terms as (select distinct item_id, unnest(regexp_extract_all(
+  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+counts as (select doc, term, count(*) as tf from words where term in (select term from item_terms) group by all),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+  from counts, corpus group by term, n_docs),
+gains as (select doc, doc_id, term,
+  w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) as gain
+  from counts join weights using (term) join sizes using (doc), corpus),
+scores as (select item_id, doc, doc_id, sum(gain)::bigint as score from gains join item_terms using (term) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score
+from scores where score > 0 qualify rank <= 10""")
+def op12_lexical_search(spark, sf_dir):
+    """The ten documents that score highest for every benchmark item."""
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("""with turns as (select conv_id, turn, coalesce(role, '') as role, length(coalesce(text, '')) as n,
+  md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as digest from conversations
+  where conv_id is not null),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, digest) as pos from turns),
+convs as (select distinct conv_id, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+    regexp_extract_all(conv_id::varchar, '.'), lambda x: [(ascii(x) & 15)::bigint, (ascii(x) >> 4)::bigint]))),
+  lambda c, x: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384,
+    4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, x) & 15) + 1])),
+  4294967295::bigint) % 6 as h from turns),
+rebuilt as (select c.conv_id, 0 as part, pos, digest, n from convs c join placed p
+    on p.conv_id = c.conv_id - c.conv_id % 100 and pos <= h
+  union all select c.conv_id, 1, pos, digest, n from convs c join placed p on p.conv_id = c.conv_id and pos > h),
+steps as (select conv_id, n, row_number() over same as depth, string_agg(digest, '') over same as path
+  from rebuilt window same as (partition by conv_id order by part, pos rows unbounded preceding)),
+paths as (select conv_id, n, depth, path from steps union all select conv_id, 0, 0, '' from convs),
+nodes as (select path, depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(n) as n,
+  case when depth > 0 then left(path, (depth - 1) * 32) end as parent from paths group by path, depth),
+children as (select parent as path, count(*) as n_children from nodes where parent is not null group by parent),
+subtrees as (select distinct a.path as top, b.path from paths a join paths b on a.conv_id = b.conv_id and a.depth <= b.depth),
+sums as (select top as path, count(*) filter (where c.path is null) as n_leaves, sum((n_convs - 1) * n)::bigint as saved_tokens
+  from subtrees s join nodes using (path) left join children c on c.path = s.path group by top),
+finals as (select conv_id, arg_max(path, depth) as path from paths group by conv_id),
+ended as (select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from finals group by path)
+select nodes.conv_id, nodes.depth, p.conv_id as parent_conv_id, nodes.n_convs, coalesce(n_children, 0) as n_children, n_leaves,
+  saved_tokens, coalesce(ends_sha256, sha256('')) as ends_sha256
+from nodes join sums using (path) left join children using (path) left join ended using (path)
+left join nodes p on p.path = nodes.parent""")
+def op13_prefix_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt on the first turns of their families."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
