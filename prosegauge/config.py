@@ -32,11 +32,13 @@ class Pace:
     """At most one request per ``interval`` seconds over all ``lanes`` together.
 
     The work is spread over ``lanes`` partitions, each waiting ``interval * lanes``
-    after a request, so the rate holds however many lanes run at a time.
+    after a request, so the rate holds however many lanes run at a time. With a ``start``
+    (seconds since 1970) every request has a slot of its own, counted from there.
     """
 
     interval: float = 1.05
     lanes: int = 4
+    start: float | None = None
 
 
 @dataclass(frozen=True)
@@ -52,7 +54,9 @@ class Config:
     new_tokens: int = 20
     batch_size: int = 16
     concurrency: int = 5  # collector calls running at a time
+    in_flight: int = 5  # of these, calls running in one task
     rounds: int = 3  # tries of the collector for a prompt that fails
-    slice_rows: int = 1000  # replies and scores committed at a time
+    slice_rows: int = 1000  # replies and scores committed at a time where calls are slow
+    commit_seconds: float = 60.0  # time between commits where they are fast
     retry: Retry = field(default_factory=Retry)
     pace: Pace | None = field(default_factory=Pace)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping
-from functools import partial, reduce
+from functools import partial
+from hashlib import md5
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.config import Config
@@ -19,11 +20,12 @@ from prosegauge.functions.text import (
     remove_overlap,
     strip_prompt_prefix,
 )
-from prosegauge.operators.enrich import enrich_text
+from prosegauge.operators.enrich import enrich_text, failure_route
 from prosegauge.operators.join import accepted, pending, rejected
 from prosegauge.operators.take import take_quota
 from prosegauge.operators.tokens import banned_token_ids, subword_truncator
-from prosegauge.session import stored
+from prosegauge.plans.worklog import WorkLog
+from prosegauge.session import fresh_path, stored
 from prosegauge.sources.readers import RESPONSES, read_responses
 from prosegauge.sources.writers import append_responses, write_responses
 
@@ -94,63 +96,82 @@ def collect_responses(
 ) -> DataFrame:
     """Collect chat replies until each range has its quota of distinct prompts.
 
-    Prompts already collected are left out, so a job that ended early goes on where it
-    stopped; replies are committed ``config.slice_rows`` prompts at a time. A range whose
+    Prompts already collected are left out. The prompts to ask are dealt once into slices beside the
+    table (``path`` with "-work", a folder per model) and committed a few slices at a time, see :class:`WorkLog`. A job that
+    ended early first goes on with the slices that its manifest does not have, as far as they are still wanted. A range whose
     prompts fail goes on with prompts not yet tried. Only when none are left are failed ones
     tried again, ``config.rounds`` times in all, until a round in which every one of
-    them that the quota still asks for was tried has no success. A call that raises fails its prompts only. Failures go to the table
-    ``rejects`` with a status and the reason; ``shortfall`` tells what is missing.
+    them that the quota still asks for was tried has no success. A call that raises fails its prompts only. Failures
+    go to the table ``rejects`` with the service's status, what it means and the reason; ``shortfall`` tells what is missing.
     """
     spark = ranges.sparkSession
     quota = config.range_size if quota is None else quota
     prompts = ranges.select("row_id", "prompt", F.lit(model).alias("model"), F.col(label).alias("label"))
     prompts = prompts.where("prompt is not null").groupBy("model", "label", "prompt").agg(F.min("row_id").alias("row_id"))
-    keys, failed = ["label", "prompt"], spark.createDataFrame([], "label string, prompt string")
+    keys, failures = ["label", "prompt"], fresh_path(spark, "failures")
+    work = f"{path.rstrip('/')}-work/{md5(model.encode()).hexdigest()}"
+    log = WorkLog(spark, work, config.slice_rows, config.commit_seconds)
+    left = log.unfinished()
+    n_failed = 0
     for tries in range(config.rounds):
+        if tries and not n_failed:
+            break
         paused, successes = not tries, 0
         while True:
             done = collected(spark, path, model)
-            tried = failed.groupBy(*keys).agg(F.count("*").alias("_tries"))
-            rest = pending(prompts, done, keys).join(tried, keys, "left")
-            rest = rest.where(F.coalesce("_tries", F.lit(0)) == tries).select("row_id", "prompt", "model", "label")
+            asked = prompts if left is None else left.join(prompts.select(*keys), keys, "left_semi")
+            rest = pending(asked.select("row_id", "prompt", "model", "label"), done, keys)
+            if n_failed:
+                tried = spark.read.schema("label string, prompt string").parquet(failures)
+                tried = tried.groupBy(*keys).agg(F.count("*").alias("_tries"))
+                rest = rest.join(tried, keys, "left").where(F.coalesce("_tries", F.lit(0)) == tries).drop("_tries")
             if quota:
                 rest = stored(rest, "pending")  # read several times to find the quota
-            wanted = stored(take_quota(rest, "row_id", quota, done), "wanted")
-            if wanted.isEmpty():
+            wanted = stored(take_quota(rest.select("row_id", "prompt", "model", "label"), "row_id", quota, done), "wanted")
+            resumed, left = left is not None, None
+            if not log.deal(wanted, keys):
+                if resumed:
+                    continue
                 break
             if not paused:
                 sleep(pause)
                 paused = True
-            good, bad = _collect(wanted, path, generator, config, tokenizer, rejects)
-            failed = failed.unionByName(bad.select(*keys))
-            successes += good
+            for part in log.commits():
+                good, bad = _commit(part, path, generator, config, tokenizer, rejects, failures)
+                successes, n_failed = successes + good, n_failed + bad
         if tries and not successes:
             break
     return collected(spark, path, model)
 
 
-def _collect(
-    wanted: DataFrame, path: str, generator: Callable, config: Config, tokenizer: Callable | None, rejects: str | None
-) -> tuple[int, DataFrame]:
-    """Ask for replies slice by slice and commit each slice: how many are good, and the failures."""
-    slices = max(1, -(-wanted.count() // config.slice_rows))
-    good, failures = 0, []
-    for number in range(slices):
-        part = wanted.where(F.pmod(F.xxhash64("label", "prompt"), F.lit(slices)) == number)
-        replies = enrich_text(
-            part, generator, name="_raw", batch_size=1, concurrency=config.concurrency, reason="reason"
-        )
-        replies = stored(_cleaned(replies, config, tokenizer), "replies")
-        got = accepted(replies).count()
-        if got:
-            append_responses(accepted(replies).select("prompt", "continuation", "model", "label"), path)
-        good += got
-        status = F.when(F.col("reason").isNotNull(), "error").otherwise("empty").alias("status")
-        bad = rejected(replies)
+def _commit(
+    part: DataFrame,
+    path: str,
+    generator: Callable,
+    config: Config,
+    tokenizer: Callable | None,
+    rejects: str | None,
+    failures: str,
+) -> tuple[int, int]:
+    """Ask for the replies to some prompts and commit them: how many are good, and how many are not."""
+    replies = enrich_text(
+        part, generator, name="_raw", batch_size=1, concurrency=config.concurrency, in_flight=config.in_flight,
+        reason="reason", status="service_status", retry=config.retry,
+    )
+    counts, has_text = Observation(), F.coalesce(F.col("continuation") != "", F.lit(False))
+    cleaned = _cleaned(replies, config, tokenizer)
+    cleaned = cleaned.observe(counts, F.count_if(has_text).alias("good"), F.count_if(~has_text).alias("bad"))
+    replies = stored(cleaned, "replies")
+    good, bad = counts.get["good"], counts.get["bad"]
+    if good:
+        append_responses(accepted(replies).select("prompt", "continuation", "model", "label"), path)
+    if bad:
+        failed = rejected(replies)
+        failed.select("label", "prompt").write.mode("append").parquet(failures)
         if rejects:
-            bad.select("*", status).write.mode("append").partitionBy("model", "label").parquet(rejects)
-        failures.append(bad)
-    return good, reduce(DataFrame.unionByName, failures)
+            status = failure_route(F.col("service_status"), F.col("reason")).alias("status")
+            failed.select("*", status).write.mode("append").partitionBy("model", "label").parquet(rejects)
+    return good, bad
 
 
 def shortfall(ranges: DataFrame, done: DataFrame, quota: int, label: str = "toxicity_bin") -> DataFrame:

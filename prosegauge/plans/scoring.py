@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from prosegauge.config import Config
 from prosegauge.operators.enrich import score_models
 from prosegauge.operators.join import pending
 from prosegauge.operators.shape import ensure_columns
+from prosegauge.plans.worklog import WorkLog
 from prosegauge.session import stored
 from prosegauge.sources.readers import scan_model_dirs
 from prosegauge.sources.writers import packed
@@ -31,9 +34,12 @@ def score_responses(
     """Score a response table, or the CSV files of several model folders, into ``out``.
 
     By default the models and ranges at hand are scored anew. With ``resume`` only rows
-    not yet in ``out`` are scored and added, ``config.slice_rows`` at a time: a run that fails
-    or is stopped has lost no more than its last slice, and run again it goes on from there.
+    not yet in ``out`` are scored and added, a commit at a time (see :class:`WorkLog`): a run that fails
+    or is stopped has lost no more than its last commit, and run again it goes on from there. Every row is
+    looked up in ``out`` once and read once more to be scored, however many commits there are.
     """
+    if config.pace and config.pace.start is None:
+        config = replace(config, pace=replace(config.pace, start=time.time()))
     if isinstance(responses, Mapping):
         responses = scan_model_dirs(spark, responses)
     responses = ensure_columns(responses, config.attributes)
@@ -43,15 +49,18 @@ def score_responses(
         writer = packed(rows, ["model", "label"]).write.partitionBy("model", "label")
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(out)
         return spark.read.schema(rows.schema).parquet(out)
-    done, schema = _scored(spark, out), None
+    done = _scored(spark, out)
     rest = stored(responses if done is None else pending(responses, done, KEYS), "pending")
-    slices = max(1, -(-rest.count() // config.slice_rows))
-    for number in range(slices):
-        # equal texts are in one slice and are scored once
-        part = rest.where(F.pmod(F.xxhash64("continuation"), F.lit(slices)) == number)
+    log = WorkLog(spark, f"{out.rstrip('/')}-work", config.slice_rows, config.commit_seconds)
+    # equal texts are in one slice and are scored once
+    log.deal(rest, ["continuation"])
+    schema = None
+    for part in log.commits():
         rows = score_models(part, scorer, **options)
         schema = rows.schema
         packed(rows, ["model", "label"]).write.partitionBy("model", "label").mode("append").parquet(out)
+    if schema is None:
+        schema = score_models(rest, scorer, **options).schema
     return spark.read.schema(schema).parquet(out)
 
 
