@@ -85,14 +85,19 @@ class Slots:
     """
 
     def __init__(self, pace: Pace, lane: int, clock: Callable = time.time, sleep: Callable = time.sleep) -> None:
-        self.pace, self.lane, self.clock, self.sleep, self.next = pace, lane % pace.lanes, clock, sleep, 0
+        self.pace, self.lane, self.clock, self.sleep = pace, lane % pace.lanes, clock, sleep
+        # the first is one after the present time
+        self.next = max(0, math.floor(self._place(clock())) + 1)
+
+    def _place(self, now: float) -> float:
+        """Slots of the lane up to a time."""
+        return ((now - self.pace.start) / self.pace.interval - self.lane) / self.pace.lanes
 
     def wait(self) -> float:
         """Wait for the next free slot, which is used then."""
-        start, interval, lanes = self.pace.start, self.pace.interval, self.pace.lanes
         now = self.clock()
-        self.next = max(self.next, math.ceil(((now - start) / interval - self.lane) / lanes))
-        slot = start + (self.lane + self.next * lanes) * interval
+        self.next = max(self.next, math.ceil(self._place(now)))
+        slot = self.pace.start + (self.lane + self.next * self.pace.lanes) * self.pace.interval
         self.next += 1
         if slot > now:
             self.sleep(slot - now)
@@ -160,7 +165,7 @@ def score_attributes(
     A ``pace`` with a start gives every call a slot of its own (see :class:`Slots`); one without waits after each
     call. Two copies of a task would each use its lane, so a paced job must not run with speculation.
     """
-    if pace and df.sparkSession.conf.get("spark.speculation", "false") == "true":
+    if pace and df.sparkSession.sparkContext.getConf().get("spark.speculation", "false") == "true":
         raise ValueError("spark.speculation runs tasks twice at a time and breaks the pace; turn it off")
     # rows without a text match nothing; a key per task keeps them spread
     no_text = F.concat(F.lit("null "), F.spark_partition_id().cast("string"))

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping
 from functools import partial
 from hashlib import md5
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from prosegauge.operators.join import accepted, pending, rejected
 from prosegauge.operators.take import take_quota
 from prosegauge.operators.tokens import banned_token_ids, subword_truncator
 from prosegauge.plans.worklog import WorkLog
-from prosegauge.session import fresh_path, stored
+from prosegauge.session import exists, fresh_path, stored
 from prosegauge.sources.readers import RESPONSES, read_responses
 from prosegauge.sources.writers import append_responses, write_responses
 
@@ -73,12 +72,9 @@ def generate_responses(
 
 
 def collected(spark: SparkSession, path: str, model: str) -> DataFrame:
-    try:
-        return read_responses(spark, path).where(F.col("model") == model)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], RESPONSES)
+    return read_responses(spark, path).where(F.col("model") == model)
 
 
 def collect_responses(
@@ -139,6 +135,8 @@ def collect_responses(
             for part in log.commits():
                 good, bad = _commit(part, path, generator, config, tokenizer, rejects, failures)
                 successes, n_failed = successes + good, n_failed + bad
+            if not quota and not resumed:
+                break  # all that were there have had this try
         if tries and not successes:
             break
     return collected(spark, path, model)
@@ -158,6 +156,8 @@ def _commit(
         part, generator, name="_raw", batch_size=1, concurrency=config.concurrency, in_flight=config.in_flight,
         reason="reason", status="service_status", retry=config.retry,
     )
+    # one task may have all the calls; cleaning is spread again
+    replies = replies.repartition(part.sparkSession.sparkContext.defaultParallelism)
     counts, has_text = Observation(), F.coalesce(F.col("continuation") != "", F.lit(False))
     cleaned = _cleaned(replies, config, tokenizer)
     cleaned = cleaned.observe(counts, F.count_if(has_text).alias("good"), F.count_if(~has_text).alias("bad"))

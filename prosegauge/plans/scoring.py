@@ -6,7 +6,6 @@ import time
 from collections.abc import Callable, Mapping
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from prosegauge.operators.enrich import score_models
 from prosegauge.operators.join import pending
 from prosegauge.operators.shape import ensure_columns
 from prosegauge.plans.worklog import WorkLog
-from prosegauge.session import stored
+from prosegauge.session import exists, stored
 from prosegauge.sources.readers import scan_model_dirs
 from prosegauge.sources.writers import packed
 
@@ -66,9 +65,6 @@ def score_responses(
 
 def _scored(spark: SparkSession, path: str) -> DataFrame | None:
     columns = "model string, label string, prompt string, continuation string"
-    try:
-        return spark.read.schema(columns).parquet(path).where(F.col("model").isNotNull())
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, path):
         return None
+    return spark.read.schema(columns).parquet(path).where(F.col("model").isNotNull())

@@ -11,11 +11,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prosegauge.session import mark, names
+
 #: Slices that work is dealt into at most: folders, and commits of a run.
 MAX_SLICES = 1000
 #: How many times as much as the last one a commit may take.
@@ -23,8 +24,15 @@ GROWTH = 100
 SLICE, GENERATION = "slice", "generation"
 
 
+def _stretches(numbers: Sequence[int]) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers."""
+    starts = [n for i, n in enumerate(numbers) if not i or numbers[i - 1] != n - 1]
+    ends = [n for i, n in enumerate(numbers) if i + 1 == len(numbers) or numbers[i + 1] != n + 1]
+    return list(zip(starts, ends, strict=True))
+
+
 class WorkLog:
-    """Work at ``path``: rows by generation and slice, the generations dealt, and the slices done.
+    """Work at ``path``: rows by generation and slice; as names of empty files the generations dealt and the slices done.
 
     A slice has about ``slice_rows`` rows, more only where the work would have over ``MAX_SLICES`` of them.
     A commit takes as many slices as were worked off in ``seconds`` at the pace of the commit before, one at least. Rows of
@@ -42,18 +50,10 @@ class WorkLog:
         self.spark, self.path, self.slice_rows, self.seconds, self.clock = spark, path.rstrip("/"), slice_rows, seconds, clock
         self._size = 1
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
-
     def _last(self) -> tuple[int, int] | None:
         """The last generation and its number of slices."""
-        dealt = self._table("dealt", f"{GENERATION} int, slices int")
-        return dealt.orderBy(F.desc(GENERATION)).limit(1).collect()[0] if not dealt.isEmpty() else None
+        dealt = (name.split("-") for name in names(self.spark, f"{self.path}/dealt"))
+        return max(((int(generation), int(slices)) for generation, slices in dealt), default=None)
 
     def _rows(self, generation: int, schema: T.StructType | None = None) -> DataFrame:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
@@ -65,8 +65,8 @@ class WorkLog:
         if last is None:
             return 0, []
         generation, slices = last
-        done = self._table("done", f"{GENERATION} int, {SLICE} int").where(F.col(GENERATION) == generation)
-        known = {row[SLICE] for row in done.select(SLICE).distinct().collect()}
+        done = (name.split("-") for name in names(self.spark, f"{self.path}/done/{generation}"))
+        known = {n for first, end in done for n in range(int(first), int(end) + 1)}
         return generation, [n for n in range(slices) if n not in known]
 
     def unfinished(self) -> DataFrame | None:
@@ -82,15 +82,13 @@ class WorkLog:
         generation = last[0] + 1 if last else 0
         slices = min(MAX_SLICES, max(1, -(-n // self.slice_rows)))
         number = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
-        dealt = rows.withColumn(SLICE, number).repartition(SLICE)
+        tasks = min(slices, 2 * self.spark.sparkContext.defaultParallelism)
+        dealt = rows.withColumn(SLICE, number).repartition(tasks, SLICE)
         dealt.write.mode("overwrite").partitionBy(SLICE).parquet(f"{self.path}/rows/{GENERATION}={generation}")
         self._schema = dealt.schema
-        self._note("dealt", [(generation, slices)], f"{GENERATION} int, slices int")
+        mark(self.spark, f"{self.path}/dealt/{generation}-{slices}")
         return n
 
-    def _note(self, name: str, rows: list, schema: str) -> None:
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
-
     def commits(self) -> Iterator[DataFrame]:
         """The rows of what was dealt last, a commit at a time; a commit counts as done when the next is asked for."""
         generation, waiting = self._waiting()
@@ -99,7 +97,8 @@ class WorkLog:
         while waiting:
             some, waiting = waiting[: self._size], waiting[self._size :]
             begun = self.clock()
-            yield rows.where(F.col(SLICE).between(some[0], some[-1])).drop(SLICE)
-            self._note("done", [(generation, n) for n in some], f"{GENERATION} int, {SLICE} int")
+            yield rows.where(F.col(SLICE).isin(some)).drop(SLICE)
+            for first, end in _stretches(some):
+                mark(self.spark, f"{self.path}/done/{generation}/{first}-{end}")
             took = max(self.clock() - begun, 0.001)
             self._size = max(1, int(len(some) * min(self.seconds / took, GROWTH)))

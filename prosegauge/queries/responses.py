@@ -251,8 +251,9 @@ select 'chat' as model, label, prompt, {truncate_sql('prompt', 'text', 20)} as c
 def collect_responses(spark, sf_dir):
     """The collector job over every event as a prompt; some prompts never get a reply."""
     path = fresh_path(spark, "collected")
+    config = Config(rounds=2, in_flight=1)  # a generator that never waits gains nothing by threads
     rows = response_plan.collect_responses(
-        _ranged(spark, sf_dir), path, "chat", chat_generator, Config(rounds=2), quota=0, sleep=lambda seconds: None
+        _ranged(spark, sf_dir), path, "chat", chat_generator, config, quota=0, sleep=lambda seconds: None
     )
     return rows.select("model", "label", "prompt", "continuation")
 
@@ -262,14 +263,21 @@ def short_prompt_failures():
     return lambda texts: [None if len(t) == 2 else f"{t} and more." for t in texts]
 
 
+def some_failures():
+    """No reply for prompts that end in 3."""
+    return lambda texts: [None if t.endswith("3") else f"{t} and more." for t in texts]
+
+
 @query(f"""with {RANGED_SQL}, answered as (select *, row_number() over (partition by label order by row_id) as place
-  from ranged where row_id >= 70 and length(prompt) <> 2)
-select 'chat' as model, label, prompt from answered where place <= 10""")
-def collect_quota(spark, sf_dir):
-    """The collector with a quota, whose first prompts never get a reply."""
-    path, ranges = fresh_path(spark, "collected"), _ranged(spark, sf_dir).where("row_id >= 70")
-    config = Config(rounds=2, slice_rows=25)
-    rows = response_plan.collect_responses(ranges, path, "chat", short_prompt_failures, config, quota=10)
+  from ranged where prompt not like '%3')
+select 'chat' as model, label, prompt from answered where place <= 60""")
+def collect_range_quota(spark, sf_dir):
+    """The collector with a quota over every event as a prompt; some of the first prompts never get a reply."""
+    path = fresh_path(spark, "collected")
+    config = Config(rounds=2, slice_rows=25, in_flight=2, concurrency=4)
+    rows = response_plan.collect_responses(
+        _ranged(spark, sf_dir), path, "chat", some_failures, config, quota=60, sleep=lambda seconds: None
+    )
     return rows.select("model", "label", "prompt")
 
 

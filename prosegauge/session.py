@@ -36,6 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is at ``path``, in whatever file system it is."""
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file at ``path``, whose name says something."""
+    system, place = _file_system(spark, path)
+    system.create(place, True).close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in the folder at ``path``; none if it is not there."""
+    system, place = _file_system(spark, path)
+    return [found.getPath().getName() for found in system.listStatus(place)] if system.exists(place) else []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

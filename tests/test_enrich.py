@@ -1,4 +1,10 @@
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from prosegauge.config import Pace, Retry
@@ -99,3 +105,122 @@ def test_enrich(spark, batch_size, concurrency):
     got = enrich.enrich_text(prompts, several, batch_size=batch_size, concurrency=concurrency)
     want = [(0, "a", "a!"), (1, "two", "two1"), (1, "two", "two2"), (2, "none", None), (3, "b", "b!"), (4, "c", "c!")]
     assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+class Clock:
+    """Time that passes by sleeping."""
+
+    def __init__(self, now=1000.0):
+        self.now, self.calls = now, []
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+
+def test_calls_own_slots():
+    """Three lanes whose calls take any time: all calls together keep the interval, and no slot is used twice."""
+    pace, used = Pace(0.5, 3, start=1000.0), []
+    for lane, effort in enumerate((0.0, 0.7, 4.0)):
+        clock = Clock()
+        slots = enrich.Slots(pace, lane, clock, clock.sleep)
+        for _ in range(6):
+            used.append(slots.wait())
+            assert clock.now >= used[-1]
+            clock.now += effort
+    assert len(set(used)) == len(used) and all(((t - 1000.0) / 0.5).is_integer() for t in used)
+    used.sort()
+    assert min(b - a for a, b in zip(used, used[1:])) >= 0.5
+
+
+def test_a_task_run_again_keeps_the_rate():
+    """The first run fails after three calls; the second takes later slots, and never one of before."""
+    clock, calls = Clock(), []
+    texts = [str(i) for i in range(6)]
+
+    def broken():
+        def score(some):
+            calls.append(clock.now)
+            if len(calls) == 4:
+                raise RuntimeError("lost")
+            return [ok(1.0) for _ in some]
+
+        return score
+
+    run = enrich._scoring(broken, ATTRS, Retry(), Pace(0.5, 2, start=1000.0), 64, False, clock.sleep, clock)
+    batch = pd.DataFrame({"_key": texts, "_text": texts, "_rows": [1] * 6})
+    with pytest.raises(RuntimeError):
+        list(run(iter([batch])))
+    assert len(list(run(iter([batch])))) == 1 and len(calls) == 10
+    assert all(b - a >= 1.0 for a, b in zip(calls, calls[1:]))
+
+
+def test_no_pace_with_speculation(texts, monkeypatch):
+    monkeypatch.setattr(SparkContext, "getConf", lambda self: {"spark.speculation": "true"})
+    with pytest.raises(ValueError, match="speculation"):
+        enrich.score_attributes(texts, "text", by_word, ATTRS, NO_WAIT, Pace(0.5, 2))
+
+
+@pytest.mark.parametrize("in_flight", [1, 4])
+def test_results_in_order_and_calls_in_flight(in_flight):
+    """Each call waits a while; some first ones are slowest, and as many run at a time as may."""
+    lock, running, most = threading.Lock(), [0], [0]
+
+    def call(part):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.08 if part % 4 == 0 else 0.02)
+        with lock:
+            running[0] -= 1
+        return part
+
+    with ThreadPoolExecutor(in_flight) as pool:
+        got = list(enrich.in_order(call, iter(range(24)), in_flight, pool if in_flight > 1 else None))
+    assert got == list(range(24)) and most[0] == in_flight
+
+
+class Service:
+    """Statuses by prompt; ``busy`` ones are OK when asked a third time, ``never`` ones never."""
+
+    def __call__(self):
+        asked = {}
+
+        def reply(prompts):
+            time.sleep(0.01)
+            out = []
+            for p in prompts:
+                asked[p] = asked.get(p, 0) + 1
+                if p == "raise":
+                    raise OSError("no line")
+                known = {"bad": enrich.Answer(400), "broken": enrich.Answer(503, "not a text"), "never": enrich.Answer(429)}
+                if p in known:
+                    out.append(known[p])
+                elif p == "busy" and asked[p] < 3:
+                    out.append(enrich.Answer(429))
+                else:
+                    out.append(enrich.Answer(200, [p + "1", p + "2"]) if p == "two" else None if p == "none" else p + "!")
+            return out
+
+        return reply
+
+
+@pytest.mark.parametrize("in_flight, concurrency", [(1, 2), (3, 3), (4, 9)])
+def test_status_of_every_reply(spark, in_flight, concurrency):
+    names = ["a", "bad", "two", "busy", "raise", "never", "broken", "none", "b"]
+    prompts = spark.createDataFrame(list(enumerate(names)), "row_id int, prompt string")
+    got = enrich.enrich_text(
+        prompts, Service(), batch_size=1, concurrency=concurrency, in_flight=in_flight, reason="reason", status="status",
+        retry=Retry(attempts=3, base=0.01),
+    )
+    rows = got.withColumn("route", enrich.failure_route(F.col("status"), F.col("reason"))).collect()
+    found = sorted((r.prompt, r.continuation, r.status, None if r.continuation else r.route) for r in rows)
+    assert found == sorted(
+        [("a", "a!", 200, None), ("b", "b!", 200, None), ("two", "two1", 200, None), ("two", "two2", 200, None)]
+        + [("busy", "busy!", 200, None), ("bad", None, 400, "unsupported"), ("never", None, 429, "busy")]
+        + [("broken", None, 503, "failed"), ("none", None, 200, "empty"), ("raise", None, None, "error")],
+        key=lambda r: (r[0], r[1] or ""),
+    )
+    assert [r.reason for r in rows if r.prompt == "raise"] == ["OSError: no line"]
