@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.components import components
+from prosegauge.llm.reducer import reduced
 from prosegauge.session import stored
 
 PIVOTS, BLOCK = 16, 128
@@ -26,10 +27,9 @@ COLUMNS = 1 << 14
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """Distinct rows (bucket, item) of buckets with two items or more, with the number ``n`` of items."""
-    distinct = rows.groupBy("bucket", "item").count().drop("count")
-    sizes = distinct.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return distinct.join(sizes, "bucket")
+    """Of distinct rows (bucket, item) those of buckets with two items or more, with the number ``n`` of items."""
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return reduced(rows, "bucket", sizes).join(sizes, "bucket")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -79,9 +79,8 @@ def _compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
 def linked_components(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Components of the items of ``shared_buckets`` under Jaccard similarity: node, component.
 
-    ``sets`` has the distinct ``elements`` of each ``item``; items and elements are longs.
+    ``sets`` has the distinct ``elements`` of each ``item``; items and elements are longs. ``shared`` is a stored table.
     """
-    shared = stored(shared, "shared")
     # items that share most come first: originals before their variants
     ranks = shared.groupBy("item").agg(F.sum("n").alias("rank"))
     ranked = stored(shared.join(ranks, "item"), "ranked")

@@ -2,20 +2,23 @@
 
 Paragraphs are the lines of a text. Those of ``MIN_WORDS`` words or more get MinHash signatures of
 their five-word shingles, in ``BANDS`` bands of ``ROWS``: two paragraphs of Jaccard similarity 0.8
-collide in some band with probability 0.99, two of 0.5 with 0.3. Colliding paragraphs are compared by exact Jaccard
+collide in some band with probability 0.99, two of 0.3 with 0.17. Colliding paragraphs are compared by exact Jaccard
 similarity, and each component of linked paragraphs is kept once, where it comes first by doc_id and place.
 
 A passage put into the middle of other paragraphs makes none of them alike. So sentences are
 compared too: below some fifty words one changed word takes Jaccard similarity under 0.8, so they
-are compared by equality. Sentences of ``SENTENCE`` words or more that have come before, in a run
-of ``MIN_WORDS`` words or more, are removed with what stands between them.
+are compared by equality, as pairs of neighbours and, from ``MIN_WORDS`` words, alone. A run of sentences is removed
+if each pair in it has come before at the same distance in one and the same document, and if it has
+``MIN_WORDS`` words or more. Every sentence counts, however short, so nothing else stands within a run.
 
 Equal paragraphs are one node, however many documents have them. Texts are read three times and
-shuffled only to fetch the paragraphs that collide with another, and to cut out what is removed.
+shuffled only to fetch the paragraphs that collide with another, and to cut out what is removed. Before each such
+shuffle a bit map of bounded size (``reducer``) drops most rows that have no partner.
 
 Defined results: a null or empty text has no paragraphs, and stays as it is; a row with a null id
 comes after all others; rows that repeat another's id or text are documents of their own and lose what
-the first has. An empty table gives no rows. Letter case and white space are not compared. Other
+the first has. An empty table gives no rows. Letter case and white space are not compared. Very long texts are
+worked on whole, one at a time; a task holds the units of ``BLOCK`` shingles or sentences and those of one text. Other
 columns are not read, and kept by ``remove_repeats``.
 """
 
@@ -33,17 +36,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from prosegauge.llm.buckets import linked_components, shared_buckets
+from prosegauge.llm.reducer import reduced
+from prosegauge.operators.join import MAX_HOT, join_skewed
 from prosegauge.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 12, 5
-MIN_WORDS, SENTENCE = 20, 5
+BANDS, ROWS = 7, 3
+MIN_WORDS, PAIR_WORDS = 20, 5
 SEED = 7
+#: Occurrences from which on a paragraph or pair of sentences is looked up by broadcast.
+HOT = 1_000
 SENTENCES = re.compile(r"\S(?:[^.!?]|[.!?](?!\s))*[.!?]*")
 #: Shingles that are hashed at a time.
 BLOCK = 1 << 18
 UNITS = (
-    "doc_id long, row long, kind string, place int, start int, length int, words int, digest long, bands array<long>"
+    "doc_id long, row long, kind string, place int, start int, length int, words int, digest long, bands array<long>,"
+    " next_start int, next_length int, next_words int"
 )
 _signed = np.int64
 
@@ -84,22 +92,31 @@ def word_digest(words: list[str]) -> int:
 
 
 def _text_units(text: str) -> Iterator[tuple]:
-    """Paragraphs and sentences of a text that are long enough: kind, place, start, length, words, word list."""
-    at, place = 0, 0
+    """Paragraphs that are long enough and all sentences of a text: kind, start, length, word list."""
+    at = 0
     for line in text.split("\n"):
         words = line.lower().split()
         if len(words) >= MIN_WORDS:
             yield "paragraph", at, len(line), words
         for found in SENTENCES.finditer(line):
-            said = found.group().lower().split()
-            if len(said) >= SENTENCE:
-                yield "sentence", at + found.start(), found.end() - found.start(), said
-                place += 1
+            yield "sentence", at + found.start(), found.end() - found.start(), found.group().lower().split()
         at += len(line) + 1
 
 
+def _sentence_units(sentences: list[tuple]) -> Iterator[list]:
+    """Long sentences and pairs of neighbours: kind, place, start, length, words, digest, bands, the second one's span and words."""
+    for place, (start, length, words) in enumerate(sentences):
+        if len(words) >= MIN_WORDS:
+            yield ["sentence", place, start, length, len(words), word_digest(words), None, None, None, None]
+        if place + 1 < len(sentences):
+            second, span, more = sentences[place + 1]
+            if len(words) + len(more) >= PAIR_WORDS:
+                both = word_digest([*words, "\n", *more])
+                yield ["pair", place, start, length, len(words), both, None, second, span, len(more)]
+
+
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in UNITS.split(", ")]
+    names = [x.split()[0] for x in UNITS.replace(", ", ",").split(",")]
     rows: list[list] = []
     hashes: list[int] = []
     sizes: list[int] = []
@@ -108,8 +125,9 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def settle() -> pd.DataFrame:
         if sizes:
             for i, keys in zip(paragraphs, band_keys(hashes, sizes), strict=True):
-                rows[i][-1] = keys
-        frame = pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                rows[i][8] = keys
+        whole = dict.fromkeys(["doc_id", "next_start", "next_length", "next_words"], "Int64")
+        frame = pd.DataFrame(rows, columns=names).astype(whole)
         for held in (rows, hashes, sizes, paragraphs):
             held.clear()
         return frame
@@ -117,15 +135,17 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids = batch["doc_id"].astype("Int64")
         for doc_id, row, text in zip(ids, batch["row"], batch["text"], strict=True):
-            place = 0
+            sentences = []
             for kind, start, length, words in _text_units(text if isinstance(text, str) else ""):
-                if kind == "paragraph":
-                    found = shingles(words)
-                    hashes += found
-                    sizes.append(len(found))
-                    paragraphs.append(len(rows))
-                place += kind == "sentence"
-                rows.append([doc_id, row, kind, place, start, length, len(words), word_digest(words), None])
+                if kind == "sentence":
+                    sentences.append((start, length, words))
+                    continue
+                found = shingles(words)
+                hashes += found
+                sizes.append(len(found))
+                paragraphs.append(len(rows))
+                rows.append([doc_id, row, kind, 0, start, length, len(words), word_digest(words), None, None, None, None])
+            rows += [[doc_id, row, *unit] for unit in _sentence_units(sentences)]
             if len(hashes) >= BLOCK or len(rows) >= BLOCK:
                 yield settle()
     if rows:
@@ -151,13 +171,16 @@ def _first() -> Column:
 def repeated_paragraphs(paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     """Paragraphs that repeat an earlier one: row, start, length, words, doc_id, kept_doc_id, class_id."""
     firsts = stored(
-        paragraphs.groupBy("digest").agg(F.min(_first()).alias("first"), F.count("*").alias("n")), "firsts"
+        paragraphs.groupBy("digest").agg(
+            F.min(_first()).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands")
+        ),
+        "firsts",
     )
-    banded = paragraphs.select(F.explode("bands").alias("bucket"), F.col("digest").alias("item"))
+    banded = firsts.select(F.explode("bands").alias("bucket"), F.col("digest").alias("item"))
     shared = stored(shared_buckets(banded), "shared")
-    colliding = firsts.join(shared.select(F.col("item").alias("digest")).distinct(), "digest")
-    where = colliding.select("digest", "first.row", "first.start", "first.length")
-    texts = where.join(docs.select("row", "text"), "row").select(
+    colliding = firsts.drop("bands").join(shared.select(F.col("item").alias("digest")).distinct(), "digest")
+    where = stored(colliding.select("digest", "first.row", "first.start", "first.length"), "colliding")
+    texts = where.join(reduced(docs.select("row", "text"), "row", where), "row").select(
         "digest", F.substring("text", F.col("start") + 1, F.col("length")).alias("paragraph")
     )
     sets = stored(texts.mapInPandas(_sets, "item long, elements array<long>"), "shingles")
@@ -166,35 +189,59 @@ def repeated_paragraphs(paragraphs: DataFrame, docs: DataFrame) -> DataFrame:
     classes = linked.select(F.col("node").alias("digest"), F.col("component").alias("class_id"))
     # only paragraphs that have a copy or a link can be repeats
     alike = (
-        firsts.join(classes, "digest", "left")
+        firsts.drop("bands")
+        .join(classes, "digest", "left")
         .where("n > 1 or class_id is not null")
         .withColumn("class_id", F.coalesce("class_id", "digest"))
     )
     kept = alike.groupBy("class_id").agg(F.min("first").alias("kept"))
-    decided = stored(alike.join(kept, "class_id").select("digest", "class_id", "kept"), "decided")
+    decided = stored(alike.join(kept, "class_id").select("digest", "class_id", "kept", "n"), "decided")
+    some = reduced(paragraphs.select("doc_id", "row", "start", "length", "words", "digest"), "digest", decided)
     return (
-        paragraphs.drop("bands")
-        .join(decided, "digest")
+        join_skewed(some, decided.drop("n"), "digest", "inner", _hottest(decided))
         .where("row <> kept.row or start <> kept.start")
         .select("doc_id", "row", "start", "length", "words", F.col("kept.doc_id").alias("kept_doc_id"), "class_id")
     )
 
 
+def _hottest(counted: DataFrame) -> list[int]:
+    """Hashes of the digests that occur most, of a table with their number ``n``."""
+    hottest = counted.where(F.col("n") > HOT).orderBy(F.desc("n"), "digest").limit(MAX_HOT)
+    return [row[0] for row in hottest.select(F.xxhash64("digest")).collect()]
+
+
 def repeated_sentences(sentences: DataFrame) -> DataFrame:
-    """Runs of sentences that have come before: row, start, length, words, doc_id, kept_doc_id, class_id."""
-    often = sentences.groupBy("digest").count().where("count > 1").select("digest")
-    some = stored(sentences.drop("bands", "kind").join(often, "digest"), "sentences")
-    firsts = some.groupBy("digest").agg(F.min(_first()).alias("kept"))
-    again = some.join(firsts, "digest").where("row <> kept.row or start <> kept.start")
-    numbered = again.selectExpr(
-        "*", "place - row_number() over (partition by row order by place) as run"
+    """Runs of sentences that come before in one document: row, start, length, words, doc_id, kept_doc_id, class_id."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
+    counts = sentences.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("kept"))
+    firsts = stored(counts.where("n > 1"), "first-sentences")
+    some = reduced(sentences.drop("bands"), "digest", firsts)
+    again = join_skewed(some, firsts.drop("n"), "digest", "inner", _hottest(firsts))
+    again = again.where("row <> kept.row or place <> kept.place").select(
+        "*", F.col("kept.row").alias("kept_row"), (F.col("place") - F.col("kept.place")).alias("distance")
+    )
+    # the sentences of each pair, once
+    one = F.struct("place", "start", "length", "words")
+    two = F.struct(
+        (F.col("place") + 1).alias("place"), F.col("next_start").alias("start"), F.col("next_length").alias("length"),
+        F.col("next_words").alias("words"),
+    )
+    both = F.when(F.col("kind") == "pair", F.array(one, two)).otherwise(F.array(one))
+    same = ["doc_id", "row", "kept_row", "distance"]
+    each = again.select(*same, F.col("kept.doc_id").alias("kept_doc_id"), "digest", F.explode(both).alias("it"))
+    each = each.groupBy(*same, "it.place").agg(
+        F.min("it.start").alias("start"), F.min("it.length").alias("length"), F.min("it.words").alias("words"),
+        F.min("kept_doc_id").alias("kept_doc_id"), F.min("digest").alias("digest"),
+    )
+    numbered = each.selectExpr(
+        "*", "place - row_number() over (partition by row, kept_row, distance order by place) as run"
     )
-    runs = numbered.groupBy("row", "run").agg(
+    runs = numbered.groupBy("row", "kept_row", "distance", "run").agg(
         F.first("doc_id").alias("doc_id"),
         F.min("start").alias("start"),
         F.max(F.col("start") + F.col("length")).alias("end"),
         F.sum("words").cast("int").alias("words"),
-        F.min_by("kept.doc_id", "start").alias("kept_doc_id"),
+        F.min("kept_doc_id").alias("kept_doc_id"),
         F.min_by("digest", "start").alias("class_id"),
     )
     return runs.where(F.col("words") >= MIN_WORDS).select(
@@ -206,7 +253,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """All spans to remove from documents (doc_id, row, text): the columns of both, and kind."""
     found = stored(units(docs), "units")
     lines = repeated_paragraphs(found.where("kind = 'paragraph'"), docs)
-    runs = repeated_sentences(found.where("kind = 'sentence'"))
+    runs = repeated_sentences(found.where("kind <> 'paragraph'"))
     return lines.withColumn("kind", F.lit("paragraph")).unionByName(runs.withColumn("kind", F.lit("sentences")))
 
 

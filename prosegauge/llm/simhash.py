@@ -121,14 +121,19 @@ def _cells(cell: Column) -> Column:
 
 
 def close_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b) of the distinct longs in column ``fingerprint`` that differ in 1 to ``bits`` (at most 2) bits."""
+    """Pairs (a, b) of the distinct longs in column ``fingerprint`` that differ in 1 to ``bits`` bits.
+
+    The grid gives all pairs up to ``MAX_BITS``; more is an error.
+    """
+    if bits > MAX_BITS:
+        raise ValueError(f"the grid finds fingerprints at most {MAX_BITS} bits apart")
     placed = (
         distinct.select("fingerprint", F.explode(_cells(segment_counts(F.col("fingerprint")))).alias("cell"))
         .where("cell is not null")
     )
     left = placed.select("cell", F.col("fingerprint").alias("a"))
     right = placed.select("cell", F.col("fingerprint").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= min(bits, 2)
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     return left.join(right, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 

@@ -2,7 +2,7 @@ from itertools import combinations
 
 import numpy as np
 
-from prosegauge.llm import buckets, paragraphs
+from prosegauge.llm import buckets, paragraphs, reducer
 
 DOCS = "doc_id long, text string, n_chars long, row string, kind string, `cut` int"
 RNG = np.random.default_rng(4)
@@ -58,6 +58,87 @@ def test_passages_stay_once_and_the_rest_is_left_alone(spark, tmp_path):
     assert paragraphs.repeats(paragraphs.numbered(empty)).count() == 0
 
 
+def test_what_stands_between_repeated_sentences_stays(spark, tmp_path):
+    """Two repeated sentences around many short ones of its own: neither is a passage of twenty words."""
+    first, second = line(14), line(14)
+    own = " ".join(f"own {i} text here." for i in range(200))
+    docs = table(spark, tmp_path, [(1, first + " " + line(9)), (2, second), (3, f"{first} {own} {second}")])
+    assert {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    # with sentences of twenty words each goes by itself
+    first, second = line(24), line(24)
+    texts = [(1, first + " " + line(9)), (2, "x. " + second), (3, f"{first} {own} {second}")]
+    docs = table(spark, tmp_path / "long", texts)
+    left = {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}
+    assert left[3].strip() == own and left[1] == texts[0][1] and left[2] == texts[1][1]
+
+
+def test_sentences_of_different_documents_are_no_passage(spark, tmp_path):
+    parts = [line(7) for _ in range(3)]
+    docs = table(spark, tmp_path, [*((i, f"{line(8)} {p} {line(8)}") for i, p in enumerate(parts)), (9, " ".join(parts))])
+    assert {r.doc_id: r.text for r in paragraphs.remove_repeats(docs).collect()}[9] == " ".join(parts)
+
+
+def sentence_runs(texts):
+    """Brute force: spans of maximal runs whose every pair of neighbours comes first at one distance in one document."""
+    sentences = []
+    for _, text in texts:
+        units = [u for u in paragraphs._text_units(text or "") if u[0] == "sentence"]
+        sentences.append([(start, length, words) for _, start, length, words in units])
+    first, found = {}, set()
+    keys = lambda s, i: [(1, tuple(s[i][2]))] * (len(s[i][2]) >= 20) + (
+        [(2, tuple(s[i][2]), tuple(s[i + 1][2]))] if i + 1 < len(s) and len(s[i][2]) + len(s[i + 1][2]) >= 5 else []
+    )
+    for d, s in enumerate(sentences):
+        for i in range(len(s)):
+            for key in keys(s, i):
+                first.setdefault(key, (d, i))
+    for d, s in enumerate(sentences):
+        hits = {}
+        for i in range(len(s)):
+            for key in keys(s, i):
+                where, at = first[key]
+                if (where, at) != (d, i):
+                    hits.setdefault((where, i - at), set()).update(range(i, i + key[0]))
+        for places in hits.values():
+            for start in (p for p in places if p - 1 not in places):
+                end = start
+                while end + 1 in places:
+                    end += 1
+                if sum(len(s[p][2]) for p in range(start, end + 1)) >= 20:
+                    found.add((texts[d][0], s[start][0], s[end][0] + s[end][1] - s[start][0]))
+    return found
+
+
+def test_runs_equal_those_of_brute_force(spark, tmp_path):
+    pool = [line(int(n)) for n in RNG.integers(1, 26, 30)]
+    texts = [(i, " ".join(pool[k] for k in RNG.integers(0, 30, RNG.integers(0, 25)))) for i in range(40)]
+    block = pool[3:9]
+    texts += [(40 + i, "\n".join([line(4), " ".join(block[i % 3 :]), line(6)])) for i in range(8)] + [(50, None), (51, "")]
+    texts += [(60, texts[0][1]), (61, "One. " * 3000 + " ".join(block))]
+    docs = table(spark, tmp_path, texts)
+    # only sentence runs: lines are cut so that none of twenty words is alike
+    found = paragraphs.repeated_sentences(paragraphs.units(paragraphs.numbered(docs)).where("kind <> 'paragraph'"))
+    rows = found.collect()
+    assert {(r.doc_id, r.start, r.length) for r in rows} == sentence_runs(texts) and len(rows) > 20
+
+
+def test_a_very_common_passage(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paragraphs, "HOT", 10)
+    passage = " ".join(line(12) for _ in range(3))
+    texts = [(i, f"{line(9)} {passage} {line(9)}") for i in range(60)]
+    left = paragraphs.remove_repeats(table(spark, tmp_path, texts)).collect()
+    inner = passage.split(". ")[1]
+    assert [inner in r.text for r in sorted(left)] == [True] + [False] * 59
+
+
+def test_reducer_keeps_every_partner(spark):
+    rows = spark.range(-50, 5000).selectExpr("case when id % 10 = 9 then null else id end as k", "id")
+    keys = spark.range(-50, 5000, 7).withColumnRenamed("id", "k")
+    left = reducer.reduced(rows, "k", keys)
+    assert left.join(keys, "k").count() == rows.join(keys, "k").count() and left.count() < 800
+    assert reducer.reduced(rows, "k", keys.limit(0)).count() == 0
+
+
 def test_links_equal_those_of_all_pairs(spark, tmp_path):
     base = [RNG.choice(WORDS, 70).tolist() for _ in range(12)]
     lines = []

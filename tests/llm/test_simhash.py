@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
@@ -87,3 +88,8 @@ def test_components_of_a_path_a_star_and_loops(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.col("node") > 0).count() == 0
+
+
+def test_a_distance_beyond_the_grid_is_an_error(spark):
+    with pytest.raises(ValueError, match="at most 2 bits"):
+        simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), bits=3).collect()
