@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.llm import langid, nearcopies, packing, paragraphs, toxicity
+from prosegauge.llm import langid, packing, paragraphs, simhash, toxicity
 from prosegauge.llm.queries import table, tokenizer_path
 from prosegauge.session import stored
 
@@ -29,8 +29,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word Jaccard similarity 0.8), the one with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """One document of each group whose SimHash fingerprints (three-word shingles) link at two bits or fewer, that of the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
