@@ -213,9 +213,10 @@ def _hottest(counted: DataFrame) -> list[int]:
 def repeated_sentences(sentences: DataFrame) -> DataFrame:
     """Runs of sentences that come before in one document: row, start, length, words, doc_id, kept_doc_id, class_id."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
-    counts = sentences.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("kept"))
+    often = stored(sentences.groupBy("digest").count().where("count > 1").select("digest"), "often")
+    some = stored(reduced(sentences.drop("bands"), "digest", often), "sentences")
+    counts = some.groupBy("digest").agg(F.count("*").alias("n"), F.min(order).alias("kept"))
     firsts = stored(counts.where("n > 1"), "first-sentences")
-    some = reduced(sentences.drop("bands"), "digest", firsts)
     again = join_skewed(some, firsts.drop("n"), "digest", "inner", _hottest(firsts))
     again = again.where("row <> kept.row or place <> kept.place").select(
         "*", F.col("kept.row").alias("kept_row"), (F.col("place") - F.col("kept.place")).alias("distance")

@@ -15,28 +15,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-BITS = 1 << 26
+BITS, CHUNK_BITS = 1 << 26, 16
+CHUNK_BYTES = (1 << CHUNK_BITS) // 8
 
 
 def _bit(key: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(BITS))
 
 
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bit map's chunks that a task has all keys of."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        bits = np.unique(batch["bit"].to_numpy(np.int64))
+        chunk, rest = bits >> CHUNK_BITS, bits & ((1 << CHUNK_BITS) - 1)
+        for number in np.unique(chunk):
+            some = rest[chunk == number]
+            np.bitwise_or.at(held.setdefault(int(number), np.zeros(CHUNK_BYTES, np.uint8)), some >> 3, np.uint8(1) << (some & 7).astype(np.uint8))
+    yield pd.DataFrame({"chunk": list(held), "bits": [x.tobytes() for x in held.values()]}).astype({"chunk": "int64"})
+
+
 def reduced(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``key``, a long, is not in ``keys``; rows with a null key go too."""
-    place = F.shiftright("bit", 6).alias("place")
-    words = keys.select(_bit(key).alias("bit")).groupBy(place).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word")
-    )
-    found = words.toPandas()
-    held = np.zeros(BITS // 64, np.uint64)
-    held[found["place"].to_numpy(np.int64)] = found["word"].to_numpy(np.int64).view(np.uint64)
+    """``rows`` without most of those whose ``key``, a long, is not in ``keys``; rows with a null key go too.
+
+    ``keys`` is a stored table. The driver gets the map in chunks, ``BITS`` bits at most.
+    """
+    bits = keys.select(_bit(key).alias("bit")).repartition(F.shiftright("bit", CHUNK_BITS))
+    held = np.zeros(BITS // 8, np.uint8)
+    for number, chunk in bits.mapInPandas(_chunks, "chunk long, bits binary").collect():
+        held[number * CHUNK_BYTES : (number + 1) * CHUNK_BYTES] |= np.frombuffer(chunk, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf(BooleanType())
     def known(bits: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in bits:
             at = batch.to_numpy(np.int64)
-            yield pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            yield pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1)
 
     return rows.where(F.col(key).isNotNull()).where(known(_bit(key)))
