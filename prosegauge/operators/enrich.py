@@ -216,7 +216,7 @@ def in_order(call: Callable, parts: Iterable, in_flight: int, pool: ThreadPoolEx
 
 
 def _answer(reply) -> Answer:
-    return reply if isinstance(reply, Answer) else Answer(OK, reply)
+    return reply if hasattr(reply, "status") else Answer(OK, reply)
 
 
 def enrich_text(
