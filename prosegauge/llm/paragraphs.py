@@ -18,7 +18,7 @@ shuffle a bit map of bounded size (``reducer``) drops most rows that have no par
 Defined results: a null or empty text has no paragraphs, and stays as it is; a row with a null id
 comes after all others; rows that repeat another's id or text are documents of their own and lose what
 the first has. An empty table gives no rows. Letter case and white space are not compared. Very long texts are
-worked on whole, one at a time; a task holds the units of ``BLOCK`` shingles or sentences and those of one text. Other
+worked on whole, one at a time; a task holds ``BLOCK`` shingles or ``HELD`` units, and those of one text. Other
 columns are not read, and kept by ``remove_repeats``.
 """
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from prosegauge.llm.buckets import linked_components, shared_buckets
-from prosegauge.llm.reducer import reduced
+from prosegauge.llm.reducer import divided, reduced
 from prosegauge.operators.join import MAX_HOT, join_skewed
 from prosegauge.session import stored
 
@@ -47,8 +47,8 @@ SEED = 7
 #: Occurrences from which on a paragraph or pair of sentences is looked up by broadcast.
 HOT = 1_000
 SENTENCES = re.compile(r"\S(?:[^.!?]|[.!?](?!\s))*[.!?]*")
-#: Shingles that are hashed at a time.
-BLOCK = 1 << 18
+#: Shingles that are hashed, and units that are held, at a time.
+BLOCK, HELD = 1 << 17, 1 << 15
 UNITS = (
     "doc_id long, row long, kind string, place int, start int, length int, words int, digest long, bands array<long>,"
     " next_start int, next_length int, next_words int"
@@ -146,7 +146,7 @@ def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 paragraphs.append(len(rows))
                 rows.append([doc_id, row, kind, 0, start, length, len(words), word_digest(words), None, None, None, None])
             rows += [[doc_id, row, *unit] for unit in _sentence_units(sentences)]
-            if len(hashes) >= BLOCK or len(rows) >= BLOCK:
+            if len(hashes) >= BLOCK or len(rows) >= HELD:
                 yield settle()
     if rows:
         yield settle()
@@ -282,11 +282,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ``n_chars``, where it is there, is that of the text left; a text of which nothing but white
     space is left is empty.
     """
-    spans = stored(repeats(numbered(docs)), "spans").groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("cut"))
+    found = stored(repeats(numbered(docs)), "spans")
+    spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "length")).alias("cut"))
     place, cut, text = "place in the table", "spans to cut", "text left"
     marked = docs.withColumn(place, F.monotonically_increasing_id())
-    joined = marked.join(spans.withColumnsRenamed({"row": place, "cut": cut}), place, "left")
-    whole = joined.where(f"`{cut}` is null").select(*(f"`{c}`" for c in docs.columns))
+    # texts that lose nothing are not shuffled, but for those that the bit map does not tell apart
+    some, rest = divided(marked, place, found.select(F.col("row").alias(place)))
+    joined = some.join(spans.withColumnsRenamed({"row": place, "cut": cut}), place, "left")
+    columns = [f"`{c}`" for c in docs.columns]
+    whole = joined.where(f"`{cut}` is null").select(*columns).unionByName(rest.select(*columns))
     less = joined.where(f"`{cut}` is not null").withColumn(text, _without(F.col("text"), F.col(f"`{cut}`")))
     left = F.when(F.trim(F.replace(F.col(f"`{text}`"), F.lit("\n"), F.lit(" "))) == "", "").otherwise(F.col(f"`{text}`"))
     changed = {"text": left, "n_chars": F.length(left).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}

@@ -36,11 +36,17 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def reduced(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``key``, a long, is not in ``keys``; rows with a null key go too.
+    """``rows`` without most of those whose ``key``, a long, is not in ``keys``; rows with a null key go too."""
+    return divided(rows, key, keys)[0]
+
+
+def divided(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that may have their ``key``, a long, among ``keys``, and those that have not.
 
     ``keys`` is a stored table. The driver gets the map in chunks, ``BITS`` bits at most.
     """
-    bits = keys.select(_bit(key).alias("bit")).repartition(F.shiftright("bit", CHUNK_BITS))
+    key = f"`{key}`"
+    bits = keys.where(f"{key} is not null").select(_bit(key).alias("bit")).repartition(F.shiftright("bit", CHUNK_BITS))
     held = np.zeros(BITS // 8, np.uint8)
     for number, chunk in bits.mapInPandas(_chunks, "chunk long, bits binary").collect():
         held[number * CHUNK_BYTES : (number + 1) * CHUNK_BYTES] |= np.frombuffer(chunk, np.uint8)
@@ -52,4 +58,5 @@ def reduced(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
             at = batch.to_numpy(np.int64)
             yield pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1)
 
-    return rows.where(F.col(key).isNotNull()).where(known(_bit(key)))
+    there = rows.where(f"{key} is not null")
+    return there.where(known(_bit(key))), rows.where(f"{key} is null").unionByName(there.where(~known(_bit(key))))

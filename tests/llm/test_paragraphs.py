@@ -137,6 +137,8 @@ def test_reducer_keeps_every_partner(spark):
     left = reducer.reduced(rows, "k", keys)
     assert left.join(keys, "k").count() == rows.join(keys, "k").count() and left.count() < 800
     assert reducer.reduced(rows, "k", keys.limit(0)).count() == 0
+    some, rest = reducer.divided(rows, "k", keys)
+    assert sorted(r.id for r in some.unionByName(rest).collect()) == list(range(-50, 5000))
 
 
 def test_links_equal_those_of_all_pairs(spark, tmp_path):
