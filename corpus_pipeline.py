@@ -18,28 +18,45 @@ from prosegauge.session import stored
 LEAST_LANGUAGE_SCORE = 0.3
 
 
+#: Texts that a Python worker gets at a time; Spark's default of 10,000 long ones takes hundreds of megabytes.
+BATCH_ROWS = 1_000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of ``BATCH_ROWS`` at most."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(setting))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of toxicity."""
+    bounded(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the documents teach."""
+    bounded(spark)
     return langid.keep_known(docs, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose SimHash fingerprints (three-word shingles) link at two bits or fewer, that of the smallest id."""
+    bounded(spark)
     return simhash.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document, or the same before, has."""
+    bounded(spark)
     return paragraphs.remove_repeats(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the documents in sequences."""
+    bounded(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
