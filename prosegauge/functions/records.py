@@ -20,12 +20,22 @@ def scored_text(attributes: Sequence[str] = ATTRS) -> T.StructType:
     return T.StructType(fields)
 
 
+#: A quoted string with its escapes, what stands between strings, or a quote that nothing closes. The loops are
+#: possessive, so a long string takes no stack.
+_TOKENS = r"""(?s)'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+"|[^'"]++|['"]"""
+
+
 def _as_json(literal: Column) -> Column:
-    # bare Python words after : , [ and before , } ] ; \xHH escapes
-    text = literal
-    for word, value in (("None", "null"), ("True", "true"), ("False", "false"), ("nan", "NaN")):
-        text = F.regexp_replace(text, rf"([:,\[]\s?){word}(?=\s?[,}}\]])", f"$1{value}")
-    return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+    """A Python literal as JSON: bare words and escapes are rewritten, each where it may stand."""
+
+    def rewritten(token: Column) -> Column:
+        bare = token
+        for word, value in (("None", "null"), ("True", "true"), ("False", "false"), ("nan", "NaN")):
+            bare = F.regexp_replace(bare, rf"\b{word}\b", value)
+        quoted = F.regexp_replace(token, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+        return F.when(F.substring(token, 1, 1).isin("'", '"'), quoted).otherwise(bare)
+
+    return F.array_join(F.transform(F.regexp_extract_all(literal, F.lit(_TOKENS), F.lit(0)), rewritten), "")
 
 
 def lenient_struct(value: Column, schema: T.StructType) -> Column:

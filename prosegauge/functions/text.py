@@ -12,13 +12,13 @@ CURLY = "“”‘’—"
 STRAIGHT = "\"\"''-"
 ELLIPSIS = "..."
 BOILERPLATE = (
-    r"(?iU)^ *of course\b[.,:!]* *"
-    r"here(?: +is|['’]s) +"
-    r"(?:(?:the|a) +)?"
+    rf"(?iU)^{SPACE}*of course\b[.,:!]*{SPACE}*"
+    rf"here(?:{SPACE}+is|['’]s){SPACE}+"
+    rf"(?:(?:the|a){SPACE}+)?"
     r"continuation\b"
-    r"(?: +of\b(?: +(?:that|the) +text\b)?)?"
-    r"(?: *,? *written +in +the +style +of +[^.:]+)?"
-    r" *[:.]? *"
+    rf"(?:{SPACE}+of\b(?:{SPACE}+(?:that|the){SPACE}+text\b)?)?"
+    rf"(?:{SPACE}*,?{SPACE}*written{SPACE}+in{SPACE}+the{SPACE}+style{SPACE}+of{SPACE}+[^.:]+)?"
+    rf"{SPACE}*[:.]?{SPACE}*"
 )
 
 
@@ -31,12 +31,6 @@ _NOT_BLANK = r"[\t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0" + _WIDE + "]"
 _RUNS = f"{_NOT_BLANK}{_SPACE}*| {_SPACE}+"
 
 
-def _boilerplate_pattern() -> str:
-    # every repeated blank stands for any white space; the single one in the
-    # opening words is a plain space
-    return BOILERPLATE.replace(" *", SPACE + "*").replace(" +", SPACE + "+")
-
-
 def collapse(text: Column) -> Column:
     """Every run of white space becomes one space; none is left at the ends."""
     return F.trim(F.regexp_replace(text, _RUNS, " "))
@@ -104,7 +98,7 @@ def remove_overlap(prompt: Column, text: Column) -> Column:
 
 
 def remove_boilerplate(text: Column) -> Column:
-    return strip(F.regexp_replace(text, _boilerplate_pattern(), ""))
+    return strip(F.regexp_replace(text, BOILERPLATE, ""))
 
 
 def truncate_new_tokens(prompt: Column, text: Column, limit: int = 20) -> Column:

@@ -16,7 +16,7 @@ from prosegauge.queries.common import SCORED_EVENTS_SQL
 from prosegauge.queries.texts import boilerplate_sql, overlap_steps_sql, truncate_sql
 from prosegauge.session import fresh_path
 from prosegauge.sources import readers, writers
-from prosegauge.streaming import incremental
+from prosegauge.streaming import incremental, windows
 
 SCORES_SQL = ", ".join(f"{md5_share_sql(f"'{a}|' || text")} as {a}" for a in ATTRS)
 
@@ -335,3 +335,27 @@ def dedupe_watermark(spark, sf_dir):
     writer = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(out).drop("collected_at")
+
+
+@query("""with hours as (select date_trunc('hour', ts::timestamp) as hour, count(distinct event_id) as n_rows from events group by 1)
+select strftime(hour, '%Y-%m-%d %H:%M:%S') as window_start, n_rows, 'counted' as kind from hours
+union all select strftime(min(hour), '%Y-%m-%d %H:%M:%S'), 1, 'late' from hours""")
+def window_counts(spark, sf_dir):
+    """Events arrive in four parts, in the order of their time; then one of them again, one from the first hour, and one a day later."""
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "event_type", "cast(ts as timestamp) as ts")
+    source, out, marks = (fresh_path(spark, name) for name in ("arrivals", "windows", "progress"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    part = F.least(F.lit(3), F.floor((F.unix_timestamp("ts") - int(first.timestamp())) * 4 / max(1, int((last - first).total_seconds()))))
+    for number in range(4):
+        events.where(part == number).coalesce(1).write.mode("append").parquet(source)
+    again = events.where(F.col("ts") == last).limit(1)
+    late = events.where(F.col("ts") == first).limit(1).withColumn("event_id", F.lit(-1).cast("long"))
+    again.unionByName(late).coalesce(1).write.mode("append").parquet(source)
+    end = again.withColumn("event_id", F.lit(-2).cast("long")).withColumn("ts", F.expr("ts + interval 1 day"))
+    end.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for started in windows.start_counts(stream, out, marks, "event_id", "ts"):
+        started.awaitTermination()
+    counted = windows.read_counts(spark, out).select("window_start", "n_rows", F.lit("counted").alias("kind"))
+    missed = windows.read_late(spark, out, events.schema).select(F.date_trunc("hour", "ts"), F.lit(1).cast("long"), F.lit("late"))
+    return counted.union(missed).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -4,7 +4,6 @@ both sides of these queries put them in."""
 from pyspark.sql import functions as F
 
 from prosegauge.functions import text as t
-from prosegauge.functions.text import BOILERPLATE, SPACE
 from prosegauge.queries.common import (
     PAIRS_SQL,
     clean_sql,
@@ -78,9 +77,17 @@ removed as (select {kept}, prompt, array_to_string(case when stop = 0 or stop >=
   else tokens[len(tokens) - stop + 1 : len(tokens)] end, ' ') as text from ends)"""
 
 
+#: The opening phrase and white space once more, spelled out for the other engine.
+BLANK = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+OPENING = (
+    f"(?i)^{BLANK}*of course\\b[.,:!]*{BLANK}*here(?:{BLANK}+is|['’]s){BLANK}+(?:(?:the|a){BLANK}+)?continuation\\b"
+    f"(?:{BLANK}+of\\b(?:{BLANK}+(?:that|the){BLANK}+text\\b)?)?"
+    f"(?:{BLANK}*,?{BLANK}*written{BLANK}+in{BLANK}+the{BLANK}+style{BLANK}+of{BLANK}+[^.:]+)?{BLANK}*[:.]?{BLANK}*"
+)
+
+
 def boilerplate_sql(text: str) -> str:
-    pattern = BOILERPLATE.replace("(?iU)", "(?i)").replace(" *", SPACE + "*").replace(" +", SPACE + "+")
-    return strip_sql(f"regexp_replace({text}, {quoted(pattern)}, '')")
+    return strip_sql(f"regexp_replace({text}, {quoted(OPENING)}, '')")
 
 
 def truncate_sql(prompt: str, text: str, limit: int) -> str:

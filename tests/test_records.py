@@ -15,6 +15,10 @@ CASES = {
     "{'text': \"it's\", 'insult': 1}": ("it's", None, 1.0),
     r"{'text': 'it\'s \xe9', 'toxicity': None}": ("it's é", None, None),
     "{'text': 'a, None, b', 'toxicity': 0.1}": ("a, None, b", 0.1, None),
+    "{'text': 'a, None, b', 'toxicity': None}": ("a, None, b", None, None),
+    "{'text': \"it's, None, nan, b\", 'toxicity':None , 'insult':  None}": ("it's, None, nan, b", None, None),
+    r"{'text': 'x \', None, \\', 'toxicity': None}": ("x ', None, \\", None, None),
+    "{'text': '" + r"\'n, None," * 20_000 + "', 'toxicity': None}": ("'n, None," * 20_000, None, None),
     "{'text': 'a', 'other': [True, False, None], 'insult': 0.2}": ("a", None, 0.2),
     "junk": (None, None, None),
     "[1, 2]": (None, None, None),
