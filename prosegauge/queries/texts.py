@@ -79,7 +79,7 @@ removed as (select {kept}, prompt, array_to_string(case when stop = 0 or stop >=
 
 #: The opening phrase and white space once more, spelled out for the other engine.
 BLANK = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-OPENING = (
+PHRASE = (
     f"(?i)^{BLANK}*of course\\b[.,:!]*{BLANK}*here(?:{BLANK}+is|['’]s){BLANK}+(?:(?:the|a){BLANK}+)?continuation\\b"
     f"(?:{BLANK}+of\\b(?:{BLANK}+(?:that|the){BLANK}+text\\b)?)?"
     f"(?:{BLANK}*,?{BLANK}*written{BLANK}+in{BLANK}+the{BLANK}+style{BLANK}+of{BLANK}+[^.:]+)?{BLANK}*[:.]?{BLANK}*"
@@ -87,7 +87,7 @@ OPENING = (
 
 
 def boilerplate_sql(text: str) -> str:
-    return strip_sql(f"regexp_replace({text}, {quoted(OPENING)}, '')")
+    return strip_sql(f"regexp_replace({text}, {quoted(PHRASE)}, '')")
 
 
 def truncate_sql(prompt: str, text: str, limit: int) -> str:
