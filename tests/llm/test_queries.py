@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for each in ("conversations", "pages"):
+    for each in ("benchmark", "conversations", "documents", "pages"):
         connection.sql(f"create view {each} as select * from '{SF_DIR}/{each}.parquet'")
     found = QUERIES[name](spark, SF_DIR)
     columns = sorted(found.columns)
