@@ -33,11 +33,12 @@ Quota = int | Mapping[tuple, int]
 
 
 class Span(NamedTuple):
-    """Rows of a group, and bounds of their ranks."""
+    """Rows of a group, bounds of their ranks, and rows without a rank."""
 
     n: int
     low: int
     high: int
+    nulls: int = 0
 
 
 class SourceOrder:
@@ -77,9 +78,11 @@ def group_spans(
     """The spans of the groups in one pass, and whether these are all: no more than ``most`` are collected."""
     most = MAX_GROUPS if most is None else most
     groups, names = _group_columns(keys)
-    spans = df.groupBy(*[g.alias(n) for g, n in zip(groups, names)]).agg(F.count("*").alias("n"), *order.span)
+    spans = df.groupBy(*[g.alias(n) for g, n in zip(groups, names)]).agg(
+        F.count("*").alias("n"), *order.span, F.count_if(order.rank.isNull()).alias("nulls")
+    )
     rows = spans.orderBy(F.desc("n")).limit(most + 1).collect()
-    largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high) for row in rows[:most]}
+    largest = {tuple(row[n] for n in names): Span(row.n, row.low, row.high, row.nulls) for row in rows[:most]}
     return largest, len(rows) <= most
 
 
@@ -101,8 +104,8 @@ def take_first(
     ``quota`` is one number or one per group; groups it does not name give no row.
     ``spans`` saves the first pass where sizes and bounds are known. ``df`` must give the
     same rows each time it is read. With more than ``MAX_GROUPS`` groups the searches are a
-    table of their own instead of filters; the rows taken are the same. Where a group is
-    cut, an order value that is null or repeated at the cut is an error.
+    table of their own instead of filters; the rows taken are the same. A null
+    order value anywhere in a group that is cut is an error, and so is one repeated at the cut.
     """
     if spans is None:
         spans, complete = group_spans(df, keys, order)
@@ -116,6 +119,8 @@ def take_first(
         if wanted >= span.n:
             whole.append(group)
         elif wanted > 0:
+            if span.nulls:
+                raise ValueError("the order holds nulls")
             searches[group] = _Search(span.low, span.high, span.n, wanted, True)
 
     while wide := {g: s for g, s in searches.items() if s.rows > settle_rows}:
@@ -367,7 +372,10 @@ def equalize_ranges(
     common = min(sizes.values())
     if common == max(sizes.values()):
         return headed
-    known = {group: Span(n, 0, (1 << 60) - 1) for group, n in sizes.items()}
+    if common == 0:
+        return headed.where(F.lit(False))
+    nulls = {group: spans[group].nulls for group in sizes}  # none is empty here
+    known = {group: Span(n, 0, (1 << 60) - 1, nulls[group]) for group, n in sizes.items()}
     return take_first(headed, [label], drawn, common, known, **tuning)
 
 

@@ -163,3 +163,13 @@ def test_more_groups_than_are_collected(spark, monkeypatch):
     repeated = classes.selectExpr("row_id div 24 as row_id", "class")
     with pytest.raises(ValueError):
         take.head_per_group(repeated, ["class"], "row_id", 1)
+
+
+@pytest.mark.parametrize("most", [1_000, 0])
+def test_nulls_in_a_cut_group_are_an_error_on_both_paths(spark, monkeypatch, most):
+    monkeypatch.setattr(take, "MAX_GROUPS", most)
+    rows = [(g, None if i > 2 else i) for g in range(3) for i in range(5)]
+    frame = spark.createDataFrame(rows, "name int, row_id long")
+    with pytest.raises(ValueError, match="nulls"):
+        take.head_per_group(frame, ["name"], "row_id", 3)
+    assert take.head_per_group(frame, ["name"], "row_id", 5).count() == 15
