@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -13,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 50_000
+from prosegauge.session import stored
+
+BLOCK_ROWS, BLOCK_CHARS = 50_000, 1 << 25
 MAX_BLOCKS = 65_536
+#: Offsets, one for each corpus and block, that are broadcast; more are joined by shuffle.
+BROADCAST_OFFSETS = 100_000
 
 
 def pieces(text: Column, size: int) -> Column:
@@ -34,37 +36,42 @@ def chunk_corpus(
     size: int = 512,
     by: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Chunks of the corpus as one string, one text per line in ``order``: (by, chunk_id, chunk).
 
-    ``by`` tells several corpora apart, such as classes. Rows are cut into blocks of
-    consecutive order values and shuffled once, by block. A block's offset is the sum of
-    the blocks before it, so the running offset needs a window per block only, and all
-    chunks inside a block are put together where they are. The chunk across a block's
-    edge, two per block, is the only thing shuffled again. ``order`` must be unique within a
-    corpus; a value that repeats is an error.
+    ``by`` tells any number of corpora apart, such as classes. Rows are cut into blocks of
+    consecutive order values, of about ``block_rows`` rows or ``block_chars`` characters, and
+    shuffled once, by block. A block's offset is the sum of the blocks before it, so the running
+    offset needs a window per block only, and all chunks inside a block are put together where
+    they are. Offsets meet the rows where these are: by broadcast if there are few, else shuffled
+    as the rows were. The chunk across a block's edge, two per block, is the only text shuffled
+    again. ``order`` must be unique within a corpus; a value that repeats is an error.
     """
+    # a struct, so that nulls in ``by`` are equal and both sides of the join are placed alike
+    corpus = [F.struct(*by).alias("_corpus")] if by else []
+    keys = ["_corpus", "_block"] if by else ["_block"]
     place, line = F.col(order).alias("_order"), F.concat(F.col(text), F.lit("\n")).alias("_line")
-    rows = df.where(F.col(text).isNotNull()).select(*by, place, line, F.length(line).cast("bigint").alias("_length"))
-    rows = _with_blocks(rows, _block_bounds(df.select(order), block_rows))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.length(line).cast("bigint").alias("_length")
+    full = df.where(F.col(text).isNotNull())
+    sizes = stored(full.select(*corpus, place, length), "lengths")
+    bounds, n_offsets = _block_bounds(sizes, block_rows, block_chars)
+    rows = _with_blocks(full.select(*corpus, place, line, length), bounds)
+    before = Window.partitionBy(*keys[:-1]).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*by, "_block")
+        rows.groupBy(*keys)
         .agg(F.sum("_length").alias("_total"))
         .withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0)))
     )
-    earlier = Window.partitionBy(*by, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets: one row of three numbers per corpus and block, MAX_BLOCKS blocks at most
-    in_order = Window.partitionBy(*by, "_block").orderBy("_order")
+    in_order = Window.partitionBy(*keys).orderBy("_order")
     repeated = F.lag("_order").over(in_order) == F.col("_order")
     unclear = F.raise_error(F.lit("the order does not tell all rows apart")).cast("bigint")
-    so_far = F.coalesce(F.sum("_length").over(earlier), F.lit(0))
-    placed = rows.withColumn("_before", F.when(repeated, unclear).otherwise(so_far)).alias("rows")
-    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"offsets.{c}")) for c in [*by, "_block"]]
-    placed = placed.join(F.broadcast(offsets.alias("offsets")), reduce(and_, same))
+    so_far = F.coalesce(F.sum("_length").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_before", F.when(repeated, unclear).otherwise(so_far))
+    placed = placed.join(F.broadcast(offsets) if n_offsets <= BROADCAST_OFFSETS else offsets.hint("merge"), keys)
     start = F.col("_base") + F.col("_before")
     placed = placed.select(
-        *[F.col(f"rows.{c}") for c in [*by, "_block"]],
+        *keys,
         "_line",
         start.alias("_start"),
         (start + F.col("_length")).alias("_end"),
@@ -74,27 +81,34 @@ def chunk_corpus(
     )
     whole = F.expr("chunk_id >= _first and chunk_id < _last")
     touches_edge = (F.col("_start") < F.col("_first") * size) | (F.col("_end") > F.col("_last") * size)
-    inner = _joined(_exploded(placed, by, size).where(whole), [*by, "_block", "chunk_id"])
-    edges = _joined(_exploded(placed.where(touches_edge), by, size).where(~whole), [*by, "chunk_id"])
-    return inner.drop("_block").unionByName(edges)
+    inner = _joined(_exploded(placed, keys, size).where(whole), [*keys, "chunk_id"])
+    edges = _joined(_exploded(placed.where(touches_edge), keys, size).where(~whole), [*keys[:-1], "chunk_id"])
+    chunks = inner.drop("_block").unionByName(edges)
+    return chunks.select(*[F.col("_corpus")[name].alias(name) for name in by], "chunk_id", "chunk")
 
 
-def _block_bounds(orders: DataFrame, block_rows: int) -> list[float]:
-    """Order values that cut the rows into blocks of about ``block_rows``.
+def _block_bounds(sizes: DataFrame, block_rows: int, block_chars: int) -> tuple[list[float], int]:
+    """Order values that cut the rows (_order, _length, perhaps _corpus) into blocks, and how many
+    pairs of corpus and block there are at most, within some per cent.
 
-    They come from a sample of the order column, as for a range partitioning, and settle
-    the sizes of the blocks and nothing else.
+    They come from a sample of the rows, as for a range partitioning, and settle the sizes of the
+    blocks and nothing else.
     """
-    total = orders.count()
-    blocks = min(MAX_BLOCKS, math.ceil(total / block_rows))
+    corpora = F.approx_count_distinct("_corpus") if "_corpus" in sizes.columns else F.lit(1)
+    total, chars, n_corpora = sizes.agg(F.count("*"), F.coalesce(F.sum("_length"), F.lit(0)), corpora).first()
+    blocks = min(MAX_BLOCKS, math.ceil(max(total / block_rows, chars / block_chars)))
+    most = min(total, n_corpora * max(1, blocks))
     if blocks <= 1:
-        return []
-    share = min(1.0, 32 * blocks / total)
-    sample = orders.select(F.col(orders.columns[0]).cast("double")).dropna().sample(share, seed=1)
-    values = sample.toArrow().column(0).to_numpy()
+        return [], most
+    sample = sizes.select(F.col("_order").cast("double").alias("_at"), "_length").dropna()
+    drawn = sample.sample(min(1.0, 32 * blocks / total), seed=1).toArrow()
+    values, lengths = (drawn.column(i).to_numpy() for i in range(2))
     if not len(values):
-        return []
-    return np.unique(np.quantile(values, np.arange(1, blocks) / blocks, method="nearest")).tolist()
+        return [], most
+    ranked = np.argsort(values, kind="stable")
+    load = np.cumsum(lengths[ranked] / block_chars + 1 / block_rows)
+    cuts = np.searchsorted(load, load[-1] * np.arange(1, blocks) / blocks)
+    return np.unique(values[ranked][np.minimum(cuts, len(values) - 1)]).tolist(), most
 
 
 def _with_blocks(rows: DataFrame, bounds: list[float]) -> DataFrame:
@@ -105,18 +119,17 @@ def _with_blocks(rows: DataFrame, bounds: list[float]) -> DataFrame:
     return placed.withColumn("_block", F.col("_block").cast("int")).drop("_at")
 
 
-def _exploded(placed: DataFrame, by: Sequence[str], size: int) -> DataFrame:
+def _exploded(placed: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
     inside = F.col("_start") % size
     room = (size - inside).cast("int")
     parts = F.concat(
         F.array(F.substring("_line", 1, room)), pieces(F.substring(F.col("_line"), room + 1, F.length("_line")), size)
     )
     exploded = placed.select(
-        *by, "_block", "_first", "_last", "_start", inside.alias("_inside"), F.posexplode(parts).alias("_no", "_piece")
+        *keys, "_first", "_last", "_start", inside.alias("_inside"), F.posexplode(parts).alias("_no", "_piece")
     )
     return exploded.select(
-        *by,
-        "_block",
+        *keys,
         "_first",
         "_last",
         F.expr(f"_start div {size} + _no").alias("chunk_id"),

@@ -64,3 +64,31 @@ def test_repeated_order_values_are_an_error(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "row_id long, text string")
     with pytest.raises(Exception, match="does not tell all rows apart"):
         chunk.chunk_corpus(rows).collect()
+
+
+def test_many_corpora_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(None if i % 50 == 0 else i % 200, i, "ab" * (i % 23)) for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "name int, row_id long, text string")
+    few = chunk.chunk_corpus(frame, size=SIZE, by=["name"], block_rows=40)
+    monkeypatch.setattr(chunk, "BROADCAST_OFFSETS", 100)
+    many = chunk.chunk_corpus(frame, size=SIZE, by=["name"], block_rows=40)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(chunk.chunk_corpus(frame, size=SIZE, by=["name"], block_rows=40))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    # rows by block, block totals, those by corpus and back by block, chunks across edges: no other holds rows
+    assert len(set(line.split("plan_id")[0].lstrip(" :+-") for line in exchanges)) <= 5
+    assert sum("chunk_id" in line for line in exchanges) == 1
+
+
+def test_blocks_by_characters(spark):
+    rows = [(i, "x" * (10_000 if i < 20 else 1)) for i in range(400)]
+    sizes = spark.createDataFrame([(i, len(t) + 1) for i, t in rows], "_order long, _length long")
+    bounds, most = chunk._block_bounds(sizes, 1_000, 50_000)
+    assert most == 5 and len(bounds) == 4 and max(bounds) < 20
+    got = chunk.chunk_corpus(spark.createDataFrame(rows, "row_id long, text string"), size=SIZE, block_chars=50_000)
+    assert [r.chunk for r in got.orderBy("chunk_id").collect()] == sliced([t for _, t in rows])
