@@ -56,24 +56,37 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: Column, vocab: DataFram
 
     Rows are shuffled once by their key, and the lookup and regrouping keep that
     partitioning. The most frequent terms, ``BROADCAST_TERMS`` of them at most, are
-    broadcast; tokens beyond are rare by the order of ids, so joining them by shuffle
-    is not skewed.
+    broadcast. Of the tokens beyond, each row gives every distinct one once, with its places;
+    these alone are shuffled, to their term and back to their row, where all ids are put in
+    order. Unknown tokens, which may be frequent, are such too, so a hot one is a long
+    left side of that join, which adaptive execution splits.
     """
-    spread = df.select(*key, F.array_join(tokens, " ").alias("_line")).repartition(*key)
+    spread = df.select(F.struct(*key).alias("_key"), F.array_join(tokens, " ").alias("_line")).repartition("_key")
     line = F.array_remove(F.split("_line", " "), "")
-    each = spread.select(*key, F.posexplode_outer(line).alias("_at", "token"))
+    each = spread.select("_key", F.posexplode_outer(line).alias("_at", "token"))
     terms = vocab.select("token", F.col("id").cast("int").alias("_id"))
     short = F.length("token") <= MAX_TERM_CHARS
     head = (F.col("_id") <= BROADCAST_TERMS) & short
     found = each.join(F.broadcast(terms.where(head)), "token", "left")
-    if terms.where(~head).limit(1).count():
-        missing = F.col("_id").isNull() & F.col("token").isNotNull()
-        tail = found.where(missing).drop("_id").join(terms.where(~head), "token", "left")
-        found = found.where(~missing).unionByName(tail)
+    missing = F.col("token").isNotNull() & F.col("_id").isNull()
     seen = F.when(F.col("_id").isNotNull(), F.struct("_at", "_id"))
-    return found.groupBy(*key).agg(
-        F.array_sort(F.collect_list(seen))["_id"].alias("ids"),
-        F.count_if(F.col("token").isNotNull() & F.col("_id").isNull()).alias("n_unknown"),
+    known = found.groupBy("_key").agg(F.collect_list(seen).alias("_ids"), F.count_if(missing).alias("n_unknown"))
+    if terms.where(~head).limit(1).count():
+        rare = found.where(missing).groupBy("_key", "token").agg(F.collect_list("_at").alias("_places"))
+        looked_up = rare.join(terms.where(~head), "token").groupBy("_key").agg(
+            F.flatten(
+                F.collect_list(F.transform("_places", lambda at: F.struct(at.alias("_at"), F.col("_id").alias("_id"))))
+            ).alias("_more"),
+            F.sum(F.size("_places")).alias("_n"),
+        )
+        known = known.join(looked_up, "_key", "left").withColumns(
+            {
+                "_ids": F.when(F.col("_more").isNull(), F.col("_ids")).otherwise(F.concat("_ids", "_more")),
+                "n_unknown": F.col("n_unknown") - F.coalesce("_n", F.lit(0)),
+            }
+        )
+    return known.select(
+        *[F.col("_key")[name].alias(name) for name in key], F.array_sort("_ids")["_id"].alias("ids"), "n_unknown"
     )
 
 

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from prosegauge.operators import tokens
@@ -89,3 +90,24 @@ def test_banned(spark, vocab, tmp_path):
     assert sorted(banned_sequences(lexicon, vocab)) == sorted([banned["the cat"], banned["dog"]])
     letters = {r.term: r.ids for r in tokens.banned_token_ids(lexicon, tokenizer=Letters).collect()}
     assert letters["dog"] == [100, 111, 103]
+
+
+def test_only_rare_tokens_are_shuffled_again(spark, vocab, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_TERMS", 2)
+    rows = spark.createDataFrame([(None, "z z b the b"), (1, "z nowhere nowhere"), (2, "the a"), (3, None)], "k int, text string")
+    found = tokens.token_ids(rows, ["k"], tokens.words(F.col("text")), vocab)
+    ids = expected_ids()
+    assert {r.k: (r.ids, r.n_unknown) for r in found.collect()} == {
+        None: ([ids[w] for w in "z z b the b".split()], 0),
+        1: ([ids["z"]], 2),
+        2: ([ids["the"], ids["a"]], 0),
+        3: ([], 0),
+    }
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(found.select("*"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by_key = [x for x in plan.splitlines() if "Exchange hashpartitioning(_key" in x and "Reused" not in x]
+    # the rows, and the ids of rare terms on their way back
+    assert len(by_key) == 2 and sum("REPARTITION" in x for x in by_key) == 1
