@@ -61,6 +61,25 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return [found.getPath().getName() for found in system.listStatus(place)] if system.exists(place) else []
 
 
+def sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names and bytes of the files in the folder at ``path``; none if it is not there."""
+    system, place = _file_system(spark, path)
+    return {f.getPath().getName(): f.getLen() for f in system.listStatus(place)} if system.exists(place) else {}
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete one file."""
+    system, place = _file_system(spark, path)
+    system.delete(place, False)
+
+
+def renamed(spark: SparkSession, path: str, other: str) -> None:
+    """Give a file another name."""
+    system, place = _file_system(spark, path)
+    if not system.rename(place, spark._jvm.org.apache.hadoop.fs.Path(other)):
+        raise OSError(f"{path} cannot be renamed")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
