@@ -2,15 +2,19 @@
 
 ``write_archives`` finds equal payloads from headers alone - id, size and digest, shuffled by
 digest - and only then shuffles the pages once, into archives of about ``archive_bytes``, each
-revisit without its payload. Records are put together as columns and written by Spark's text
-writer with gzip, so that a lost task leaves no half archive and any file system will do.
+revisit without its payload. Records are put together as columns; every record is a gzip member of
+its own, so that readers can seek to it, and each archive begins with a ``warcinfo`` record. Spark's text
+writer writes the members as bytes: it ends each row with a separator, which is the last byte of the
+member, the highest one of the record's size (zero below 16 MB; larger records are written for each
+such byte). So a lost task leaves no half archive and any file system will do. In the end the driver
+renames the archives to ``*.warc.gz``.
 ``read_archives`` reads the files as bytes, record by record by their lengths, and
 ``resolve_revisits`` joins revisits to the responses they refer to.
 
 Of the records with equal payloads of at least ``least`` bytes the one with the smallest id is
 the response. Defined results: a null payload is empty; a null id is no smaller than any other,
-and rows of the same id and payload repeated are all responses or all revisits; a null url leaves
-out the target; line ends in a url are percent-encoded. An empty table gives no records. Other
+and rows of the same id and payload repeated are all responses or all revisits; a null url has the
+record's id as its target, marked as unknown; line ends in a url are percent-encoded. An empty table gives no records. Other
 columns are not read.
 """
 
@@ -19,12 +23,16 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosegauge.session import removed, renamed, sizes
+
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = (
@@ -78,7 +86,7 @@ def records(pages: DataFrame, date: Column) -> DataFrame:
         F.lit(CRLF * 2),
     )
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    target = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    target = F.replace(F.replace(F.coalesce("url", "record_id"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
     def line(name: str, value: Column, sign: str = ": ") -> Column:
         return F.coalesce(F.concat(F.lit(name + sign), value, F.lit(CRLF)), F.lit(""))
@@ -92,6 +100,7 @@ def records(pages: DataFrame, date: Column) -> DataFrame:
         line("WARC-Record-ID", urn("record_id")),
         line("WARC-Date", date),
         line("WARC-Target-URI", target),
+        line("X-Target-Unknown", F.when(F.col("url").isNull(), F.lit("true"))),
         line("WARC-Payload-Digest", digest),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         line("WARC-Refers-To", urn("refers_to_id")),
@@ -104,9 +113,9 @@ def records(pages: DataFrame, date: Column) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes: int = 64 << 20) -> None:
-    """Write a record per row of ``pages`` (page_id, url, html) below ``path``, as gzip archives."""
+    """Write a record per row of ``pages`` (page_id, url, html) below ``path``, as ``*.warc.gz``."""
     heads = headers(pages)
-    total = heads.agg(F.sum("payload_bytes")).first()[0] or 0
+    total, longest = heads.agg(*(F.coalesce(f("payload_bytes"), F.lit(0)) for f in (F.sum, F.max))).first()
     n = max(1, -(-total // archive_bytes))
     payload = F.coalesce("html", F.lit(""))
     digest = F.sha2(payload, 256)
@@ -125,8 +134,51 @@ def write_archives(pages: DataFrame, path: str, least: int = 100, archive_bytes:
         record_id(F.col("first_id"), F.col("payload_digest")).alias("refers_to_id"),
     )
     annotated = whole.repartition(n, "record_id").join(again, "record_id", "left")
-    date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    records(annotated, date).write.option("compression", "gzip").option("lineSep", CRLF).text(path)
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    made = records(annotated, F.lit(date))
+    size = F.octet_length("value") + len(CRLF)
+    url_bytes = pages.agg(F.coalesce(F.max(F.octet_length("url")), F.lit(0))).first()[0]
+    # a record's fields other than the url, whose line ends become three bytes, take less than 4096 bytes
+    for high in range((longest + 3 * url_bytes + 4096 >> 24) + 1):
+        rows = made.where(F.shiftright(size, 24) == high).mapInPandas(_members(date, high), "value binary")
+        text = rows.select(F.col("value").cast("string"))
+        text.write.mode("append").option("lineSep", chr(high)).text(path)
+    spark = pages.sparkSession
+    for name, written in sizes(spark, path).items():
+        if name.startswith("part-") and not written:  # of a task without rows
+            removed(spark, f"{path}/{name}")
+        elif name.startswith("part-") and name.endswith(".txt"):
+            renamed(spark, f"{path}/{name}", f"{path}/{name.removesuffix('.txt')}.warc.gz")
+
+
+def _info(first: bytes, date: str) -> bytes:
+    """The record that describes an archive, named after what comes first in it."""
+    fields = f"software: prosegauge{CRLF}format: WARC File Format 1.1{CRLF}"
+    name = uuid.UUID(bytes=hashlib.md5(b"info|" + first).digest())
+    head = (
+        f"WARC/1.1{CRLF}WARC-Type: warcinfo{CRLF}WARC-Record-ID: <urn:uuid:{name}>{CRLF}WARC-Date: {date}{CRLF}"
+        f"Content-Type: application/warc-fields{CRLF}Content-Length: {len(fields)}{CRLF * 2}"
+    )
+    return f"{head}{fields}{CRLF * 2}".encode()
+
+
+def _members(date: str, high: int) -> Callable:
+    """Records as gzip members without their last byte, which is ``high``; the archive's own record is before the first."""
+
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        for batch in batches:
+            found = []
+            for text in batch["value"]:
+                record = (text + CRLF).encode()
+                member = gzip.compress(record, 6, mtime=0)
+                if member[-1] != high:
+                    raise ValueError("a record's size is not what its separator says")
+                found.append(member[:-1] if begun else gzip.compress(_info(record, date), 6, mtime=0) + member[:-1])
+                begun = True
+            yield pd.DataFrame({"value": found})
+
+    return compress
 
 
 def _header(stream) -> dict[str, str] | None:
@@ -150,6 +202,8 @@ def archive_records(content: bytes) -> Iterator[tuple]:
         block = stream.read(int(fields["content-length"]))
         if stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record's length is wrong")
+        if fields["warc-type"] == "warcinfo":
+            continue
         http, _, payload = block.partition(b"\r\n\r\n")
         length = next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
         size, digest = int(length.split(b":")[1]), fields["warc-payload-digest"].removeprefix("sha256:")
@@ -160,7 +214,7 @@ def archive_records(content: bytes) -> Iterator[tuple]:
         yield (
             fields["warc-record-id"].strip("<>"),
             None if page_id is None else int(page_id),
-            fields.get("warc-target-uri"),
+            None if "x-target-unknown" in fields else fields.get("warc-target-uri"),
             fields["warc-type"],
             fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
             size,
@@ -188,7 +242,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The headers of all records below ``path``: columns of ``RECORDS``. One archive is one task's work."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInPandas(_parse, RECORDS)
 
 

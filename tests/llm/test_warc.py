@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -41,3 +42,30 @@ def test_repeated_rows_and_empty_tables(spark, tmp_path):
     assert sorted(kinds, key=str) == [(1, "response", None)] * 3 + [(2, "revisit", 1)] * 2
     warc.write_archives(spark.createDataFrame([], PAGES), f"{path}-none")
     assert warc.read_archives(spark, f"{path}-none").count() == 0
+
+
+def members(content):
+    """What each gzip member of an archive holds, one by one."""
+    while content:
+        one = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        yield one.decompress(content) + one.flush()
+        content = one.unused_data
+
+
+def test_every_record_is_a_member_of_its_own(spark, tmp_path):
+    big = "<p>word</p>" * 1_600_000  # 17.6 MB, whose size ends in another byte
+    rows = [(i, f"http://a/{i}", f"page {i} " * 40) for i in range(30)] + [(30, None, "x" * 300), (31, "http://big/", big)]
+    path, found = stored_and_read(spark, tmp_path, rows, archive_bytes=5_000_000)
+    archives = sorted((tmp_path / "archives").glob("*.warc.gz"))
+    assert archives and not list((tmp_path / "archives").glob("part-*.txt"))
+    seen = []
+    for archive in archives:
+        parts = list(members(archive.read_bytes()))
+        assert all(p.startswith(b"WARC/1.1\r\n") and p.endswith(b"\r\n\r\n") for p in parts)
+        assert b"WARC-Type: warcinfo" in parts[0]
+        assert sum(p.count(b"WARC-Record-ID: ") for p in parts) == len(parts)
+        assert all(b"\r\nWARC-Target-URI: " in p for p in parts[1:])
+        seen += parts[1:]
+    assert len(seen) == 32 == len(found)
+    assert {r.page_id: r.url for r in found.values()} == {i: u for i, u, _ in rows}
+    assert {r.page_id: r.payload_bytes for r in found.values()} == {i: len(t) for i, _, t in rows}
