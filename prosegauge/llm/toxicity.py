@@ -9,7 +9,8 @@ distances, weighed by a logistic regression fitted on labelled texts that traine
 dictionary, give the score.
 
 The model is fitted on the driver on a bounded sample: ``SAMPLE`` labelled texts per class, taken
-by a digest of their ids, of at most ``SAMPLE_CHARS`` characters each. Scores are of whole texts,
+by a digest of their ids, of at most ``SAMPLE_CHARS`` characters each. The ordinary dictionary is trained
+on ``TRAINING_BYTES`` of them, in the order of another digest. Scores are of whole texts,
 with no shuffle.
 
 Defined results: a null text is empty and has a score as any other; labels are 1 if any row of a
@@ -121,6 +122,8 @@ def own_words(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
 def fit(rows: pd.DataFrame, counts: dict[int, int]) -> CompressionModel:
     """The model of sampled texts (doc_id, text, toxic); ``counts``: labelled documents of each class."""
     total = sum(counts.values())
+    # in the order of a digest, so that what trains the ordinary dictionary does not depend on the ids' order
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: zlib.crc32(f"order|{rows['doc_id'].iloc[i]}".encode()))]
     texts = [t.lower().encode("utf-8", "replace") for t in rows["text"]]
     for_words = [zlib.crc32(f"words|{d}".encode()) % 2 == 0 for d in rows["doc_id"]]
     classes = rows["toxic"].tolist()
