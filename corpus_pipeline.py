@@ -18,16 +18,17 @@ from prosegauge.session import stored
 LEAST_LANGUAGE_SCORE = 0.3
 
 
-#: Texts that a Python worker gets at a time; Spark's default of 10,000 long ones takes hundreds of megabytes.
-BATCH_ROWS = 1_000
+#: Texts, and bytes, that a Python worker gets at a time; Spark's default of 10,000 long texts takes hundreds of megabytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Hand texts to Python workers in batches of ``BATCH_ROWS`` at most."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(setting))
-    if rows <= 0 or rows > BATCH_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """Hand texts to Python workers in batches of ``BATCH_ROWS`` and some ``BATCH_BYTES`` at most."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(setting).lower().removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(setting, str(most))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.workers import trimmed
 from prosegauge.session import stored
 
 MIN_SHARE, RATIO = 1e-5, 0.5
@@ -58,6 +59,7 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
         carry = points[-2:]
 
 
+@trimmed
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[str, list] = {}
     waiting: dict[str, list] = {}
@@ -177,9 +179,11 @@ def prediction(model: LanguageFilter, docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def decided(texts: pd.Series) -> pd.DataFrame:
+    @trimmed
+    def decided(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         decide = shared.value.decide
-        return pd.DataFrame([decide(t if isinstance(t, str) else None) for t in texts], columns=["lang", "score"])
+        for texts in batches:
+            yield pd.DataFrame([decide(t if isinstance(t, str) else None) for t in texts], columns=["lang", "score"])
 
     return decided("text")
 

@@ -37,6 +37,7 @@ from pyspark.sql.types import StringType
 
 from prosegauge.llm.buckets import linked_components, shared_buckets
 from prosegauge.llm.reducer import divided, reduced
+from prosegauge.llm.workers import trimmed
 from prosegauge.operators.join import MAX_HOT, join_skewed
 from prosegauge.session import stored
 
@@ -48,7 +49,7 @@ SEED = 7
 HOT = 1_000
 SENTENCES = re.compile(r"\S(?:[^.!?]|[.!?](?!\s))*[.!?]*")
 #: Shingles that are hashed, and units that are held, at a time.
-BLOCK, HELD = 1 << 17, 1 << 15
+BLOCK, HELD = 1 << 16, 1 << 14
 UNITS = (
     "doc_id long, row long, kind string, place int, start int, length int, words int, digest long, bands array<long>,"
     " next_start int, next_length int, next_words int"
@@ -115,6 +116,7 @@ def _sentence_units(sentences: list[tuple]) -> Iterator[list]:
                 yield ["pair", place, start, length, len(words), both, None, second, span, len(more)]
 
 
+@trimmed
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in UNITS.replace(", ", ",").split(",")]
     rows: list[list] = []
@@ -157,6 +159,7 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "row", "text").mapInPandas(_units, UNITS)
 
 
+@trimmed
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [np.unique(np.array(shingles(t.lower().split()), np.uint64)).view(_signed) for t in batch["paragraph"]]
@@ -264,16 +267,18 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+@trimmed
+def _without(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Texts without the code points of the spans, which may overlap."""
-    found = []
-    for text, cut in zip(texts, spans, strict=True):
-        parts, at = [], 0
-        for start, end in sorted((s["start"], s["start"] + s["length"]) for s in cut):
-            parts.append(text[at:start] if start > at else "")
-            at = max(at, end)
-        found.append("".join([*parts, text[at:]]))
-    return pd.Series(found, dtype=object)
+    for texts, spans in batches:
+        found = []
+        for text, cut in zip(texts, spans, strict=True):
+            parts, at = [], 0
+            for start, end in sorted((s["start"], s["start"] + s["length"]) for s in cut):
+                parts.append(text[at:start] if start > at else "")
+                at = max(at, end)
+            found.append("".join([*parts, text[at:]]))
+        yield pd.Series(found, dtype=object)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

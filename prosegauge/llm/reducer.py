@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from prosegauge.llm.workers import trimmed
+
 BITS, CHUNK_BITS = 1 << 26, 16
 CHUNK_BYTES = (1 << CHUNK_BITS) // 8
 
@@ -23,6 +25,7 @@ def _bit(key: str) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(BITS))
 
 
+@trimmed
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The bit map's chunks that a task has all keys of."""
     held: dict[int, np.ndarray] = {}
@@ -53,6 +56,7 @@ def divided(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, Data
     shared = rows.sparkSession.sparkContext.broadcast(held)
 
     @F.pandas_udf(BooleanType())
+    @trimmed
     def known(bits: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in bits:
             at = batch.to_numpy(np.int64)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.components import components
+from prosegauge.llm.workers import trimmed
 from prosegauge.session import stored
 
 SEED = 42
@@ -86,6 +87,7 @@ def _fingerprints(texts: list, words: int = 3) -> np.ndarray:
     return np.packbits(majority, axis=1, bitorder="little").view("<i8")[:, 0]
 
 
+@trimmed
 def _fingerprint_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), 512):

@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.workers import trimmed
+
 SAMPLE, SAMPLE_CHARS = 4_000, 200_000
 SHARE, LIFT = 0.014, 10
 TOXIC_BYTES, ORDINARY_BYTES, TRAINING_BYTES = 3_000, 400_000, 8 << 20
@@ -178,8 +180,10 @@ def score(model: CompressionModel, docs: DataFrame) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(texts))
+    @trimmed
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.scores(texts))
 
     return scored("text")
 
