@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.workers import trimmed
 from prosegauge.session import stored
 
 LENGTH = 2048
@@ -40,7 +41,7 @@ CHUNK, WORDS = 8 << 20, 20_000
 #: Words of which normalizing is lower-casing, and splitting off the marks at the end.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!,.:;?]*)")
 #: Parts of words whose ids a worker keeps.
-KEPT = 1 << 20
+KEPT = 1 << 18
 
 
 class _Words:
@@ -122,7 +123,16 @@ def _groups(texts: list[str]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+@trimmed
 def _pieces(batches: Iterator[pd.DataFrame], path: str, length: int, closing: int) -> Iterator[pd.DataFrame]:
+    """Pieces of the texts; the tokenizer goes when the task ends, since the next one may be another worker's."""
+    try:
+        yield from _text_pieces(batches, path, length, closing)
+    finally:
+        _words.cache_clear()
+
+
+def _text_pieces(batches: Iterator[pd.DataFrame], path: str, length: int, closing: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts, keys = batch["text"].fillna("").tolist(), batch["doc_id"]
         for group in _groups(texts):
@@ -180,6 +190,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, np.array(gaps, np.int64)
 
 
+@trimmed
 def _pack(batches: Iterator[pd.DataFrame], capacity: int, slack: int, number: int) -> Iterator[pd.DataFrame]:
     parts = [x for x in batches if len(x)]
     if not parts:

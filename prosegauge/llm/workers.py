@@ -32,13 +32,13 @@ def release() -> None:
         trim(0)
 
 
-def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def trimmed(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """``work`` over batches, with free memory handed back when it ends."""
 
     @functools.wraps(work)
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator, **options) -> Iterator:
         try:
-            yield from work(batches)
+            yield from work(batches, **options)
         finally:
             release()
 
