@@ -24,9 +24,10 @@ from prosegauge.operators.join import accepted, pending, rejected
 from prosegauge.operators.take import take_quota
 from prosegauge.operators.tokens import banned_token_ids, subword_truncator
 from prosegauge.plans.worklog import WorkLog
-from prosegauge.session import exists, fresh_path, stored
-from prosegauge.sources.readers import RESPONSES, read_responses
-from prosegauge.sources.writers import append_responses, write_responses
+from prosegauge.session import fresh_path, stored
+from prosegauge.sources.readers import RESPONSES
+from prosegauge.sources.versions import read_current, replace_model
+from prosegauge.sources.writers import append_responses
 
 MAX_BANNED = 100_000
 
@@ -50,7 +51,7 @@ def generate_responses(
     label: str = "toxicity_bin",
     partitions: int | None = None,
 ) -> None:
-    """Continue every prompt with every local model and replace that model's results.
+    """Continue every prompt with every local model and replace all of that model's results, once they are complete.
 
     Plug-ins give the full text, prompt included. With ``banned`` sequences they are built
     as ``factory(banned)``, and results go under the model's ``variant``. ``partitions``
@@ -65,16 +66,15 @@ def generate_responses(
             "prompt",
             text.alias("continuation"),
             F.lit(None).cast("timestamp").alias("collected_at"),
-            model_variant(F.lit(name), F.lit(variant)).alias("model"),
             "label",
         )
-        write_responses(results, path, pack=False)
+        tag = ranges.sparkSession.range(1).select(model_variant(F.lit(name), F.lit(variant))).first()[0]
+        replace_model(results, path, tag)
 
 
 def collected(spark: SparkSession, path: str, model: str) -> DataFrame:
-    if not exists(spark, path):
-        return spark.createDataFrame([], RESPONSES)
-    return read_responses(spark, path).where(F.col("model") == model)
+    rows = read_current(spark, path, RESPONSES)
+    return spark.createDataFrame([], RESPONSES) if rows is None else rows.where(F.col("model") == model)
 
 
 def collect_responses(

@@ -244,6 +244,16 @@ def generate_responses(spark, sf_dir):
     return readers.read_responses(spark, path).select("model", "label", "prompt", "continuation")
 
 
+@query(f"""with {RANGED_SQL} select 'base' as model, label, count(*) as n_rows from ranged where label <> '0-0.25' group by label
+union all select 'other', label, count(*) from ranged group by label""")
+def replace_models(spark, sf_dir):
+    """Two models generated over all ranges, then one of them anew without the lowest range."""
+    path, ranged = fresh_path(spark, "responses"), _ranged(spark, sf_dir)
+    response_plan.generate_responses(ranged, path, {"base": stub_generator, "other": stub_generator})
+    response_plan.generate_responses(ranged.where("toxicity_bin <> '0-0.25'"), path, {"base": stub_generator})
+    return readers.read_responses(spark, path).groupBy("model", "label").agg(F.count("*").alias("n_rows"))
+
+
 @query(f"""with {RANGED_SQL}, echoes as (select label, prompt, prompt || ' ' || md5(prompt) || ' ends here.' as reply
   from ranged where length(prompt) % 3 <> 0),
 {overlap_steps_sql('echoes', 'label')}, plain as (select label, prompt, {boilerplate_sql('text')} as text from removed)

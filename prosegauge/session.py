@@ -67,10 +67,10 @@ def sizes(spark: SparkSession, path: str) -> dict[str, int]:
     return {f.getPath().getName(): f.getLen() for f in system.listStatus(place)} if system.exists(place) else {}
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete one file."""
+def removed(spark: SparkSession, path: str, below: bool = False) -> None:
+    """Delete one file, or with ``below`` a folder and all that is in it."""
     system, place = _file_system(spark, path)
-    system.delete(place, False)
+    system.delete(place, below)
 
 
 def renamed(spark: SparkSession, path: str, other: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from prosegauge.config import ATTRS
 from prosegauge.functions.records import lenient_struct, scored_text
+from prosegauge.sources.versions import read_current
 
 # Column names of exchanged CSV files and ours.
 COLUMNS = {"Prompts": "prompt", "Continuation": "continuation", "Timestamp": "collected_at"}
@@ -161,8 +162,11 @@ def read_corpus_lines(spark: SparkSession, path: str, name: str = "class") -> Da
 
 
 def read_responses(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Response table partitioned by model and label."""
-    return spark.read.schema(schema or RESPONSES).parquet(path)
+    """Response table partitioned by model and label; a model that was replaced as a whole has its current version."""
+    rows = read_current(spark, path, schema or RESPONSES)
+    if rows is None:
+        raise FileNotFoundError(f"no responses in {path}")
+    return rows
 
 
 RESPONSES = T.StructType(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.sources.readers import COLUMNS
+from prosegauge.sources.versions import placed
 
 
 def packed(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -43,11 +44,13 @@ def write_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "lab
     Without ``pack`` every task writes what it has. Results that were costly to make then
     go straight to the table, and a lost executor takes none of them with it.
     """
-    writer = (packed(df, by) if pack else df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*by).parquet(path)
+    for rows, folder in placed(df, path):
+        writer = (packed(rows, by) if pack else rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*by).parquet(folder)
 
 
 def append_responses(df: DataFrame, path: str, by: Sequence[str] = ("model", "label")) -> None:
     """Add results with the time they were collected."""
     timed = df.withColumn("collected_at", F.current_timestamp())
-    packed(timed, by).write.mode("append").partitionBy(*by).parquet(path)
+    for rows, folder in placed(timed, path):
+        packed(rows, by).write.mode("append").partitionBy(*by).parquet(folder)
