@@ -81,7 +81,9 @@ def main(argv: list[str] | None = None) -> None:
     spark = session()
     config = Config()
     if args.command == "prompts":
-        generate_prompts(spark, args.source, args.out, replace(config, range_size=args.size), not args.dict_strings)
+        tables = generate_prompts(spark, args.source, args.out, replace(config, range_size=args.size), not args.dict_strings)
+        for name, n in tables.counts.items():
+            print(f"{name}: {n}")
     elif args.command == "training-rows":
         corpus = spark.read.schema("row_id bigint, text string, class int").parquet(args.corpus)
         prepare_training(corpus, args.out, config, args.tokenizer)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prosegauge.config import Config
+from prosegauge.operators.report import counted
 from prosegauge.operators.shape import flatten_struct
 from prosegauge.operators.split import split_by_threshold
 from prosegauge.operators.take import balance_classes, equalize_ranges
 from prosegauge.session import stored
-from prosegauge.sources.readers import read_pairs_jsonl, with_file_row_id
+from prosegauge.sources.readers import PAIR, parsed_pairs, read_pair_lines, with_file_row_id
 from prosegauge.sources.writers import write_ranges, write_table
 
 
@@ -20,6 +22,8 @@ class PromptTables(NamedTuple):
     continuations: DataFrame
     corpus: DataFrame
     ranges: DataFrame
+    #: What the job that writes the pairs counts.
+    counts: dict[str, int]
 
 
 def generate_prompts(
@@ -28,17 +32,30 @@ def generate_prompts(
     """Parse the corpus once, number its rows, and derive all tables from the stored result.
 
     Classes follow the score of the continuation, ranges that of the prompt. All later
-    passes read the stored columns they need and none of the JSON.
+    passes read the stored columns they need and none of the JSON. What is not parsed or null is counted by
+    the job that writes the pairs: ``n_rows``, ``unparsed_lines``, ``unparsed_prompt`` and ``unparsed_continuation`` (values
+    there that give no field), and ``null_`` with the name of each column.
     """
-    raw = with_file_row_id(read_pairs_jsonl(spark, source, nested, config.attributes))
-    prompt = flatten_struct(raw, "prompt", "prompt", ["row_id", "continuation"])
+    raw = with_file_row_id(read_pair_lines(spark, source))
+    given = {f"_has_{name}": F.col(name).isNotNull() for name in PAIR}
+    raw = raw.withColumns(given | {"unparsed": F.col("unparsed").isNotNull()})
+    if nested:
+        raw = parsed_pairs(raw, config.attributes)
+    told = ["unparsed", *given]
+    prompt = flatten_struct(raw, "prompt", "prompt", ["row_id", "continuation", *told])
     both = flatten_struct(
         prompt.withColumnsRenamed({a: f"prompt_{a}" for a in config.attributes}),
         "continuation",
         "continuation",
-        ["row_id", "prompt", *[f"prompt_{a}" for a in config.attributes]],
+        ["row_id", "prompt", *[f"prompt_{a}" for a in config.attributes], *told],
     )
-    pairs = stored(both, "pairs", f"{out}/pairs")
+    values = [c for c in both.columns if c not in ("row_id", *told)]
+    empty = {}
+    for name, prefix in zip(PAIR, ("prompt_", ""), strict=True):
+        scores = [F.col(f"{prefix}{a}").cast("string") for a in config.attributes]
+        empty[f"unparsed_{name}"] = F.col(f"_has_{name}") & F.coalesce(F.col(name), *scores).isNull()
+    both, counts = counted(both, values, unparsed_lines=F.col("unparsed"), **empty)
+    pairs = stored(both.drop(*told), "pairs", f"{out}/pairs")
 
     prompts = pairs.select("row_id", "prompt", *[pairs[f"prompt_{a}"].alias(a) for a in config.attributes])
     prompts = stored(prompts, "prompts", f"{out}/prompts")
@@ -58,4 +75,5 @@ def generate_prompts(
         continuations,
         spark.read.schema("row_id bigint, text string, class int").parquet(f"{out}/corpus"),
         spark.read.schema(ranges.schema).parquet(f"{out}/ranges"),
+        counts.get,
     )

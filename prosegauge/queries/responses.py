@@ -14,7 +14,7 @@ from prosegauge.plans.scoring import score_responses
 from prosegauge.queries.common import PAIRS_SQL, md5_share_sql, pairs, query, scored_events, table
 from prosegauge.queries.common import SCORED_EVENTS_SQL
 from prosegauge.queries.texts import boilerplate_sql, overlap_steps_sql, truncate_sql
-from prosegauge.session import fresh_path
+from prosegauge.session import fresh_path, stored
 from prosegauge.sources import readers, writers
 from prosegauge.streaming import incremental, windows
 
@@ -152,15 +152,30 @@ def enrich_text(spark, sf_dir):
     return rows.select("row_id", text.alias("continuation"))
 
 
-@query("""select cast(event_id as varchar) as prompt, event_type as continuation from events
-where event_type <> 'error'""")
-def lenient_csv(spark, sf_dir):
-    """Errors are written with a surplus field."""
+def _foreign_csv(spark, sf_dir):
     path = fresh_path(spark, "foreign-csv")
     kind = "case when event_type = 'error' then 'error,surplus' else event_type end as Continuation"
     rows = table(spark, sf_dir, "events").selectExpr("cast(event_id as string) as Prompts", kind)
     rows.write.options(header=True, quote="").csv(path)
-    return readers.read_responses_lenient(spark, path)
+    return path
+
+
+@query("""select cast(event_id as varchar) as prompt, event_type as continuation from events
+where event_type <> 'error'""")
+def lenient_csv(spark, sf_dir):
+    """Errors are written with a surplus field."""
+    return readers.read_responses_lenient(spark, _foreign_csv(spark, sf_dir))
+
+
+@query("""select count(*) as n_rows, count_if(event_type = 'error') as n_over_long, count_if(event_type <> 'error') as n_kept
+from events""")
+def counted_csv(spark, sf_dir):
+    """The same file: rows and over-long rows as counted by the job that writes the table."""
+    rows, counts = readers.read_responses_counted(spark, _foreign_csv(spark, sf_dir))
+    kept, seen = stored(rows, "responses"), counts.get
+    return kept.agg(F.count("*").alias("n_kept")).withColumns({c: F.lit(seen[c]) for c in ("n_rows", "n_over_long")}).select(
+        F.col("n_rows").cast("long"), F.col("n_over_long").cast("long"), "n_kept"
+    )
 
 
 @query(f"""with {PAIRS_SQL} select model, case when turn < 2 then '0-0.25' else '0.75-1.0' end as label, prompt,
@@ -225,6 +240,26 @@ def prompt_tables(spark, sf_dir):
     return report.row_report(**frames).selectExpr("frame as name", "n_rows")
 
 
+@query(f"""with {PAIRS_SQL}, kinds as (select row_id % 7 as kind, prompt, continuation from pairs)
+select 'n_rows' as name, count(*) as n from kinds
+union all select 'unparsed_lines', count_if(kind = 0) from kinds
+union all select 'unparsed_prompt', count_if(kind = 1 or kind > 1 and prompt is null) from kinds
+union all select 'unparsed_continuation', count_if(kind not in (0, 2) and continuation is null) from kinds
+union all select 'null_prompt', count_if(kind < 2 or prompt is null) from kinds
+union all select 'null_continuation', count_if(kind in (0, 2) or continuation is null) from kinds
+union all select 'null_toxicity', count(*) from kinds""")
+def prompt_counts(spark, sf_dir):
+    """The prompt job's own counts over a corpus with broken lines, prompts that are no record and absent replies."""
+    source, kind, absent = fresh_path(spark, "mixed-jsonl"), F.pmod(F.col("row_id"), F.lit(7)), F.lit(None)
+    prompt = F.when(kind == 1, "no record").otherwise(F.to_json(F.struct(F.col("prompt").alias("text"))))
+    reply = F.when(kind == 2, absent).otherwise(F.to_json(F.struct(F.col("continuation").alias("text"))))
+    line = F.to_json(F.struct(prompt.alias("prompt"), reply.alias("continuation")))
+    pairs(spark, sf_dir).select(F.when(kind == 0, F.concat(F.lit("{broken "), line)).otherwise(line).alias("value")).write.text(source)
+    counts = prompt_plan.generate_prompts(spark, source, fresh_path(spark, "prompts")).counts
+    told = ("n_rows", "unparsed_lines", "unparsed_prompt", "unparsed_continuation", "null_prompt", "null_continuation", "null_toxicity")
+    return spark.createDataFrame([(name, counts[name]) for name in told], "name string, n long")
+
+
 RANGED_SQL = f"{SCORED_EVENTS_SQL}, ranged as (select row_id, cast(row_id as varchar) as prompt, toxicity_bin as label from scored where toxicity_bin is not null)"
 
 

@@ -6,16 +6,18 @@ import csv
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prosegauge.config import ATTRS
 from prosegauge.functions.records import lenient_struct, scored_text
+from prosegauge.operators.report import counted
 from prosegauge.sources.versions import read_current
 
 # Column names of exchanged CSV files and ours.
 COLUMNS = {"Prompts": "prompt", "Continuation": "continuation", "Timestamp": "collected_at"}
+PAIR = ("prompt", "continuation")
 LABEL_FILE = r"responses_([^/]+)\.csv"
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "nullValue": ""}
@@ -30,12 +32,19 @@ def read_pairs_jsonl(
     value. With ``nested=False`` strings are left as they are (parse those with
     ``flatten_struct``). A string that is no record has its fields null.
     """
-    names = ("prompt", "continuation")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-    rows = spark.read.schema(schema).json(path)
-    if not nested:
-        return rows
-    return rows.select(*[lenient_struct(F.col(name), scored_text(attrs)).alias(name) for name in names])
+    rows = read_pair_lines(spark, path).select(*PAIR)
+    return parsed_pairs(rows, attrs) if nested else rows
+
+
+def read_pair_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The two values of each line as strings, and the line itself where it is no JSON record: (prompt, continuation, unparsed)."""
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*PAIR, "unparsed")])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", "unparsed").json(path)
+
+
+def parsed_pairs(rows: DataFrame, attrs: Sequence[str] = ATTRS) -> DataFrame:
+    """The strings of ``read_pair_lines`` as structs; other columns stay."""
+    return rows.withColumns({name: lenient_struct(F.col(name), scored_text(attrs)) for name in PAIR})
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -100,19 +109,22 @@ def _named(df: DataFrame) -> DataFrame:
 
 
 def _read_csv(spark: SparkSession, path: str | list[str], lenient: bool, kept: list[Column]) -> DataFrame:
-    """Rows of files that may each have columns of their own, in any order; ``kept`` comes first."""
+    """Rows of files that may each have columns of their own, in any order; ``kept`` comes first.
+
+    With ``lenient`` the last column, ``_surplus``, has the first field beyond those of the header.
+    """
     frames = []
     for names, files in _by_header(spark, path):
         fields = [*names, "_surplus"] if lenient else names
         schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
         quoting = {"escape": "\\", "unescapedQuoteHandling": "STOP_AT_CLOSING_QUOTE"} if lenient else {"escape": '"'}
         rows = spark.read.schema(schema).options(**_CSV, enforceSchema=True, **quoting).csv(files)
-        if lenient:
-            rows = rows.where(F.col("_surplus").isNull())
         texts = [F.col(f"`{n}`") for n in names]
         if lenient:
             texts = [F.replace(text, F.lit('""'), F.lit('"')) for text in texts]
-        frames.append(_named(rows.select(*kept, *[text.alias(n) for text, n in zip(texts, names, strict=True)])))
+        surplus = [F.col("_surplus")] if lenient else []
+        columns = [text.alias(n) for text, n in zip(texts, names, strict=True)]
+        frames.append(_named(rows.select(*kept, *columns, *surplus)))
     if not frames:
         raise ValueError(f"no CSV file with a header in {path}")
     return _union(frames)
@@ -133,7 +145,19 @@ def read_responses_lenient(spark: SparkSession, path: str | list[str], kept: Seq
     escaped by ``\``. One column more than the header names takes in the first surplus
     field of a row.
     """
-    return _read_csv(spark, path, True, list(kept))
+    return _read_csv(spark, path, True, list(kept)).where(F.col("_surplus").isNull()).drop("_surplus")
+
+
+def read_responses_counted(
+    spark: SparkSession, path: str | list[str], kept: Sequence[Column] = ()
+) -> tuple[DataFrame, Observation]:
+    """``read_responses_lenient`` and what the first job over it sees: rows (``n_rows``), over-long ones left out
+    (``n_over_long``), and rows kept without a prompt (``n_no_prompt``) or a continuation (``n_no_continuation``)."""
+    rows = _read_csv(spark, path, True, list(kept))
+    long = F.col("_surplus").isNotNull()
+    blank = {f"n_no_{c}": ~long & F.col(c).isNull() for c in PAIR if c in rows.columns}
+    rows, counts = counted(rows, n_over_long=long, **blank)
+    return rows.where(~long).drop("_surplus"), counts
 
 
 def load_lexicon(spark: SparkSession, source: str | DataFrame) -> DataFrame:

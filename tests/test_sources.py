@@ -148,3 +148,19 @@ def test_row_ids_follow_files_and_lines(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
         assert [r.value for r in got] == want and [r.row_id for r in got] == list(range(len(want)))
+
+
+def test_counts_of_rows_left_out(spark, tmp_path):
+    """Two files with headers of their own: over-long rows and rows without a continuation are counted while they are read."""
+    (tmp_path / "a.csv").write_text("Prompts,Continuation\np1,c1\np2,c2,surplus\np3,\n")
+    (tmp_path / "b.csv").write_text("Continuation,Prompts\nc4,p4,\nc5,p5,more,still\nc6\n")
+    rows, counts = readers.read_responses_counted(spark, str(tmp_path))
+    assert sorted(r.prompt or "" for r in rows.collect()) == ["", "p1", "p3", "p4"]
+    assert counts.get == {"n_rows": 6, "n_over_long": 2, "n_no_prompt": 1, "n_no_continuation": 1}
+
+
+def test_lines_that_are_no_json(spark, tmp_path):
+    path = tmp_path / "pairs.jsonl"
+    path.write_text('{"prompt":{"text":"a"},"continuation":"none"}\n{"prompt": \n{}\n')
+    found = [(r.prompt, r.continuation, r.unparsed) for r in readers.read_pair_lines(spark, str(path)).collect()]
+    assert found == [('{"text":"a"}', "none", None), (None, None, '{"prompt": '), (None, None, None)]
