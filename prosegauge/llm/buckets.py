@@ -10,11 +10,12 @@ Blocks give links that connect what is connected in them, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.components import components
@@ -76,11 +77,26 @@ def _compare_blocks(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def linked_components(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def jaccard(a: Column, b: Column, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both >= similarity * (F.size(a) + F.size(b) - both)
+
+
+def linked_components(
+    shared: DataFrame,
+    sets: DataFrame,
+    similarity: float = 0.8,
+    near: Callable[[Column, Column], Column] | None = None,
+    compare: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+) -> DataFrame:
     """Components of the items of ``shared_buckets`` under Jaccard similarity: node, component.
 
     ``sets`` has the distinct ``elements`` of each ``item``; items and elements are longs. ``shared`` is a stored table.
+    For another measure give ``near``, whether two elements are linked, and ``compare``, the links (a, b) of a block: rows
+    (item, elements, asks), each that asks against each that does not.
     """
+    near = near or functools.partial(jaccard, similarity=similarity)
+    compare = compare or functools.partial(_compare_blocks, similarity=similarity)
     # items that share most come first: originals before their variants
     ranks = shared.groupBy("item").agg(F.sum("n").alias("rank"))
     ranked = stored(shared.join(ranks, "item"), "ranked")
@@ -94,9 +110,8 @@ def linked_components(shared: DataFrame, sets: DataFrame, similarity: float) ->
         .distinct()
     )
     a, b = (sets.select(F.col("item").alias(x), F.col("elements").alias(f"{x}_set")) for x in "ab")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set") - both
-    links = stored(pairs.join(a, "a").join(b, "b").where(both >= similarity * either).select("a", "b"), "links")
+    linked = near(F.col("a_set"), F.col("b_set"))
+    links = stored(pairs.join(a, "a").join(b, "b").where(linked).select("a", "b"), "links")
     known = stored(components(links), "known")
 
     rest = ranked.join(pivots.withColumnRenamed("pivot", "item"), ["bucket", "item"], "left_anti")
@@ -119,7 +134,7 @@ def linked_components(shared: DataFrame, sets: DataFrame, similarity: float) ->
     )
     blocks = members.unionByName(asking).join(sets, "item")
     more = blocks.groupBy("bucket", "ours", "theirs").applyInPandas(
-        lambda group: _compare_blocks(group, similarity), "a long, b long"
+        lambda group: compare(group), "a long, b long"
     )
     found = stored(more.where("a <> b").distinct(), "links")
     # what is known stands for the links of before

@@ -1,0 +1,113 @@
+import numpy as np
+
+from prosegauge.llm import buckets, editmatch
+
+DOCS = "doc_id long, text string"
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def changed(rng, text, edits):
+    letters = list(text)
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(letters) + 1)), rng.integers(3)
+        if kind == 0:
+            letters.insert(at, "é")
+        elif letters and kind == 1:
+            del letters[min(at, len(letters) - 1)]
+        elif letters:
+            letters[min(at, len(letters) - 1)] = "z"
+    return "".join(letters)
+
+
+def random_text(rng, n, letters="abcdefgh \n"):
+    return "".join(rng.choice(list(letters), n))
+
+
+def test_distance_equals_the_plain_one():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        a = random_text(rng, int(rng.integers(0, 30)), "ab")
+        b = changed(rng, a, int(rng.integers(0, 12))) if rng.random() < 0.7 else random_text(rng, int(rng.integers(0, 30)), "ab")
+        want, most = plain_distance(a, b), int(rng.integers(0, 15))
+        assert editmatch.distance(a, b, most) == (want if want <= most else None)
+    long = random_text(rng, 300_000)
+    assert editmatch.distance(long, "x" + long[:150_000] + "yy" + long[150_001:], 10) == 3
+
+
+def components_of(rows, near):
+    """Smallest id of each row's component, by all pairs."""
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and near(rows[i][1] or "", rows[j][1] or ""):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for (doc_id, _), x in zip(rows, label, strict=True):
+        if doc_id is not None:
+            least[x] = min(doc_id, least.get(x, doc_id))
+    return [least.get(x) for x in label]
+
+
+def test_components_equal_those_of_all_pairs(spark, monkeypatch):
+    """Copies, chains of edits, a bucket larger than a block, short, empty and null texts, null and repeated ids."""
+    monkeypatch.setattr(buckets, "BLOCK", 8)
+    rng, rows = np.random.default_rng(2), []
+    for i in range(12):
+        text = random_text(rng, int(rng.integers(100, 900)))
+        rows.append((1000 - i, text))
+        for k in range(1, 4):
+            rows.append((i * 10 + k, text if k == 1 else changed(rng, text, 2)))
+    text = random_text(rng, 600)
+    for i in range(40):  # a chain, the ends of which are further apart than the limit
+        rows.append((2000 + i, text))
+        text = changed(rng, text, 3)
+    rows += [(5, ""), (4, None), (3, "a"), (3, "a"), (None, rows[0][1]), (None, "alone"), (None, "alone"), (6, "b")]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as item", "'x' as digest", "2 as row").repartition(5)
+    found = editmatch.near_copies(docs, edits=20).collect()
+    places, found_buckets = editmatch.buckets_of([text or "" for _, text in rows], 20)
+    buckets_by_text = {}
+    for place, bucket in zip(places.tolist(), found_buckets.tolist(), strict=True):
+        buckets_by_text.setdefault(rows[place][1] or "", set()).add(bucket)
+    want = components_of(rows, lambda a, b: bool(buckets_by_text[a] & buckets_by_text[b]) and editmatch.linked(a, b, 20))
+    key = lambda pair: tuple((x is not None, x or 0) for x in pair)
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=key) == sorted(
+        zip([r[0] for r in rows], want, strict=True), key=key
+    )
+    assert sum(r.kept for r in found) == len(set(want) - {None}) + 1
+
+
+def test_an_empty_table(spark):
+    assert editmatch.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_recall_of_bands():
+    """Pairs of texts a few edits apart meet in a bucket, across windows of lengths too; unrelated ones do not."""
+    rng = np.random.default_rng(3)
+    for low, high, edits, least in ((100, 900, 2, 0.93), (900, 6000, 4, 0.95), (900, 6000, 16, 0.9)):
+        texts = [random_text(rng, int(n)) for n in rng.integers(low, high, 150)]
+        own, other = (pairs_of(x) for x in (texts, [changed(rng, t, edits) for t in texts]))
+        assert np.mean([bool(a & b) for a, b in zip(own, other, strict=True)]) >= least
+        assert np.mean([bool(a & b) for a, b in zip(own, other[1:], strict=False)]) < 0.02
+
+
+def pairs_of(texts):
+    found = [set() for _ in texts]
+    for place, bucket in zip(*(x.tolist() for x in editmatch.buckets_of(texts)), strict=True):
+        found[place].add(bucket)
+    return found
+
+
+def test_lengths_at_the_end_of_a_window_meet():
+    edge = editmatch.WINDOW * editmatch.EDITS
+    text = random_text(np.random.default_rng(4), edge)
+    one, other = pairs_of([text[: edge - 1], text + "ab"])
+    assert one & other
