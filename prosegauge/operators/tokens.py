@@ -5,6 +5,7 @@ that gives an object with ``encode(text) -> list[int]`` and ``decode(ids) -> str
 Without one, tokens are separated by white space and ids come from a vocabulary table.
 """
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -19,6 +20,9 @@ PAD_ID = 0
 IGNORED = -100  # fixed value: the label that training leaves out
 BROADCAST_TERMS = 500_000
 MAX_TERM_CHARS = 256
+#: Tokens that one task of the lookup takes, about; a row's tokens stay together.
+TASK_TOKENS = 1 << 19
+MAX_TASKS = 65_536
 
 
 def build_vocab(df: DataFrame, text: str = "text") -> DataFrame:
@@ -55,28 +59,30 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: Column, vocab: DataFram
     """Look the tokens of every row up: (key, ids, n_unknown), ids in token order.
 
     Rows are shuffled once by their key, and the lookup and regrouping keep that
-    partitioning. The most frequent terms, ``BROADCAST_TERMS`` of them at most, are
-    broadcast. Of the tokens beyond, each row gives every distinct one once, with its places;
-    these alone are shuffled, to their term and back to their row, where all ids are put in
-    order. Unknown tokens, which may be frequent, are such too, so a hot one is a long
-    left side of that join, which adaptive execution splits.
+    partitioning. Regrouping sorts a row for every token, many times the text that is shuffled,
+    so tokens are counted first and set the number of tasks. The most frequent terms,
+    ``BROADCAST_TERMS`` of them at most, are broadcast. Of the tokens beyond, each row gives
+    every distinct one once, with its places; these alone are shuffled, to their term and back
+    to their row, where all ids are put in order. Unknown tokens, which may be frequent, are such
+    too, so a hot one is a long left side of that join, which adaptive execution splits.
     """
-    spread = df.select(F.struct(*key).alias("_key"), F.array_join(tokens, " ").alias("_line")).repartition("_key")
+    tasks = _tasks(df, tokens)
+    rows = df.select(F.struct(*key).alias("_key"), F.array_join(tokens, " ").alias("_line"))
     line = F.array_remove(F.split("_line", " "), "")
-    each = spread.select("_key", F.posexplode_outer(line).alias("_at", "token"))
+    each = _by_key(rows, tasks).select("_key", F.posexplode_outer(line).alias("_at", "token"))
     terms = vocab.select("token", F.col("id").cast("int").alias("_id"))
     short = F.length("token") <= MAX_TERM_CHARS
     head = (F.col("_id") <= BROADCAST_TERMS) & short
     found = each.join(F.broadcast(terms.where(head)), "token", "left")
     missing = F.col("token").isNotNull() & F.col("_id").isNull()
-    seen = F.when(F.col("_id").isNotNull(), F.struct("_at", "_id"))
-    known = found.groupBy("_key").agg(F.collect_list(seen).alias("_ids"), F.count_if(missing).alias("n_unknown"))
+    known = found.groupBy("_key").agg(
+        F.collect_list(_placed_id(F.col("_at"), F.col("_id"))).alias("_ids"), F.count_if(missing).alias("n_unknown")
+    )
     if terms.where(~head).limit(1).count():
         rare = found.where(missing).groupBy("_key", "token").agg(F.collect_list("_at").alias("_places"))
-        looked_up = rare.join(terms.where(~head), "token").groupBy("_key").agg(
-            F.flatten(
-                F.collect_list(F.transform("_places", lambda at: F.struct(at.alias("_at"), F.col("_id").alias("_id"))))
-            ).alias("_more"),
+        back = rare.join(terms.where(~head), "token")
+        looked_up = (_by_key(back, tasks) if tasks else back).groupBy("_key").agg(
+            F.flatten(F.collect_list(F.transform("_places", lambda at: _placed_id(at, F.col("_id"))))).alias("_more"),
             F.sum(F.size("_places")).alias("_n"),
         )
         known = known.join(looked_up, "_key", "left").withColumns(
@@ -85,9 +91,28 @@ def token_ids(df: DataFrame, key: Sequence[str], tokens: Column, vocab: DataFram
                 "n_unknown": F.col("n_unknown") - F.coalesce("_n", F.lit(0)),
             }
         )
-    return known.select(
-        *[F.col("_key")[name].alias(name) for name in key], F.array_sort("_ids")["_id"].alias("ids"), "n_unknown"
-    )
+    ids = F.transform(F.sort_array("_ids"), lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    return known.select(*[F.col("_key")[name].alias(name) for name in key], ids.alias("ids"), "n_unknown")
+
+
+def _tasks(df: DataFrame, tokens: Column) -> int:
+    """Tasks of ``TASK_TOKENS`` tokens each, one a core at least, ``MAX_TASKS`` at most; 0 where
+    one task may take all."""
+    total = df.select(F.sum(F.greatest(F.size(tokens), F.lit(0)))).first()[0] or 0
+    if total <= TASK_TOKENS:
+        return 0
+    tasks = max(math.ceil(total / TASK_TOKENS), df.sparkSession.sparkContext.defaultParallelism)
+    return min(tasks, MAX_TASKS)
+
+
+def _by_key(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt by their key to that many tasks, or to as many as adaptive execution finds for 0."""
+    return rows.repartition(tasks, "_key") if tasks else rows.repartition("_key")
+
+
+def _placed_id(at: Column, term: Column) -> Column:
+    """Place and id in one long, in the order of the two."""
+    return F.shiftleft(at.cast("bigint"), 32) + term
 
 
 def padded(ids: Column, length: int, pad: int = PAD_ID) -> tuple[Column, Column]:
@@ -99,7 +124,7 @@ def padded(ids: Column, length: int, pad: int = PAD_ID) -> tuple[Column, Column]
     return input_ids, mask
 
 
-def tokenize_pad(
+def tokenized(
     df: DataFrame,
     key: Sequence[str],
     text: str = "text",
@@ -108,21 +133,38 @@ def tokenize_pad(
     tokenizer: Callable | None = None,
     unknown: str = "raise",
 ) -> DataFrame:
-    """Token ids of fixed length: (key, input_ids, attention_mask); the text goes.
+    """The first ``length`` token ids of every row, not yet padded: (key, ids); the text goes.
 
     With a ``tokenizer`` plug-in the rows stay where they are. A vocabulary that lacks a
     token raises, unless ``unknown`` is ``drop``.
     """
     if tokenizer is not None:
-        ids = df.select(*key, encoder(tokenizer)(F.col(text)).alias("ids"))
-    else:
-        ids = token_ids(df, key, words(F.col(text), length), vocab)
-        if unknown == "raise":
-            message = F.lit("token missing from the vocabulary")
-            checked = F.when(F.col("n_unknown") == 0, F.col("ids")).otherwise(F.raise_error(message).cast("array<int>"))
-            ids = ids.withColumn("ids", checked)
+        return df.select(*key, F.slice(encoder(tokenizer)(F.col(text)), 1, length).alias("ids"))
+    rows = token_ids(df, key, words(F.col(text), length), vocab)
+    ids = F.col("ids")
+    if unknown == "raise":
+        message = F.lit("token missing from the vocabulary")
+        ids = F.when(F.col("n_unknown") == 0, ids).otherwise(F.raise_error(message).cast("array<int>"))
+    return rows.select(*key, ids.alias("ids"))
+
+
+def pad_rows(df: DataFrame, length: int = 512) -> DataFrame:
+    """``ids`` become input_ids and attention_mask of fixed length."""
     input_ids, mask = padded(F.col("ids"), length)
-    return ids.select(*key, input_ids.alias("input_ids"), mask.alias("attention_mask"))
+    return df.select(*[c for c in df.columns if c != "ids"], input_ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+def tokenize_pad(
+    df: DataFrame,
+    key: Sequence[str],
+    text: str = "text",
+    vocab: DataFrame | None = None,
+    length: int = 512,
+    tokenizer: Callable | None = None,
+    unknown: str = "raise",
+) -> DataFrame:
+    """Token ids of fixed length, as ``tokenized`` gives them: (key, input_ids, attention_mask)."""
+    return pad_rows(tokenized(df, key, text, vocab, length, tokenizer, unknown), length)
 
 
 def lm_labels(ids: Column, mask: Column) -> Column:

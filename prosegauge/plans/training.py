@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.config import Config
 from prosegauge.operators.chunk import chunk_corpus
-from prosegauge.operators.tokens import build_vocab, lm_labels, tokenize_pad, with_padding
+from prosegauge.operators.tokens import build_vocab, lm_labels, pad_rows, tokenized, with_padding
 from prosegauge.session import fresh_path, stored
 from prosegauge.sources.writers import write_table
 
@@ -25,14 +25,19 @@ def prepare_training(
 
     ``corpus`` has row_id, text and class. Chunks are stored, since without a tokenizer
     or a vocabulary they are read twice. Gives and writes (class, chunk_id, input_ids,
-    attention_mask, labels).
+    attention_mask, labels). Rows are padded as they are written: padding makes them some
+    twenty times as large, and shuffled or sorted that would be a task's memory.
     """
     spark = corpus.sparkSession
     out = out or fresh_path(spark, "training")
     chunks = stored(chunk_corpus(corpus, size=config.chunk_chars, by=["class"]), "chunks", f"{out}/chunks")
     if tokenizer is None and vocab is None:
         vocab = stored(with_padding(build_vocab(chunks, "chunk")), "vocab", f"{out}/vocab")
-    rows = tokenize_pad(chunks, ["class", "chunk_id"], "chunk", vocab, config.sequence_length, tokenizer)
-    rows = rows.withColumn("labels", lm_labels(F.col("input_ids"), F.col("attention_mask")))
-    write_table(rows, f"{out}/rows", ["class"])
-    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    ids = tokenized(chunks, ["class", "chunk_id"], "chunk", vocab, config.sequence_length, tokenizer)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        rows = pad_rows(rows, config.sequence_length)
+        return rows.withColumn("labels", lm_labels(F.col("input_ids"), F.col("attention_mask")))
+
+    write_table(ids, f"{out}/rows", ["class"], labelled)
+    return spark.read.schema(labelled(ids).schema).parquet(f"{out}/rows")

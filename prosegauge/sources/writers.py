@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +17,18 @@ def packed(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *by) if by else df
 
 
-def write_table(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
-    writer = packed(df, by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+def widened(df: DataFrame, by: Sequence[str], widen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``packed`` rows in the order a partitioned table is written in, then what ``widen`` makes of
+    each; so narrow rows are shuffled and sorted, and wide ones only written."""
+    rows = packed(df, by)
+    return widen(rows.sortWithinPartitions(*by) if by else rows)
+
+
+def write_table(
+    df: DataFrame, path: str, by: Sequence[str] = (), widen: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
+    rows = widened(df, by, widen) if widen else packed(df, by)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
     writer.partitionBy(*by).parquet(path)
 
 

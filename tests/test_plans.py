@@ -1,15 +1,18 @@
 import json
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from prosegauge.config import Config
 from prosegauge.operators import enrich
+from prosegauge.plans import training
 from prosegauge.plans.prompts import generate_prompts
 from prosegauge.plans.responses import collect_responses, generate_responses, shortfall
 from prosegauge.plans.scoring import score_responses
 from prosegauge.plans.training import prepare_training
 from prosegauge.sources.readers import read_responses
+from prosegauge.sources.writers import widened
 from prosegauge.streaming import incremental
 
 
@@ -206,6 +209,31 @@ def test_training_rows(spark, tmp_path):
     assert len(first.input_ids) == len(first.attention_mask) == len(first.labels) == 8
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_training_rows_are_padded_after_their_sort(spark, tmp_path, monkeypatch, kind):
+    texts = [(i, f"word{i}", i % 2) for i in range(40)]
+    corpus = spark.createDataFrame(texts, "row_id long, text string, class int").withColumn("class", F.col("class").cast(kind))
+    written, write = [], training.write_table
+
+    def noted(*args):
+        written.append(args)
+        write(*args)
+
+    monkeypatch.setattr(training, "write_table", noted)
+    rows = prepare_training(corpus, str(tmp_path / "t"), Config(chunk_chars=32, sequence_length=64)).collect()
+    assert len(rows) == 2 * -(-(5 * 6 + 15 * 7) // 32)
+    assert all(len(r.input_ids) == len(r.attention_mask) == len(r.labels) == 64 for r in rows)
+    assert all((i > 0) == (m == 1) and (n == i if m else n == -100) for r in rows for i, m, n in zip(r.input_ids, r.attention_mask, r.labels))
+    (narrow, _, by, *widen), = written
+    assert narrow.columns == ["class", "chunk_id", "ids"]
+    wide = widened(narrow, by, *widen)
+    # the writer needs no sort of its own
+    assert wide._jdf.queryExecution().optimizedPlan().outputOrdering().nonEmpty()
+    plan = plan_of(wide).splitlines()
+    padding, sort, shuffle = (min(i for i, x in enumerate(plan) if name in x) for name in ("array_repeat", "Sort [", "REBALANCE"))
+    assert padding < sort < shuffle and not any("array_repeat" in x for x in plan[sort:])
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
     schema = "prompt string, continuation string"

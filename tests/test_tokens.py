@@ -111,3 +111,24 @@ def test_only_rare_tokens_are_shuffled_again(spark, vocab, monkeypatch):
     by_key = [x for x in plan.splitlines() if "Exchange hashpartitioning(_key" in x and "Reused" not in x]
     # the rows, and the ids of rare terms on their way back
     assert len(by_key) == 2 and sum("REPARTITION" in x for x in by_key) == 1
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 2, 0])
+def test_tokens_set_the_number_of_tasks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(tokens, "BROADCAST_TERMS", broadcast)
+    monkeypatch.setattr(tokens, "TASK_TOKENS", 50, raising=False)
+    lines = [" ".join(f"t{i * j % 7}" for j in range(10)) for i in range(100)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, text string")
+    vocab = tokens.build_vocab(rows)
+    ids = {r.token: r.id for r in vocab.collect()}
+    found = tokens.token_ids(rows, ["k"], tokens.words(F.col("text")), vocab)
+    got = {r.k: (r.ids, r.n_unknown) for r in found.collect()}
+    assert got == {i: ([ids[t] for t in line.split()], 0) for i, line in enumerate(lines)}
+    assert found.rdd.getNumPartitions() == 1000 // 50
+
+
+def test_any_int_is_an_id(spark):
+    vocab = spark.createDataFrame([("a", -5), ("a", 7), ("b", 2**31 - 1), ("c", -(2**31))], "token string, id long")
+    rows = spark.createDataFrame([(0, "b a c b")], "k int, text string")
+    found = tokens.token_ids(rows, ["k"], tokens.words(F.col("text")), vocab).first()
+    assert found.ids == [2**31 - 1, -5, 7, -(2**31), 2**31 - 1]
