@@ -136,7 +136,8 @@ def close_fingerprints(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     left = placed.select("cell", F.col("fingerprint").alias("a"))
     right = placed.select("cell", F.col("fingerprint").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return left.join(right, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # Spark takes the exploded cells for as small as the fingerprints, and would broadcast them
+    return left.join(right.hint("merge"), "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def classes(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:

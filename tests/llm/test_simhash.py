@@ -1,10 +1,12 @@
 import pytest
 import numpy as np
 import xxhash
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from prosegauge.llm import simhash
 from prosegauge.llm.components import components
+from prosegauge.session import stored
 
 DOCS = "doc_id long, text string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -76,6 +78,15 @@ def test_all_pairs_within_two_bits_are_found(spark):
     assert found == {(a, b) for a in values for b in values if a < b and ((a ^ b) & mask).bit_count() <= 2}
 
 
+def test_cells_are_not_broadcast(spark):
+    """65 cells of each fingerprint: a stored table of a few megabytes would be broadcast as some hundred."""
+    frame = stored(spark.range(500).selectExpr("xxhash64(id) as fingerprint"), "fingerprints")
+    near = simhash.close_fingerprints(frame)
+    assert "Broadcast" not in plan_of(near) and "SortMergeJoin" in plan_of(near)
+    near.collect()
+    assert "Broadcast" not in plan_of(near)  # nor when the sizes are known
+
+
 def test_blocks_of_a_long_text_give_the_same_hashes(monkeypatch):
     text = "some Words\nand others\t in é text " * 300
     whole = [h for block in simhash.shingle_hashes(text) for h in block]
