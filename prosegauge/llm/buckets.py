@@ -30,7 +30,8 @@ COLUMNS = 1 << 14
 def shared_buckets(rows: DataFrame) -> DataFrame:
     """Of distinct rows (bucket, item) those of buckets with two items or more, with the number ``n`` of items."""
     sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    return reduced(rows, "bucket", sizes).join(sizes, "bucket")
+    # rows may be exploded from others; Spark takes them for as small as those, and would broadcast them
+    return reduced(rows, "bucket", sizes).join(sizes.hint("merge"), "bucket")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -82,6 +83,18 @@ def jaccard(a: Column, b: Column, similarity: float) -> Column:
     return both >= similarity * (F.size(a) + F.size(b) - both)
 
 
+def _blocks(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the blocks that are compared: each item in a row and each that asks in a column of the blocks of its bucket."""
+    block = F.pmod(F.xxhash64("item", F.lit(1)), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = unsettled.select("bucket", "item", F.lit(False).alias("asks"), block.alias("theirs"), every.alias("ours"))
+    asking = unsettled.where("label <> main").select(
+        "bucket", "item", F.lit(True).alias("asks"), every.alias("theirs"), block.alias("ours")
+    )
+    # Spark takes the exploded rows for as small as the table, and would broadcast them
+    return members.unionByName(asking).join(sets.hint("merge"), "item")
+
+
 def linked_components(
     shared: DataFrame,
     sets: DataFrame,
@@ -126,13 +139,7 @@ def linked_components(
         .select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
     unsettled = stored(labelled.select("bucket", "item", "label").join(main, "bucket"), "unsettled")
-    block = F.pmod(F.xxhash64("item", F.lit(1)), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = unsettled.select("bucket", "item", F.lit(False).alias("asks"), block.alias("theirs"), every.alias("ours"))
-    asking = unsettled.where("label <> main").select(
-        "bucket", "item", F.lit(True).alias("asks"), every.alias("theirs"), block.alias("ours")
-    )
-    blocks = members.unionByName(asking).join(sets, "item")
+    blocks = _blocks(unsettled, sets)
     more = blocks.groupBy("bucket", "ours", "theirs").applyInPandas(
         lambda group: compare(group), "a long, b long"
     )

@@ -293,7 +293,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn(place, F.monotonically_increasing_id())
     # texts that lose nothing are not shuffled, but for those that the bit map does not tell apart
     some, rest = divided(marked, place, found.select(F.col("row").alias(place)))
-    joined = some.join(spans.withColumnsRenamed({"row": place, "cut": cut}), place, "left")
+    # Spark takes the lists of spans for smaller than their table; they are not to be broadcast
+    joined = some.join(spans.withColumnsRenamed({"row": place, "cut": cut}).hint("merge"), place, "left")
     columns = [f"`{c}`" for c in docs.columns]
     whole = joined.where(f"`{cut}` is null").select(*columns).unionByName(rest.select(*columns))
     less = joined.where(f"`{cut}` is not null").withColumn(text, _without(F.col("text"), F.col(f"`{cut}`")))

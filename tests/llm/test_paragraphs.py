@@ -1,8 +1,10 @@
 from itertools import combinations
 
 import numpy as np
+from conftest import plan_of
 
 from prosegauge.llm import buckets, paragraphs, reducer
+from prosegauge.session import stored
 
 DOCS = "doc_id long, text string, n_chars long, row string, kind string, `cut` int"
 RNG = np.random.default_rng(4)
@@ -181,6 +183,27 @@ def test_buckets_beyond_pivots_and_blocks(spark, monkeypatch):
     assert {r.node: r.component for r in found.collect()} == {i: i % 2 for i in range(n)}
 
 
+def test_exploded_rows_and_lists_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Spark takes them for a fraction of their size: rows of buckets, of blocks, and lists of spans."""
+    plans = {}
+
+    def noted(df, name):
+        plans.setdefault(name, []).append(plan_of(df))
+        return stored(df, name)
+
+    monkeypatch.setattr(buckets, "stored", noted)
+    monkeypatch.setattr(buckets, "BLOCK", 16)
+    sets = stored(spark.range(60).selectExpr("id as item", "sequence(id div 2, id div 2 + 40) as elements"), "sets")
+    shared = buckets.shared_buckets(sets.selectExpr("explode(array(7L, 8L)) as bucket", "item"))
+    assert "Broadcast" not in plan_of(shared)
+    shared = stored(shared, "shared")
+    assert {r.component for r in buckets.linked_components(shared, sets, 0.8).collect()} == {0}
+    [compared] = [x for x in plans["links"] if "FlatMapGroupsInPandas" in x]
+    assert "Broadcast" not in compared
+    left = paragraphs.remove_repeats(table(spark, tmp_path, [(i, line(9) + " " + "word " * 30) for i in range(3)]))
+    assert "Broadcast" not in plan_of(left) and left.count() == 3
+
+
 def test_offsets_are_code_points():
     text = "é🙂 " + " ".join(f"w{i}" for i in range(25)) + ". Next one is a sentence here!\n\nlast"
     for kind, start, length, words in paragraphs._text_units(text):
